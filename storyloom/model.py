@@ -122,14 +122,17 @@ class Library:
 
 def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Add the declared columns ``df`` lacks; columns of its own stay at the end."""
-    have = set(df.columns)
-    declared = [
-        F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have
-        else F.lit(DEFAULTS.get(f.name)).cast(f.dataType).alias(f.name)
-        for f in schema.fields
-    ]
-    extra = [F.col(c) for c in df.columns if c not in set(schema.fieldNames())]
-    return df.select(*declared, *extra)
+    have = {f.name: f.dataType for f in df.schema.fields}
+
+    def declared(f: T.StructField) -> str:
+        name, kind = f"`{f.name}`", f.dataType.simpleString()
+        if f.name not in have:
+            value = {None: "NULL", False: "false"}[DEFAULTS.get(f.name)]
+            return f"CAST({value} AS {kind}) AS {name}"
+        return name if have[f.name] == f.dataType else f"CAST({name} AS {kind}) AS {name}"
+
+    extra = [f"`{c}`" for c in df.columns if c not in set(schema.fieldNames())]
+    return df.selectExpr(*map(declared, schema.fields), *extra)
 
 
 def missing_columns(df: DataFrame, schema: T.StructType) -> list[str]:

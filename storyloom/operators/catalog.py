@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,22 +97,28 @@ def placeholder() -> Column:
            & (F.col("authors").isNull() | nobody)))
 
 
-def states() -> dict[str, Column]:
-    return {
-        "all": F.lit(True),
-        "reading": started() & ~finished(),
-        "unread": ~started(),
-        "finished": completed(),
-        "later": _flag("marked_later"),
-        "rec": _flag("rec"),
-        "held": _flag("has_text"),
-        "known": ~_flag("has_text"),
-        "bookmarked": _flag("in_bookmarks"),
-        "history": _flag("in_history"),
-        "visited": (started() | _flag("completed_before") | _flag("in_history")
-                    | (_zero("visits") > 0) | F.col("last_visited").isNotNull()
-                    | (local_visits() > 0)),
-    }
+# Each condition is built only when a filter names it.
+_STATES: dict[str, Callable[[], Column]] = {
+    "all": lambda: F.lit(True),
+    "reading": lambda: started() & ~finished(),
+    "unread": lambda: ~started(),
+    "finished": lambda: completed(),
+    "later": lambda: _flag("marked_later"),
+    "rec": lambda: _flag("rec"),
+    "held": lambda: _flag("has_text"),
+    "known": lambda: ~_flag("has_text"),
+    "bookmarked": lambda: _flag("in_bookmarks"),
+    "history": lambda: _flag("in_history"),
+    "visited": lambda: (
+        started() | _flag("completed_before") | _flag("in_history") | (_zero("visits") > 0)
+        | F.col("last_visited").isNotNull() | (local_visits() > 0)),
+}
+STATES = tuple(_STATES)
+
+
+def state(name: str) -> Column:
+    """The condition a state stands for; an unknown state is every work."""
+    return _STATES.get(name, _STATES["all"])()
 
 
 # --- filters ------------------------------------------------------------------
@@ -159,12 +167,11 @@ def _tag_condition(spec: FilterSpec) -> Column:
 
 
 def _column_conditions(spec: FilterSpec) -> list[Column]:
-    named = states()
-    out = [named.get(spec.state, named["all"])]
+    out = [] if spec.state == "all" else [state(spec.state)]
     if spec.availability in ("held", "known"):
-        out.append(named[spec.availability])
+        out.append(state(spec.availability))
     if spec.collection in ("later", "bookmarked", "history", "visited", "rec"):
-        out.append(named[spec.collection])
+        out.append(state(spec.collection))
     if spec.author:
         if spec.author_ignore_case:
             mine = F.transform("authors", F.lower)
@@ -227,23 +234,24 @@ def _folded(name: str) -> Column:
 def sort_keys(sort: str, seed: int = 0) -> list[Column]:
     """Order-by list; ``work_id`` always comes last so that pages are stable."""
     changed = F.coalesce("updated", "published")
-    keys = {
-        "visits": [total_visits().desc(), _folded("title")],
-        "title": [_folded("title")],
-        "author": [F.collate(F.to_json("authors"), "UTF8_LCASE").asc_nulls_first()],
-        "updated": [changed.desc_nulls_last()],
-        "published": [F.col("published").desc_nulls_last()],
-        "added": [F.coalesce(F.col("fetched_at"), F.col("downloaded_at").cast("timestamp")).desc_nulls_last()],
-        "words": [F.col("words").desc_nulls_last()],
-        "shortest": [F.col("words").asc_nulls_first()],
-        "chapters": [F.col("chapter_count").desc_nulls_last()],
-        "recent": [last_read().desc_nulls_last(), F.col("work_id").desc()],
-        "kudos": [F.col("kudos").desc_nulls_last()],
-        "bookmarks": [F.col("bookmark_count").desc_nulls_last()],
-        "hits": [F.col("hits").desc_nulls_last()],
-        "random": [shuffled(seed)],
+    keys: dict[str, Callable[[], list[Column]]] = {
+        "visits": lambda: [total_visits().desc(), _folded("title")],
+        "title": lambda: [_folded("title")],
+        "author": lambda: [F.collate(F.to_json("authors"), "UTF8_LCASE").asc_nulls_first()],
+        "updated": lambda: [changed.desc_nulls_last()],
+        "published": lambda: [F.col("published").desc_nulls_last()],
+        "added": lambda: [F.coalesce(
+            F.col("fetched_at"), F.col("downloaded_at").cast("timestamp")).desc_nulls_last()],
+        "words": lambda: [F.col("words").desc_nulls_last()],
+        "shortest": lambda: [F.col("words").asc_nulls_first()],
+        "chapters": lambda: [F.col("chapter_count").desc_nulls_last()],
+        "recent": lambda: [last_read().desc_nulls_last(), F.col("work_id").desc()],
+        "kudos": lambda: [F.col("kudos").desc_nulls_last()],
+        "bookmarks": lambda: [F.col("bookmark_count").desc_nulls_last()],
+        "hits": lambda: [F.col("hits").desc_nulls_last()],
+        "random": lambda: [shuffled(seed)],
     }
-    return [*keys.get(sort, keys["title"]), F.col("work_id").asc()]
+    return [*keys.get(sort, keys["title"])(), F.col("work_id").asc()]
 
 
 def shuffled(seed: int) -> Column:

@@ -19,10 +19,9 @@ def _contains(name: Column, needle: str) -> Column:
 
 def state_counts(lib: Library, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """How many works each reading state would leave: one pass for all."""
-    named = catalog.states()
     counts = catalog.matching(lib, spec.but(state="all")).agg(
-        *[F.count_if(on).alias(state) for state, on in named.items()])
-    return counts.unpivot([], list(named), "state", "n")
+        *[F.count_if(catalog.state(s)).alias(s) for s in catalog.STATES])
+    return counts.unpivot([], list(catalog.STATES), "state", "n")
 
 
 def tags(lib: Library, spec: FilterSpec = FilterSpec(), kinds: Sequence[str] = catalog.TAG_KINDS,

@@ -11,32 +11,41 @@ from storyloom.operators import catalog
 SHORT_WORDS = 5000
 
 
-def _shelves(seed: int) -> dict[str, dict[str, Column]]:
+def _shelf(key: str, seed: int) -> dict[str, Column]:
     """Membership and order: ``most`` descending, then ``text`` ascending."""
-    named = catalog.states()
     done = F.coalesce("complete", F.lit(False))
-    added = F.coalesce(F.col("fetched_at"), F.col("downloaded_at").cast("timestamp"))
-    return {
-        "reading": {"on": named["reading"], "most": F.unix_micros(catalog.local_last_read()),
-                    "down": F.col("work_id")},
-        "added": {"on": F.lit(True), "most": F.unix_micros(added)},
-        "updated": {"on": F.col("updated").isNotNull(), "most": F.unix_date("updated").cast("bigint")},
-        "long": {"on": done & named["unread"], "most": F.col("words")},
-        "short": {"on": done & (F.col("words") < SHORT_WORDS) & named["unread"],
-                  "text": catalog.shuffled(seed)},
-        "later": {"on": named["later"], "text": F.col("title")},
-        "visits": {"on": catalog.total_visits() > 0, "most": catalog.total_visits(),
-                   "text": F.col("title")},
-    }
+    match key:
+        case "reading":
+            return {"on": catalog.state("reading"), "most": F.unix_micros(catalog.local_last_read()),
+                    "down": F.col("work_id")}
+        case "added":
+            added = F.coalesce(F.col("fetched_at"), F.col("downloaded_at").cast("timestamp"))
+            return {"on": F.lit(True), "most": F.unix_micros(added)}
+        case "updated":
+            return {"on": F.col("updated").isNotNull(), "most": F.unix_date("updated")}
+        case "long":
+            return {"on": done & catalog.state("unread"), "most": F.col("words")}
+        case "short":
+            return {"on": done & (F.col("words") < SHORT_WORDS) & catalog.state("unread"),
+                    "text": catalog.shuffled(seed)}
+        case "later":
+            return {"on": catalog.state("later"), "text": F.col("title")}
+        case "visits":
+            return {"on": catalog.total_visits() > 0, "most": catalog.total_visits(),
+                    "text": F.col("title")}
+    raise ValueError(f"no shelf called {key}")
 
 
-def all(lib: Library, k: int = 12, seed: int = 0, keys: tuple[str, ...] | None = None) -> DataFrame:
+SHELVES = ("reading", "added", "updated", "long", "short", "later", "visits")
+
+
+def all(lib: Library, k: int = 12, seed: int = 0, keys: tuple[str, ...] = SHELVES) -> DataFrame:
     """Up to ``k`` works of each shelf with the shelf's whole size.
 
     Each work is laid out once per shelf it is on, so one scan serves every
     shelf, and the rank limit runs before anything is shuffled.
     """
-    made = {s: v for s, v in _shelves(seed).items() if keys is None or s in keys}
+    made = {key: _shelf(key, seed) for key in keys}
     entries = F.array(*[
         F.struct(F.lit(shelf).alias("shelf"), F.coalesce(v["on"], F.lit(False)).alias("on"),
                  v.get("most", F.lit(None)).cast("bigint").alias("most"),
@@ -57,7 +66,7 @@ def all(lib: Library, k: int = 12, seed: int = 0, keys: tuple[str, ...] | None =
 
 def surprise(lib: Library, seed: int = 0) -> DataFrame:
     """One unread work."""
-    return (catalog.visible(catalog.rows(lib)).where(catalog.states()["unread"])
+    return (catalog.visible(catalog.rows(lib)).where(catalog.state("unread"))
             .orderBy(catalog.shuffled(seed), "work_id").limit(1).select("work_id"))
 
 

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites are for notebooks; capturing one per expression slows plan building
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

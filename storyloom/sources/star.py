@@ -75,52 +75,39 @@ def works(spark: SparkSession, root: str) -> DataFrame:
         .join(lines_by_order(spark, root), F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(docs, F.col("o_orderkey") == docs.doc_id, "left")
     )
-    k = F.col("o_orderkey")
-    anonymous = _every(223, k)
-    published = F.col("o_orderdate").cast("date")
-    heading = F.concat(
-        F.when(k % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")),
-        F.lit(" of "), F.col("n_name"), F.lit(" "), (k % 97).cast("string"))
-    visited_on = F.date_add(published, (k % 1000).cast("int"))
-    return base.select(
-        k.cast("string").alias("work_id"),
-        F.when(anonymous, F.lit(None)).when(_every(227, k), F.lit("Mystery Work"))
-        .otherwise(heading).alias("title"),
-        F.when(anonymous, F.array(F.lit("Anonymous")))
-        .otherwise(F.coalesce("names", F.array().cast("array<string>"))).alias("authors"),
-        F.when(anonymous, F.lit("")).when(_every(211, k), F.lit(CHALLENGE))
-        .otherwise(F.concat(F.lit("A "), F.lower("o_orderpriority"),
-                            F.lit(" story kept by "), F.col("c_name"))).alias("summary"),
-        F.col("o_orderpriority").alias("rating"),
-        F.col("n_name").alias("language"),
-        published.alias("published"),
-        F.col("last_ship").alias("updated"),
-        F.when(~_every(11, k), F.date_add(published, (k % 400).cast("int"))).alias("downloaded_at"),
-        (F.col("o_orderstatus") == "F").alias("complete"),
-        F.when(anonymous | _every(227, k), F.lit(0))
-        .otherwise(F.col("qty") * 100).cast("bigint").alias("words"),
-        F.when(~_every(7, k), F.col("n_lines")).cast("int").alias("chapter_count"),
-        F.when(F.col("o_orderstatus") != "P", F.col("n_lines") + k % 3).cast("int")
-        .alias("chapters_planned"),
-        (F.unix_timestamp(F.col("last_ship").cast("timestamp")) + k % 86400).alias("updated_at"),
-        F.when(k % 10 == 3, F.concat(F.lit(".chat"), (k % 7).cast("string"), F.lit("{color:red}")))
-        .alias("skin_css"),
-        F.when(k % 4 == 0, "ao3").when(k % 4 == 1, "epub").otherwise("listing").alias("source"),
-        F.when(~_every(5, k), F.date_add(published, (k % 900).cast("int"))).cast("timestamp")
-        .alias("fetched_at"),
-        _every(3, k).alias("in_bookmarks"),
-        _every(15, k).alias("rec"),
-        _every(4, k).alias("in_history"),
-        F.when(_every(8, k), F.date_format(visited_on, "yyyy-MM-dd"))
-        .when(_every(4, k), F.date_format(visited_on, "d MMM yyyy")).alias("last_visited"),
-        F.when(~_every(5, k), k % 6).alias("visits"),
-        F.when(~_every(5, k), F.date_add(published, 30)).cast("timestamp").alias("visits_synced_at"),
-        _every(17, k).alias("kudos_given"),
-        F.coalesce("has_doc", F.lit(False)).alias("has_text"),
-        F.when(~_every(8, k), k * 7 % 1000).alias("kudos"),
-        F.when(~_every(9, k), k * 3 % 200).alias("bookmark_count"),
-        F.when(~_every(10, k), k * 13 % 5000).alias("hits"),
-        (~anonymous & F.coalesce("all_blocked", F.lit(False))).alias("hidden"),
+    return base.selectExpr(
+        "o_orderkey AS k", "CAST(o_orderdate AS date) AS pub", "*",
+        "o_orderkey % 223 = 0 AS anonymous",
+        "o_orderkey % 223 = 0 OR o_orderkey % 227 = 0 AS empty_story",
+        "date_add(CAST(o_orderdate AS date), CAST(o_orderkey % 1000 AS int)) AS seen_on",
+    ).selectExpr(
+        "CAST(k AS string) AS work_id",
+        """CASE WHEN anonymous THEN NULL WHEN empty_story THEN 'Mystery Work'
+           ELSE concat(if(k % 2 = 0, lower(c_mktsegment), c_mktsegment), ' of ', n_name, ' ', k % 97) END AS title""",
+        "if(anonymous, array('Anonymous'), coalesce(names, CAST(array() AS array<string>))) AS authors",
+        f"""CASE WHEN anonymous THEN '' WHEN k % 211 = 0 THEN '{CHALLENGE}'
+            ELSE concat('A ', lower(o_orderpriority), ' story kept by ', c_name) END AS summary""",
+        "o_orderpriority AS rating", "n_name AS language", "pub AS published", "last_ship AS updated",
+        "if(k % 11 <> 0, date_add(pub, CAST(k % 400 AS int)), NULL) AS downloaded_at",
+        "o_orderstatus = 'F' AS complete",
+        "if(empty_story, 0L, CAST(qty * 100 AS bigint)) AS words",
+        "if(k % 7 <> 0, n_lines, NULL) AS chapter_count",
+        "CAST(if(o_orderstatus <> 'P', n_lines + k % 3, NULL) AS int) AS chapters_planned",
+        "unix_timestamp(CAST(last_ship AS timestamp)) + k % 86400 AS updated_at",
+        "if(k % 10 = 3, concat('.chat', k % 7, '{color:red}'), NULL) AS skin_css",
+        "CASE k % 4 WHEN 0 THEN 'ao3' WHEN 1 THEN 'epub' ELSE 'listing' END AS source",
+        "CAST(if(k % 5 <> 0, date_add(pub, CAST(k % 900 AS int)), NULL) AS timestamp) AS fetched_at",
+        "k % 3 = 0 AS in_bookmarks", "k % 15 = 0 AS rec", "k % 4 = 0 AS in_history",
+        """CASE WHEN k % 8 = 0 THEN date_format(seen_on, 'yyyy-MM-dd')
+           WHEN k % 4 = 0 THEN date_format(seen_on, 'd MMM yyyy') END AS last_visited""",
+        "if(k % 5 <> 0, k % 6, NULL) AS visits",
+        "CAST(if(k % 5 <> 0, date_add(pub, 30), NULL) AS timestamp) AS visits_synced_at",
+        "k % 17 = 0 AS kudos_given",
+        "coalesce(has_doc, false) AS has_text",
+        "if(k % 8 <> 0, k * 7 % 1000, NULL) AS kudos",
+        "if(k % 9 <> 0, k * 3 % 200, NULL) AS bookmark_count",
+        "if(k % 10 <> 0, k * 13 % 5000, NULL) AS hits",
+        "NOT anonymous AND coalesce(all_blocked, false) AS hidden",
     )
 
 
@@ -168,18 +155,15 @@ def events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def reading(spark: SparkSession, root: str) -> DataFrame:
-    e = F.col("event_type")
-    click, bought = e == "click", e == "purchase"
-    return events(spark, root).groupBy("work_id").agg(
-        F.max(F.when(click, F.col("k") % 9 + 1)).cast("int").alias("chapter"),
-        F.max(F.when(click, F.col("value"))).alias("offset"),
-        F.max(F.when(click, F.col("k") % 9).when(bought & (F.col("k") % 2 == 0), 12))
-        .cast("int").alias("chapters_read"),
-        F.bool_or(bought & (F.col("k") % 10 == 0)).alias("completed_before"),
-        F.bool_or((e == "signup") & (F.col("k") % 4 == 0)).alias("marked_later"),
-        F.max(F.when(click | bought, F.col("ts"))).alias("updated_at"),
-        F.max(F.when((e == "error") & (F.col("k") % 2 == 0), F.col("ts"))).alias("opened_at"),
-    )
+    return events(spark, root).groupBy("work_id").agg(*map(F.expr, (
+        "CAST(max(if(event_type = 'click', k % 9 + 1, NULL)) AS int) AS chapter",
+        "max(if(event_type = 'click', value, NULL)) AS offset",
+        """CAST(max(CASE WHEN event_type = 'click' THEN k % 9
+                WHEN event_type = 'purchase' AND k % 2 = 0 THEN 12 END) AS int) AS chapters_read""",
+        "bool_or(event_type = 'purchase' AND k % 10 = 0) AS completed_before",
+        "bool_or(event_type = 'signup' AND k % 4 = 0) AS marked_later",
+        "max(if(event_type IN ('click', 'purchase'), ts, NULL)) AS updated_at",
+        "max(if(event_type = 'error' AND k % 2 = 0, ts, NULL)) AS opened_at")))
 
 
 def visits(spark: SparkSession, root: str) -> DataFrame:
