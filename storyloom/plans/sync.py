@@ -199,10 +199,11 @@ def _stub(listed: DataFrame) -> DataFrame:
 
 
 def _stub_tags(listed: DataFrame) -> DataFrame:
-    each = F.flatten(F.array(*[
-        F.transform(F.coalesce(field, F.array().cast("array<string>")),
-                    lambda n, kind=kind: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
-        for field, kind in TAG_FIELDS]))
+    def named(field: str, kind: str) -> Column:
+        return F.transform(F.coalesce(field, F.array().cast("array<string>")),
+                           lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+    each = F.flatten(F.array(*[named(field, kind) for field, kind in TAG_FIELDS]))
     return evolve(listed.select("work_id", F.inline(each)).distinct(), TAGS)
 
 
