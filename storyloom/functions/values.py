@@ -79,7 +79,7 @@ def stats_line(text: Column) -> dict[str, Column]:
 
     def number(pattern: str, group: int) -> Column:
         found = F.regexp_replace(F.regexp_extract(text, pattern, group), ",", "")
-        return F.when(found.rlike("^\\d+$"), found.cast("bigint"))
+        return F.when(found.rlike("^\\d+$"), found.try_cast("bigint"))
 
     chapters = "(?i)Chapters:\\s*(\\d+)\\s*/\\s*(\\d+|\\?)"
     done, planned = number(chapters, 1), number(chapters, 2)
