@@ -144,16 +144,27 @@ def chapters(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, root: str) -> DataFrame:
-    """Reader events laid on works: about thirteen to a work at any scale."""
+def _laid_on_works(raw: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return table(spark, root, "events").select(
+    return raw.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type",
         "value", k.alias("k"),
         (F.col("user_id") * 5 + k % 5).cast("string").alias("work_id"),
     )
 
 
+def events(spark: SparkSession, root: str) -> DataFrame:
+    """Reader events laid on works: about thirteen to a work at any scale."""
+    return _laid_on_works(table(spark, root, "events"))
+
+
+def event_stream(spark: SparkSession, root: str, per_batch: int = 1) -> DataFrame:
+    """The same events as a file stream."""
+    return _laid_on_works(
+        spark.readStream.schema(TABLES["events"]).option("pathGlobFilter", "events*.parquet")
+        .option("maxFilesPerTrigger", per_batch).parquet(root))
+
+
 def reading(spark: SparkSession, root: str) -> DataFrame:
     return events(spark, root).groupBy("work_id").agg(*map(F.expr, (
         "CAST(max(if(event_type = 'click', k % 9 + 1, NULL)) AS int) AS chapter",
