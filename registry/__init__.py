@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from registry import catalog, change, pages, planning, reading, search, streams  # noqa: F401
+    from registry import catalog, change, pages, planning, reading, search, stored, streams  # noqa: F401

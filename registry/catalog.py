@@ -133,22 +133,36 @@ _IMG = ("(SELECT work_id, url, sha256 FROM images WHERE status = 'stored' AND le
         "AND length(bytes) > 0)")
 
 
+def _pictured(lib):
+    """Chapters showing their work's picture, and one that is not held."""
+    mine = lib.images.select("work_id", "url")
+    shown = F.concat("html", F.lit('<img src="'), "url", F.lit('"><img src="https://gone.example/x.png">'))
+
+    def lay(df):
+        return df.join(mine, "work_id", "left").withColumn("html", F.coalesce(shown, "html")).drop("url")
+    return lib.with_(chapters=lay(lib.chapters), chapter_versions=lay(lib.chapter_versions))
+
+
+_NAMED = """(SELECT c.*, unnest(CASE WHEN p.url IS NULL THEN [NULL] ELSE [p.url, 'https://gone.example/x.png'] END) AS url
+  FROM {} c LEFT JOIN (SELECT work_id, url FROM images) p USING (work_id))"""
+
+
 @query("chapter_get", sql(f"""
-SELECT c.work_id, c.number, c.title, c.html, i.url, i.sha256 FROM chapters c
-LEFT JOIN {_IMG} i USING (work_id) WHERE c.number = 2"""))
+SELECT c.work_id, c.number, c.title, c.url, i.sha256 FROM {_NAMED.format("chapters")} c
+LEFT JOIN {_IMG} i ON c.work_id = i.work_id AND c.url = i.url WHERE c.number = 2"""))
 def chapter_get(spark, root):
-    lib = library(spark, root)
+    lib = _pictured(library(spark, root))
     keys = lib.chapters.where("number = 2").select("work_id", "number")
-    return catalog.chapter(lib, keys).select("work_id", "number", "title", "html", "url", "sha256")
+    return catalog.chapter(lib, keys).select("work_id", "number", "title", "url", "sha256")
 
 
 @query("version_get", sql(f"""
-SELECT c.work_id, c.number, c.html, c.reason, w.title AS work_title, i.sha256 FROM chapter_versions c
-LEFT JOIN {_IMG} i USING (work_id) LEFT JOIN works w USING (work_id) WHERE c.number <= 5"""))
+SELECT c.work_id, c.number, c.reason, w.title AS work_title, c.url, i.sha256 FROM {_NAMED.format("chapter_versions")} c
+LEFT JOIN {_IMG} i ON c.work_id = i.work_id AND c.url = i.url LEFT JOIN works w ON c.work_id = w.work_id WHERE c.number <= 5"""))
 def version_get(spark, root):
-    lib = library(spark, root)
+    lib = _pictured(library(spark, root))
     keys = lib.chapter_versions.where("number <= 5").select("work_id", "number", "archived_at")
-    return catalog.version(lib, keys).select("work_id", "number", "html", "reason", "work_title", "sha256")
+    return catalog.version(lib, keys).select("work_id", "number", "reason", "work_title", "url", "sha256")
 
 
 # --- sorts: the first pages, cut by the order ---------------------------------

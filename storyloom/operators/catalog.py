@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.functions.text import image_urls
 from storyloom.functions.values import visited_at
 from storyloom.model import Library
 from storyloom.spec import FilterSpec
@@ -326,7 +327,7 @@ def stored_images(images: DataFrame) -> DataFrame:
 
 
 def chapter(lib: Library, keys: DataFrame) -> DataFrame:
-    """Chapters by (work_id, number), with the pictures stored for the work."""
+    """Chapters by (work_id, number), each with the stored pictures it shows."""
     return _with_images(lib, lib.chapters.join(keys, ["work_id", "number"], "left_semi").select(
         "work_id", "number", "title", "html"))
 
@@ -339,6 +340,12 @@ def version(lib: Library, keys: DataFrame) -> DataFrame:
 
 
 def _with_images(lib: Library, df: DataFrame) -> DataFrame:
+    """A row per picture the markup names and the ledger holds, else one row.
+
+    Pictures are looked up by address, so a work's chapters never meet all of
+    its pictures.
+    """
     pictures = stored_images(lib.images).select("work_id", "url", "sha256", "fetched_at")
     skins = lib.works.select("work_id", F.col("title").alias("work_title"), "skin_css")
-    return df.join(pictures, "work_id", "left").join(skins, "work_id", "left")
+    named = df.withColumn("url", F.explode_outer(image_urls(F.col("html"))))
+    return named.join(pictures, ["work_id", "url"], "left").join(skins, "work_id", "left")
