@@ -11,7 +11,7 @@ from registry.base import sql
 from storyloom.functions import clean, text as tx, urls, values
 from storyloom.operators import profile
 from storyloom.sources import books, pages
-from storyloom.sources.star import library, table
+from storyloom.sources.star import library, spread, table
 
 # --- listing pages written from the works -------------------------------------
 
@@ -110,7 +110,7 @@ _PARTS = """filter(transform(split(text, '\\n'), (l, i) -> struct(i + 1 AS n, re
 
 
 def work_page_table(spark, root):
-    docs = table(spark, root, "documents").selectExpr("*", f"{_PARTS} AS parts").where("size(parts) > 0")
+    docs = spread(table(spark, root, "documents")).selectExpr("*", f"{_PARTS} AS parts").where("size(parts) > 0")
     chapter = """transform(parts, p -> concat('<div class="chapter" id="chapter-', p.n, '"><h3 class="title">Chapter ', p.n,
       ': &ldquo;x&rdquo;</h3><div class="notes module"><p>A note.</p></div><div class="userstuff module" role="article">',
       '<h3 class="landmark heading" id="work">Chapter Text</h3><p>', p.l,
@@ -191,7 +191,7 @@ def _bind(batches):
 
 
 def book_table(spark, root):
-    docs = table(spark, root, "documents").selectExpr("doc_id", f"{_PARTS} AS parts").where("size(parts) > 0")
+    docs = spread(table(spark, root, "documents")).selectExpr("doc_id", f"{_PARTS} AS parts").where("size(parts) > 0")
     return docs.mapInPandas(_bind, "path string, content binary")
 
 
@@ -236,7 +236,7 @@ _TEXT = ("trim(regexp_replace(regexp_replace(" + _unescaped(_bare(_bare("html"))
 
 @query("html_to_text", sql(f"SELECT page_id, {_TEXT} AS text FROM pages"))
 def html_to_text(spark, root):
-    return table(spark, root, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    return spread(table(spark, root, "pages")).select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
 @query("count_words", sql("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}''’-]+')) AS words FROM documents"))
@@ -249,14 +249,14 @@ SELECT page_id, html || '<p>kept</p>' AS html FROM pages"""))
 def strip_landmarks(spark, root):
     signed = F.concat(F.lit('<h3 class="landmark heading" id="a">Chapter Text</h3>'), "html",
                       F.lit('<p>kept</p><span class="a landmark">x</span>'))
-    return table(spark, root, "pages").select("page_id", tx.strip_landmarks(signed).alias("html"))
+    return spread(table(spark, root, "pages")).select("page_id", tx.strip_landmarks(signed).alias("html"))
 
 
 @query("house_classes", sql("""
 SELECT page_id, '<p class="userstuff chat">a</p><div>b</div><i class="mine">' || url || '</i>' AS html FROM pages"""))
 def house_classes(spark, root):
     markup = F.concat(F.lit('<p class="calibre7 userstuff2 chat userstuff">a</p><div class="calibre1">b</div><i class="mine">'), "url", F.lit("</i>"))
-    return table(spark, root, "pages").select("page_id", tx.house_classes(markup).alias("html"))
+    return spread(table(spark, root, "pages")).select("page_id", tx.house_classes(markup).alias("html"))
 
 
 @query("needs_skin", sql("""
@@ -270,7 +270,7 @@ def needs_skin(spark, root):
 
 @query("clean_html")
 def clean_html(spark, root):
-    return table(spark, root, "pages").select("page_id", clean.clean_html(F.col("html")).alias("html"))
+    return spread(table(spark, root, "pages")).select("page_id", clean.clean_html(F.col("html")).alias("html"))
 
 
 @query("clean_html_safe", sql("SELECT page_id, false AS acts, true AS kept FROM pages"))

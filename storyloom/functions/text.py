@@ -25,19 +25,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _until_gone(value: Column, pattern: str, step: Callable[[Column], Column]) -> Column:
+def _until_gone(value: Column, mark: str, pattern: str, step: Callable[[Column], Column]) -> Column:
     """Apply ``step`` until ``pattern`` no longer occurs.
 
-    Ordinary markup is done after two steps.  What still matches gets as many
-    more as it has opening brackets, since every effective step removes one.
+    Text without ``mark`` is left alone.  Ordinary markup is done after one
+    step; what still matches gets as many more as it has opening brackets,
+    since every effective step removes one.
     """
     def rest(once: Column) -> Column:
         more = F.when(
-            F.regexp_count(once, F.lit(pattern)) > 0, F.regexp_count(once, F.lit("<")),
+            once.contains(mark) & once.rlike(pattern), F.regexp_count(once, F.lit("<")),
         ).otherwise(F.lit(0)).cast("int")
         return F.aggregate(F.array_repeat(F.lit(0), more), once, lambda acc, _: step(acc))
 
-    return let(step(step(value)), rest)
+    return F.when(value.contains(mark), let(step(value), rest)).otherwise(value)
 
 
 def count_words(text: Column) -> Column:
@@ -69,7 +70,7 @@ def decode_entities(text: Column) -> Column:
         return F.concat(F.element_at(parts, 1),
                         F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
 
-    return F.when(text.contains("&"), let(F.split(text, "&"), join)).otherwise(text)
+    return let(text, lambda t: F.when(t.contains("&"), let(F.split(t, "&"), join)).otherwise(t))
 
 
 def _strip_tags(html: Column) -> Column:
@@ -81,21 +82,35 @@ def _strip_tags(html: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    """Plain text: no tag of any kind, a line per block, blanks squeezed."""
-    bare = _until_gone(F.coalesce(html, F.lit("")), "<[^>]*>", _strip_tags)
-    out = F.regexp_replace(decode_entities(bare), "[ \\t\\u00a0]+", " ")
-    out = F.regexp_replace(out, "\\n\\s*\\n\\s*\\n+", "\n\n")
-    return trim(out)
+    """Plain text: no tag of any kind, a line per block, blanks squeezed.
+
+    Each pattern runs only over text that shows what it looks for, so that
+    short plain fragments cost next to nothing.
+    """
+    def squeeze(text: Column) -> Column:
+        blanks = text.contains("  ") | text.contains("\t") | text.contains("\u00a0")
+        return F.when(blanks, F.regexp_replace(text, "[ \\t\\u00a0]+", " ")).otherwise(text)
+
+    def thin(text: Column) -> Column:
+        return F.when(text.contains("\n"), F.regexp_replace(text, "\\n\\s*\\n\\s*\\n+", "\n\n")).otherwise(text)
+
+    bare = _until_gone(F.coalesce(html, F.lit("")), "<", "<[^>]*>", _strip_tags)
+    return trim(let(let(decode_entities(bare), squeeze), thin))
+
+
+# Fixed value: the same white space, as the characters themselves.
+BLANKS = " \t\n\r\x0b\x0c\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(
+    map(chr, range(0x2000, 0x200B)))
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def normalise(html: Column) -> Column:
     """Markup without the differences two fetches of one chapter may show."""
     out = _until_gone(
-        F.coalesce(html, F.lit("")), "(?s)<!--.*?-->",
+        F.coalesce(html, F.lit("")), "<!--", "(?s)<!--.*?-->",
         lambda h: F.regexp_replace(h, "(?s)<!--.*?-->", ""))
     out = F.regexp_replace(
         out, '(?i)name="authenticity_token"[^>]*value="[^"]*"', 'name="authenticity_token"')

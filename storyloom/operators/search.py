@@ -302,13 +302,20 @@ def meta_ids(lib: Library, spec: SearchSpec) -> DataFrame:
     """
     if spec.blank:
         return lib.works.where(F.lit(False)).select("work_id")
-    text = lambda df, c: df.select("work_id", c.alias("text"))
+    phrases = _phrases(spec)
+    on = [f"on{i}" for i in range(len(phrases))]
+
+    def judged(texts: DataFrame, key: str) -> DataFrame:
+        words = texts.select(key, tokens(F.col("text")).alias("words"))
+        flags = words.select(key, *[_within(F.col("words"), p).alias(f) for f, p in zip(on, phrases)])
+        return flags.where(reduce(Column.__or__, map(F.col, on)))
+
     fields = lib.works.select("work_id", F.explode(F.concat(
         F.array("title", "summary"), F.coalesce("authors", F.array().cast("array<string>")))).alias("text"))
-    texts = fields.unionByName(text(lib.tags, F.col("name"))).select("work_id", tokens(F.col("text")).alias("words"))
-    phrases = _phrases(spec)
-    flags = texts.select("work_id", *[_within(F.col("words"), p).alias(f"on{i}") for i, p in enumerate(phrases)])
-    flags = flags.where(reduce(Column.__or__, [F.col(f"on{i}") for i in range(len(phrases))]))
+    # a tag's name is judged once, however many works carry it
+    names = judged(lib.tags.select("name").distinct().withColumn("text", F.col("name")), "name")
+    tagged = lib.tags.select("work_id", "name").join(names, "name").select("work_id", *on)
+    flags = judged(fields, "work_id").unionByName(tagged)
     per_work = flags.groupBy("work_id").agg(*[
         F.bool_or(f"on{i}").cast("int").alias(f"tf{i}") for i in range(len(phrases))])
     return per_work.where(_matches(spec)).select("work_id")

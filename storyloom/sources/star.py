@@ -40,6 +40,16 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Text in fewer files than there are cores is dealt out to all of them.
+
+    A file with one row group is read by one task however large it is.  A table
+    of many files is read in parallel already and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _every(n: int, key: Column) -> Column:
     return key % n == 0
 
@@ -128,7 +138,7 @@ def tags(spark: SparkSession, root: str) -> DataFrame:
 
 
 def chapters(spark: SparkSession, root: str) -> DataFrame:
-    docs = table(spark, root, "documents").select("doc_id", "text")
+    docs = spread(table(spark, root, "documents").select("doc_id", "text"))
     return (
         docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
         .where(F.length(F.trim("line")) > 0)
