@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import simhash
-from storyloom.llm.common import table
+from storyloom.llm import language, outliers, simhash
+from storyloom.llm.common import id_rest, stored, table
+
+
+def op5_language(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").withColumn("held_out", id_rest("doc_id", 4) == 2)
+    model = language.train(docs.where("not held_out").select("text", "lang"))
+    return language.label(docs, model, ["doc_id", "held_out"])
 
 
 def op9_simhash(spark: SparkSession, root: str) -> DataFrame:
@@ -15,8 +21,18 @@ def op9_simhash(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_outliers(spark: SparkSession, root: str) -> DataFrame:
+    counted = stored(outliers.counted(table(spark, root, "documents"), ["doc_id"]), "counted")
+    judged = outliers.judge(counted, outliers.fit(counted))
+    return judged.select(
+        "doc_id", *[F.col(f"_s_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_distance").alias("distance"))
+
+
 QUERIES = {
+    "op5_language": op5_language,
     "op9_simhash": op9_simhash,
+    "op10_outliers": op10_outliers,
 }
 
 #: SQL twins; empty where the method cannot be said in SQL, then tests hold a brute-force version.
