@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import language, outliers, simhash
+from storyloom.llm import bpe, language, outliers, packing, simhash
 from storyloom.llm.common import id_rest, stored, table
 
 
@@ -15,6 +16,17 @@ def op5_language(spark: SparkSession, root: str) -> DataFrame:
     return language.label(docs, model, ["doc_id", "held_out"])
 
 
+def op6_packing(spark: SparkSession, root: str) -> DataFrame:
+    made = packing.pieces(table(spark, root, "documents"), "doc_id", public_tokenizers.path("byte_bpe_50k.json"),
+                          public_tokenizers.PATTERN, 2048)
+    return packing.pack(made, 2048)
+
+
+def op7_bpe(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.round_trip(table(spark, root, "documents"), ["doc_id"], public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+
+
 def op9_simhash(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     found = simhash.near_duplicates(docs, "doc_id", "text", k=3, seed=42, radius=2)
@@ -31,6 +43,8 @@ def op10_outliers(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "op5_language": op5_language,
+    "op6_packing": op6_packing,
+    "op7_bpe": op7_bpe,
     "op9_simhash": op9_simhash,
     "op10_outliers": op10_outliers,
 }
