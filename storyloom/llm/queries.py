@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, language, outliers, packing, simhash
+from storyloom.llm import bpe, language, outliers, packing, simhash, suffix_dedup
 from storyloom.llm.common import id_rest, stored, table
 
 
+def op1_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, root, "documents"), ["doc_id"])
+
+
 def op5_language(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").withColumn("held_out", id_rest("doc_id", 4) == 2)
     model = language.train(docs.where("not held_out").select("text", "lang"))
@@ -42,6 +46,7 @@ def op10_outliers(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
