@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, language, outliers, packing, simhash, suffix_dedup
+from storyloom.llm import bpe, kneser_ney, language, outliers, packing, simhash, suffix_dedup
 from storyloom.llm.common import id_rest, stored, table
 
 
@@ -31,6 +31,12 @@ def op7_bpe(spark: SparkSession, root: str) -> DataFrame:
                           public_tokenizers.PATTERN)
 
 
+def op8_kneser_ney(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").withColumn("held_out", id_rest("doc_id", 10) == 0)
+    model = kneser_ney.train(docs.where("not held_out"))
+    return kneser_ney.score(docs, model, ["doc_id", "held_out"])
+
+
 def op9_simhash(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     found = simhash.near_duplicates(docs, "doc_id", "text", k=3, seed=42, radius=2)
@@ -50,6 +56,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_simhash": op9_simhash,
     "op10_outliers": op10_outliers,
 }
