@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, kneser_ney, language, outliers, packing, simhash, suffix_dedup
+from storyloom.llm import bpe, kneser_ney, language, outliers, packing, rule_ensemble, simhash, stats, suffix_dedup, warc
 from storyloom.llm.common import id_rest, stored, table
 
 
@@ -14,6 +14,23 @@ def op1_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, root, "documents"), ["doc_id"])
 
 
+def op2_rules(spark: SparkSession, root: str) -> DataFrame:
+    counted = stored(stats.text_counts(table(spark, root, "documents"), ["doc_id"]), "counted")
+    rows = counted.select("doc_id", (id_rest("doc_id", 5) == 0).alias("held_out"),
+                          *[c.alias(n) for n, c in rule_ensemble.statistics().items()])
+    labels = table(spark, root, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = rule_ensemble.train(rows.where("not held_out").join(labels, "doc_id"))
+    scored = rows.select("doc_id", "held_out", model.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op4_warc(spark: SparkSession, root: str) -> DataFrame:
+    found = warc.read(warc.write(table(spark, root, "pages"), "page_id", "url", "html", least=0))
+    return found.where("gap IS NULL").select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op5_language(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").withColumn("held_out", id_rest("doc_id", 4) == 2)
     model = language.train(docs.where("not held_out").select("text", "lang"))
@@ -53,6 +70,8 @@ def op10_outliers(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_rules": op2_rules,
+    "op4_warc": op4_warc,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
@@ -61,5 +80,18 @@ QUERIES = {
     "op10_outliers": op10_outliers,
 }
 
-#: SQL twins; empty where the method cannot be said in SQL, then tests hold a brute-force version.
-SQL: dict[str, str] = {}
+#: The digits of base 32, and its form of a SHA-1: five hex digits are four of its digits.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_OP4 = f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}',
+    ((('0x' || substr(hex, 5 * (i // 4)::INT + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""
+
+#: SQL twins; where the method cannot be said in SQL, tests hold a brute-force version.
+SQL: dict[str, str] = {"op4_warc": _OP4}
