@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from storyloom.session import scratch_root
+from storyloom.session import scratch_root, ship
 
 #: Lower-cases A-Z in UTF-8 bytes and nothing else.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -22,7 +22,8 @@ BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small enough for long texts."""
+    """Keep Arrow batches small enough for long texts, and let workers import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark

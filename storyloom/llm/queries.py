@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, kneser_ney, language, outliers, packing, rule_ensemble, simhash, stats, suffix_dedup, warc
+from storyloom.llm import bpe, kneser_ney, language, media, outliers, packing, rule_ensemble, simhash, stats, suffix_dedup, warc
 from storyloom.llm.common import id_rest, stored, table
 
 
@@ -24,6 +24,11 @@ def op2_rules(spark: SparkSession, root: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op3_media(spark: SparkSession, root: str) -> DataFrame:
+    pictures = media.pictures_of(table(spark, root, "pages"))
+    return media.copies(pictures.select("media_id", "picture")).withColumn("page_id", F.floor(F.col("media_id") / 2))
+
+
 def op4_warc(spark: SparkSession, root: str) -> DataFrame:
     found = warc.read(warc.write(table(spark, root, "pages"), "page_id", "url", "html", least=0))
     return found.where("gap IS NULL").select(
@@ -71,6 +76,7 @@ def op10_outliers(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_rules": op2_rules,
+    "op3_media": op3_media,
     "op4_warc": op4_warc,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
