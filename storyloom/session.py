@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,6 +31,17 @@ def build(master: str | None = None, app: str = "storyloom", **extra: str) -> Sp
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession, *packages: str) -> None:
+    """Let Python workers import packages that lie beside this one, wherever the workers run; once a session."""
+    sc = spark.sparkContext
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sent = sc.__dict__.setdefault("_storyloom_sent", set())
+    for package in {"storyloom", *packages} - sent:
+        sent.add(package)
+        if os.path.isdir(os.path.join(here, package)):
+            sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), package), "zip", here, package))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and tables that cut lineage.
 
