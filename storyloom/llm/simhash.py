@@ -159,16 +159,17 @@ def link(nodes: DataFrame, key: str, radius: int, block: int = BLOCK) -> DataFra
     than a block are cut into parts by fingerprint, and every pair of parts
     becomes a bucket of its own: bounded tasks, no pair lost.
     """
-    rows = nodes.select(F.col(key).alias("node"), "fp", F.explode(F.array_distinct("keys")).alias("bucket"))
+    rows = nodes.select(F.col(key).alias("node"), F.explode(F.array_distinct("keys")).alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(2 * F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("fp", "node"), parts.cast("long")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
     others = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(
         F.least(mine, p).alias("i"), F.greatest(mine, p).alias("j")))
-    rows = rows.join(counts, "bucket").select(
-        "node", "fp", "bucket", F.explode(F.when(F.col("n") > block, others).otherwise(
-            F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))).alias("part"))
-    rows = rows.select("node", "fp", F.xxhash64("bucket", "part.i", "part.j").alias("bucket"))
+    rows = rows.join(counts, "bucket").select("node", "bucket", F.explode(F.when(F.col("n") > block, others).otherwise(
+        F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))).alias("part"))
+    rows = rows.select("node", F.xxhash64("bucket", "part.i", "part.j").alias("bucket"))
+    # only those that share a bucket fetch their fingerprints
+    rows = rows.join(nodes.select(F.col(key).alias("node"), "fp"), "node")
     kind = nodes.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,3 +200,64 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(key, "fp", "component_id")
+
+
+#: Of whole documents: words of a shingle, 64-bit words of the fingerprint, bands of minima and minima of a band.
+SHINGLE, WIDE, BANDS, ROWS = 5, 8, 12, 3
+#: Differing bits of 512 at which the estimated share of common shingles is still 0.8.
+#: Bits of two fingerprints agree with probability 1 - angle / pi; a share of 0.8 is an angle of acos(8 / 9),
+#: 77 bits, and about half a standard deviation is added so that copies near the limit are rather found.
+WIDE_RADIUS = 82
+_MULTIPLIERS = np.random.default_rng(99).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """Blocking keys of a document: a hash of each band of minima of its shingles' hashes.
+
+    Documents with 0.8 of their shingles in common agree in one of 12 bands of 3
+    with probability 1 - (1 - 0.8 ** 3) ** 12, above 0.9998.
+    """
+    if not len(hashes):
+        return [0]
+    out, least = [], np.empty(BANDS * ROWS, np.uint64)
+    for begin in range(0, len(hashes), 65536):  # long texts in parts
+        part = (hashes[begin:begin + 65536, None] * _MULTIPLIERS).min(axis=0)
+        least = np.minimum(least, part) if begin else part
+    for band, row in enumerate(least.reshape(BANDS, ROWS)):
+        out.append(xxhash.xxh64_intdigest(row.tobytes(), band) - (1 << 63))
+    return out
+
+
+def near_copies(docs: DataFrame, text: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
+    """``node`` (a hash of a text) and ``root`` (the same for all near copies) of every different text that has one.
+
+    Near copies are texts whose wide fingerprints over 5-word shingles differ in
+    at most ``radius`` bits, and what such links connect.  Texts without a near
+    copy are not returned; nulls and blank texts are copies of each other.
+    """
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            made = [shingle_hashes(t, SHINGLE, 42) for t in rows["_t"]]
+            yield pd.DataFrame({"node": rows["node"], "fp": [fingerprint(h, WIDE) for h in made], "keys": [sketch(h) for h in made]})
+    prints = frames(docs.select(node_of(text).alias("node"), octets(text).alias("_t")), work, "node binary, fp binary, keys array<long>")
+    nodes = stored(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    return components(link(nodes, "node", radius, block=1024))
+
+
+def node_of(text: str = "text") -> Column:
+    return F.unhex(F.md5(octets(text)))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the smallest key of each group of copies and near copies, whole; nulls count as largest.
+
+    Of rows equal in key and text one stays.
+    """
+    columns = docs.columns
+    roots = stored(near_copies(docs, text), "roots")
+    named = docs.select(F.col(key).alias("_key"), node_of(text).alias("node")).join(roots, "node", "left")
+    first = named.groupBy(F.coalesce("root", "node").alias("root")).agg(
+        F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("node").alias("node"))).alias("w"))
+    winners = first.select(F.col("w.node").alias("_node"), F.col("w.key").alias("_first"))
+    rows = docs.select("*", node_of(text).alias("_node")).join(winners, "_node").where(F.col(key).eqNullSafe(F.col("_first")))
+    return rows.dropDuplicates(["_node", key]).select(*columns)
