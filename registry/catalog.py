@@ -97,6 +97,15 @@ def catalogue_page(spark, root):
         "chapters_read", "offset", "fandom", "relationship", "relationships")
 
 
+@query("catalogue_long_page", sql("""
+SELECT work_id, title, words,
+  (SELECT min(name) FROM tags t WHERE t.work_id = p.work_id AND kind = 'fandom') AS fandom
+FROM (SELECT * FROM shown ORDER BY words DESC NULLS LAST, work_id LIMIT 1500 OFFSET 300) p"""))
+def catalogue_long_page(spark, root):
+    """A page is as long as it is asked to be."""
+    return catalog.works(library(spark, root), sort="words", limit=1500, offset=300).select("work_id", "title", "words", "fandom")
+
+
 @query("tag_substring", sql("SELECT work_id, kind, name FROM tags WHERE contains(lower(name), 'ing')"))
 def tag_substring(spark, root):
     return library(spark, root).tags.where(facets._contains(F.col("name"), "ING"))

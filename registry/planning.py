@@ -158,7 +158,7 @@ def backlog_stages(spark, root):
 
 
 @query("stub_backlog", sql("""
-SELECT work_id FROM shown WHERE bare ORDER BY coalesce(updated, published) DESC NULLS LAST, work_id DESC LIMIT 2000"""))
+SELECT work_id FROM shown WHERE bare ORDER BY coalesce(updated, published) DESC NULLS LAST, work_id DESC"""))
 def stub_backlog(spark, root):
     return sync.stub_backlog(library(spark, root)).select("work_id")
 
@@ -166,7 +166,7 @@ def stub_backlog(spark, root):
 @query("auto_batch", sql("""
 SELECT work_id FROM shown WHERE bare AND work_id NOT IN (SELECT work_id FROM deleted) AND work_id NOT IN (
   SELECT work_id FROM ev WHERE k % 3 <> 0 AND k % 5 < 3)
-ORDER BY coalesce(updated, published) DESC NULLS LAST, work_id DESC LIMIT 2000"""))
+ORDER BY coalesce(updated, published) DESC NULLS LAST, work_id DESC"""))
 def auto_batch(spark, root):
     lib = library(spark, root)
     items = events(spark, root).select(
@@ -251,8 +251,8 @@ _status("queue_status_settled", "state IN ('done', 'cancelled')", "Some works st
 
 @query("bookmark_frontier", sql("""
 SELECT work_id, page, needed, new, page_stop >= total AS complete FROM (
-  SELECT b.*, (SELECT least(40, coalesce(min(CASE WHEN n = 0 THEN page END), 40)) FROM
-      (SELECT page, count(*) FILTER (new) AS n FROM bp WHERE page <= 40 GROUP BY 1)) AS page_stop FROM bp b)
+  SELECT b.*, (SELECT coalesce(min(CASE WHEN n = 0 THEN page END), (SELECT max(page) FROM bp)) FROM
+      (SELECT page, count(*) FILTER (new) AS n FROM bp GROUP BY 1)) AS page_stop FROM bp b)
 WHERE page <= page_stop""", """
 bp AS (
   SELECT work_id, page, total, work_id NOT IN (SELECT work_id FROM works WHERE has_text) AS needed,
@@ -265,6 +265,23 @@ def bookmark_frontier(spark, root):
     return sync.bookmark_frontier(pages, lib.works.where("in_bookmarks"), lib.works.where("has_text"))
 
 
+@query("bookmark_frontier_deep", sql("""
+SELECT work_id, page, needed, true AS new, page_stop >= total AS complete FROM (
+  SELECT b.*, (SELECT coalesce(min(CASE WHEN n = 0 THEN page END), (SELECT max(page) FROM bd)) FROM
+      (SELECT page, count(*) FILTER (new) AS n FROM bd GROUP BY 1)) AS page_stop FROM bd b)
+WHERE page <= page_stop""", """
+bd AS (
+  SELECT work_id, page, total, work_id NOT IN (SELECT work_id FROM works WHERE has_text) AS needed, true AS new
+  FROM (SELECT work_id, wk // 20 + 1 AS page, (SELECT max(wk) // 20 + 1 FROM works) AS total FROM works WHERE NOT in_bookmarks))"""))
+def bookmark_frontier_deep(spark, root):
+    """A list of which nothing is known is walked to its last page."""
+    lib = library(spark, root)
+    total = lib.works.agg((F.max(_wk()) / 20).cast("bigint") + 1).scalar()
+    pages = lib.works.where(~F.col("in_bookmarks")).select(
+        "work_id", F.expr("CAST(work_id AS bigint) div 20 + 1").alias("page"), total.alias("total_pages"))
+    return sync.bookmark_frontier(pages, lib.works.where("in_bookmarks"), lib.works.where("has_text"))
+
+
 # --- listings into the library ------------------------------------------------
 
 @query("apply_listings", sql("""
@@ -291,10 +308,11 @@ def apply_listings_tags(spark, root):
 
 
 @query("save_stubs", sql("""
-SELECT w.work_id, CASE WHEN s THEN l.title ELSE w.title END AS title, CASE WHEN s THEN l.kudos ELSE w.kudos END AS kudos,
-  CASE WHEN s THEN 'listing' ELSE w.source END AS source FROM works w LEFT JOIN ls l USING (work_id),
-  LATERAL (SELECT l.work_id IS NOT NULL AND w.work_id NOT IN (SELECT work_id FROM deleted)
-    AND w.work_id IN (SELECT work_id FROM allrows WHERE placeholder) AS s)
+SELECT w.work_id, CASE WHEN s.work_id IS NULL THEN w.title ELSE s.title END AS title,
+  CASE WHEN s.work_id IS NULL THEN w.kudos ELSE s.kudos END AS kudos, CASE WHEN s.work_id IS NULL THEN w.source ELSE 'listing' END AS source
+FROM works w LEFT JOIN (
+  SELECT l.* FROM ls l JOIN (SELECT DISTINCT work_id FROM allrows WHERE placeholder) p USING (work_id)
+  LEFT JOIN deleted d USING (work_id) WHERE d.work_id IS NULL) s USING (work_id)
 UNION ALL SELECT work_id, title, kudos, 'listing' FROM ls WHERE work_id NOT IN (SELECT work_id FROM works)
   AND work_id NOT IN (SELECT work_id FROM deleted)""", *LISTS))
 def save_stubs(spark, root):

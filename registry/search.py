@@ -94,6 +94,24 @@ _match("match_near", SearchSpec(all_of=(Phrase(("ing", "the"), near=3),)), ("p0"
        """p0 AS (SELECT a.doc, count(DISTINCT a.pos) AS tf FROM toks a JOIN toks b ON a.doc = b.doc AND abs(a.pos - b.pos) <= 4
           WHERE a.term = 'ing' AND b.term = 'the' GROUP BY 1)""")
 
+_match("match_hyphen", SearchSpec(all_of=(Phrase(("of-the",)),)), ("p0",), "p0.tf > 0",
+       "p0 AS (SELECT a.doc, count(*) AS tf FROM toks a JOIN toks b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1)")
+_match("match_apostrophe", SearchSpec.typed("the'in"), ("p0",), "p0.tf > 0",
+       "p0 AS (SELECT a.doc, count(*) AS tf FROM toks a JOIN toks b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.term = 'the' AND b.term LIKE 'in%' GROUP BY 1)")
+_match("match_near_three", SearchSpec(all_of=(Phrase(("the", "and", "of"), near=3),)), ("p0",), "p0.tf > 0",
+       """p0 AS (SELECT a.doc, count(DISTINCT a.pos) AS tf FROM toks a JOIN toks b ON a.doc = b.doc AND abs(a.pos - b.pos) <= 4
+          JOIN toks c ON b.doc = c.doc AND abs(b.pos - c.pos) <= 4 WHERE a.term = 'the' AND b.term = 'and' AND c.term = 'of' GROUP BY 1)""")
+
+
+@query("match_unfolded", sql("""
+SELECT doc, work_id, tf FROM (SELECT id AS doc, work_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w = 'é')) AS tf FROM chapters)
+WHERE tf > 0"""))
+def match_unfolded(spark, root):
+    """An index that keeps its marks is searched with them."""
+    index = search.build(library(spark, root).chapters, diacritics=False)
+    return search.hits(index.postings, [Phrase(("É",))], index.diacritics).select("doc", "work_id", F.col("tf0").alias("tf"))
+
+
 _PAGE = "SELECT doc, work_id, score FROM ({} WHERE {} AND {}) ORDER BY raw DESC, doc LIMIT {}"
 _VISIBLE = "w.work_id IN (SELECT work_id FROM works WHERE NOT hidden)"
 
@@ -104,6 +122,23 @@ def rank_passages(spark, root):
     return _rounded(search.top(search.scored(index, SearchSpec(all_of=(_RARE,)))))
 
 
+@query("rank_many", sql(_PAGE.format(_score("p0"), "p0.tf > 0", "true", 500), *TOKS, _A.replace("p1", "p0")))
+def rank_many(spark, root):
+    """As many hits as asked for, however many."""
+    _, index = _index(spark, root)
+    return _rounded(search.top(search.scored(index, SearchSpec(all_of=(_THE,))), 500))
+
+
+@query("search_stored", sql(f"SELECT doc, work_id, score FROM ({_score('p0', 'p1')} WHERE p0.tf > 0 AND p1.tf > 0)", *TOKS, _A, _B))
+def search_stored(spark, root):
+    """A search over an index that was written: only the buckets of its terms are read."""
+    import uuid
+    _, index = _index(spark, root)
+    path = f"{scratch_root(spark)}/index-{uuid.uuid4().hex}"
+    search.write(index, path)
+    return _rounded(search.scored(search.read(spark, path), SearchSpec(all_of=(_THE, _RARE))))
+
+
 _SNIP = """
 SELECT p.doc, p.work_id, p.score, CASE WHEN s > 1 THEN '…' ELSE '' END ||
   array_to_string(list_transform(range(s, least(s + 18, len(raw_ws) + 1)),
@@ -188,3 +223,13 @@ UNION ALL SELECT 'passage', p.work_id, w.title, (p.doc % 1000000)::INT, NULL, p.
 def search_everything(spark, root):
     lib, index = _index(spark, root)
     return search.search_everything(index, lib, "rin").withColumn("score", F.round("score", 6))
+
+
+@query("search_everything_short", sql(f"""
+SELECT 'passage' AS kind, p.work_id, w.title AS name, (p.doc % 1000000)::INT AS number, p.score
+FROM ({_PAGE.format(_score("p0"), "p0.tf > 0", _VISIBLE, 10)}) p JOIN works w USING (work_id)""", *TOKS, _tf("p0", "term LIKE 'in%'")))
+def search_everything_short(spark, root):
+    """Two letters find passages too."""
+    lib, index = _index(spark, root)
+    return search.search_everything(index, lib, "in").where("kind = 'passage'").select(
+        "kind", "work_id", "name", "number", F.round("score", 6).alias("score"))

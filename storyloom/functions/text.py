@@ -46,9 +46,10 @@ def count_words(text: Column) -> Column:
 
 
 def _code_point(digits: Column, base: int) -> Column:
+    digits = F.regexp_replace(digits, "^0+", "")
     point = F.conv(digits, base, 10).cast("bigint")
     return F.when(
-        point.between(1, 0x10FFFF),
+        (F.length(digits) <= 8) & point.between(1, 0x10FFFF),
         F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
 
 
@@ -59,8 +60,8 @@ def decode_entities(text: Column) -> Column:
     def piece(part: Column) -> Column:
         body = F.regexp_extract(part, "^(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z]+);", 1)
         known = (
-            F.when(F.lower(body).startswith("#x"), _code_point(F.substring(body, 3, 12), 16))
-            .when(body.startswith("#"), _code_point(F.substring(body, 2, 12), 10))
+            F.when(F.lower(body).startswith("#x"), _code_point(F.substr(body, F.lit(3)), 16))
+            .when(body.startswith("#"), _code_point(F.substr(body, F.lit(2)), 10))
             .otherwise(F.try_element_at(table, F.lower(body))))
         return F.when((body != "") & known.isNotNull(),
                       F.concat(known, F.substr(part, F.length(body) + 2))

@@ -12,8 +12,6 @@ from storyloom.functions.values import visited_at
 from storyloom.model import Library
 from storyloom.spec import FilterSpec
 
-PAGE_MAX = 200
-OFFSET_MAX = 1_000_000
 # Fixed value: what a listing says of a work that is not yet revealed.
 UNREVEALED = "this is part of an ongoing challenge and will be revealed soon"
 TAG_KINDS = ("fandom", "relationship", "character", "freeform", "warning", "category")
@@ -261,24 +259,24 @@ def shuffled(seed: int) -> Column:
 
 
 def works(lib: Library, spec: FilterSpec = FilterSpec(), sort: str = "title",
-          limit: int = 50, offset: int = 0, seed: int = 0) -> DataFrame:
-    """One page of the catalogue.
+          limit: int | None = 50, offset: int = 0, seed: int = 0) -> DataFrame:
+    """One page of the catalogue, of any length; without a limit, all of it.
 
-    The page is cut first (a top-k, no full sort) and only its at most
-    ``PAGE_MAX`` works are looked up among the tags.
+    The page is cut first, and only its works are looked up among the tags.  It
+    is planned once: its rows travel through the lookup as one value.
     """
-    limit, offset = min(limit, PAGE_MAX), min(offset, OFFSET_MAX)
     order = sort_keys(sort, seed)
-    page = matching(lib, spec).orderBy(*order).offset(offset).limit(limit)
+    page = matching(lib, spec).orderBy(*order)
+    page = page.offset(offset) if offset else page
+    page = page if limit is None else page.limit(limit)
     of = lambda kind: F.when(F.col("kind") == kind, F.col("name"))
-    # broadcast is bounded: a page never exceeds PAGE_MAX identifiers
-    shown = lib.tags.where(F.col("kind").isin("fandom", "relationship")).join(
-        F.broadcast(page.select("work_id")), "work_id", "left_semi")
-    labels = shown.groupBy("work_id").agg(
-        F.min(of("fandom")).alias("fandom"), F.min(of("relationship")).alias("relationship"),
+    tags = lib.tags.where(F.col("kind").isin("fandom", "relationship")).select("work_id", "kind", "name")
+    labelled = page.select("work_id", F.struct(*[c for c in page.columns if c != "work_id"]).alias("row")).join(
+        tags, "work_id", "left").groupBy("work_id").agg(
+        F.any_value("row").alias("row"), F.min(of("fandom")).alias("fandom"), F.min(of("relationship")).alias("relationship"),
         F.array_join(F.array_sort(F.collect_set(of("relationship"))), "\n").alias("relationships"))
     return (
-        page.join(labels, "work_id", "left")
+        labelled.select("work_id", "row.*", "fandom", "relationship", "relationships")
         .orderBy(*order)
         .select(
             "work_id", "title", "authors", "summary", "words", "chapter_count",

@@ -24,8 +24,17 @@ SNAPSHOT = ("visits", "last_visited", "visits_synced_at")
 
 
 def add_missing(held: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Insert-or-ignore: held rows win, incoming ones fill the gaps once each."""
-    fresh = incoming.dropDuplicates(list(key)).join(held.select(*key), list(key), "left_anti")
+    """Insert-or-ignore: held rows win, incoming ones fill the gaps once each.
+
+    Of several incoming rows of one key the first by all their values is taken,
+    so a run gives what the run before gave.
+    """
+    rest = [c for c in incoming.columns if c not in key]
+    fresh = incoming.join(held.select(*key).distinct(), list(key), "left_anti")
+    if rest:
+        fresh = fresh.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*").select(*incoming.columns)
+    else:
+        fresh = fresh.distinct()
     return held.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -8,6 +8,7 @@ single small shuffle, and does everything after that with column arithmetic.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -22,9 +23,7 @@ from storyloom.operators import catalog
 from storyloom.spec import FilterSpec, Phrase, SearchSpec
 
 K1, B = 1.2, 0.75
-HITS_MAX = 100
 SNIPPET_TOKENS = 18
-SHORTEST_SCAN = 3
 TERM = "[\\p{L}\\p{N}]+"
 BUCKETS = 64
 
@@ -49,11 +48,11 @@ def tokens(text: Column, diacritics: bool = True) -> Column:
     return F.filter(F.split(fold(F.coalesce(text, F.lit("")), diacritics), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
-def _folded_terms(phrase: Phrase) -> list[str]:
-    """The same folding for the few terms of a query."""
+def _cut_terms(phrase: Phrase, diacritics: bool = True) -> list[str]:
+    """The words of a query, cut and folded as the index cuts and folds its texts."""
     marked, plain = _folding()
-    table = {ord(c): (plain[i] if i < len(plain) else None) for i, c in enumerate(marked)}
-    return [t.lower().translate(table) for t in phrase.terms]
+    table = {ord(c): (plain[i] if i < len(plain) else None) for i, c in enumerate(marked)} if diacritics else {}
+    return [t for term in phrase.terms for t in re.findall(r"[^\W_]+", term.lower().translate(table))]
 
 
 # --- the index ----------------------------------------------------------------
@@ -62,6 +61,8 @@ def _folded_terms(phrase: Phrase) -> list[str]:
 class SearchIndex:
     postings: DataFrame
     docs: DataFrame
+    #: Whether marks were taken off letters; searches do as the index did.
+    diacritics: bool = True
 
 
 def build(chapters: DataFrame, diacritics: bool = True) -> SearchIndex:
@@ -74,7 +75,7 @@ def build(chapters: DataFrame, diacritics: bool = True) -> SearchIndex:
         F.any_value("work_id").alias("work_id"), F.any_value("number").alias("number"),
         F.any_value("length").alias("length"), F.count(F.lit(1)).alias("tf"),
         F.array_sort(F.collect_list("pos")).alias("positions"))
-    return SearchIndex(postings, split.drop("tokens"))
+    return SearchIndex(postings, split.drop("tokens"), diacritics)
 
 
 def term_stats(index: SearchIndex) -> DataFrame:
@@ -92,18 +93,21 @@ def write(index: SearchIndex, path: str) -> None:
     (placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "doc")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    index.docs.sparkSession.range(1).select(F.lit(index.diacritics).alias("diacritics")).write.mode("overwrite").parquet(
+        f"{path}/settings")
 
 
 def read(spark: SparkSession, path: str) -> SearchIndex:
-    return SearchIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
+    settings = spark.read.parquet(f"{path}/settings").first()
+    return SearchIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), settings["diacritics"])
 
 
 def refresh(index: SearchIndex, chapters: DataFrame, works: DataFrame) -> SearchIndex:
     """The index with only some works' chapters indexed anew."""
     ids = works.select("work_id").distinct()
-    new = build(chapters.join(ids, "work_id", "left_semi"))
+    new = build(chapters.join(ids, "work_id", "left_semi"), index.diacritics)
     rest = lambda df: df.drop("bucket").join(ids, "work_id", "left_anti")
-    return SearchIndex(rest(index.postings).unionByName(new.postings), rest(index.docs).unionByName(new.docs))
+    return SearchIndex(rest(index.postings).unionByName(new.postings), rest(index.docs).unionByName(new.docs), index.diacritics)
 
 
 # --- matching and scoring -----------------------------------------------------
@@ -112,8 +116,10 @@ def _is(term: Column, wanted: str, prefix: bool) -> Column:
     return term.startswith(wanted) if prefix else term == wanted
 
 
-def _slots(phrase: Phrase) -> list[tuple[str, bool]]:
-    terms = _folded_terms(phrase)
+def _slots(phrase: Phrase, diacritics: bool = True) -> list[tuple[str, bool]]:
+    terms = _cut_terms(phrase, diacritics)
+    if phrase.near is not None and len(terms) == 1:
+        raise ValueError("a phrase with near needs two terms or more")
     return [(t, phrase.prefix and i == len(terms) - 1) for i, t in enumerate(terms)]
 
 
@@ -122,13 +128,21 @@ def _reach(positions: Column, n: int) -> Column:
     return F.flatten(F.transform(positions, lambda p: F.sequence(p - n - 1, p + n + 1)))
 
 
-def hits(postings: DataFrame, phrases: Sequence[Phrase]) -> DataFrame:
+def _chained(at: Sequence[Column], n: int) -> Column:
+    """Places of the first term from which each next term lies within reach of the one before."""
+    held = at[-1]
+    for positions in reversed(at[:-1]):
+        held = F.array_intersect(positions, _reach(held, n))
+    return held
+
+
+def hits(postings: DataFrame, phrases: Sequence[Phrase], diacritics: bool = True) -> DataFrame:
     """Per document, how often each phrase occurs: columns tf0, tf1, …
 
     Every phrase is read off the same rows, grouped by document once.  All
     words a prefix expands to count as one phrase.
     """
-    wanted = [slot for p in phrases for slot in _slots(p)]
+    wanted = [slot for p in phrases for slot in _slots(p, diacritics)]
     term = F.col("term")
     any_term = reduce(Column.__or__, [_is(term, t, prefix) for t, prefix in wanted])
     if "bucket" in postings.columns and not any(prefix for _, prefix in wanted):
@@ -136,7 +150,7 @@ def hits(postings: DataFrame, phrases: Sequence[Phrase]) -> DataFrame:
             F.pmod(F.hash(F.lit(t)), F.lit(BUCKETS)) for t, _ in wanted]))
     parts, counts = [], []
     for i, phrase in enumerate(phrases):
-        slots = _slots(phrase)
+        slots = _slots(phrase, diacritics)
         if len(slots) == 1:
             on = _is(term, *slots[0])
             parts.append(F.coalesce(F.sum(F.when(on, F.col("tf"))), F.lit(0)).alias(f"tf{i}"))
@@ -147,8 +161,7 @@ def hits(postings: DataFrame, phrases: Sequence[Phrase]) -> DataFrame:
             parts.append(found.alias(f"at{i}_{j}"))
         at = [F.col(f"at{i}_{j}") for j in range(len(slots))]
         if phrase.near is not None:
-            first, second = at[0], at[1]
-            counts.append(F.size(F.array_intersect(first, _reach(second, phrase.near))))
+            counts.append(F.size(_chained(at, phrase.near)))
         else:
             shifted = [_shift(p, j) for j, p in enumerate(at)]
             counts.append(F.size(reduce(F.array_intersect, shifted)))
@@ -176,7 +189,7 @@ def _matches(spec: SearchSpec) -> Column:
 
 
 def _real(phrases: Sequence[Phrase]) -> list[Phrase]:
-    return [p for p in phrases if p.terms]
+    return [p for p in phrases if _cut_terms(p)]
 
 
 def _phrases(spec: SearchSpec) -> list[Phrase]:
@@ -199,8 +212,8 @@ def scored(index: SearchIndex, spec: SearchSpec, works: DataFrame | None = None)
     narrowed to some works.  The average length is a whole number, as the
     ranking is defined on whole numbers.
     """
-    found = hits(index.postings, _phrases(spec))
-    wanted = range(len(spec.wanted))
+    found = hits(index.postings, _phrases(spec), index.diacritics)
+    wanted = range(len(_real(spec.wanted)))
     corpus = index.docs.agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("length")).alias("average"))).scalar()
     spread = found.agg(F.struct(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in wanted])).scalar()
@@ -212,19 +225,20 @@ def scored(index: SearchIndex, spec: SearchSpec, works: DataFrame | None = None)
     return kept.select("doc", "work_id", "number", reduce(Column.__add__, parts).alias("score"))
 
 
-def top(rows: DataFrame, k: int = 40) -> DataFrame:
-    """Best first.  Every match is ranked, not a leading sample of them."""
-    return rows.orderBy(F.col("score").desc(), "doc").limit(min(k, HITS_MAX))
+def top(rows: DataFrame, k: int | None = 40) -> DataFrame:
+    """The best k, or all, best first.  Every match is ranked, not a leading sample of them."""
+    ranked = rows.orderBy(F.col("score").desc(), "doc")
+    return ranked if k is None else ranked.limit(k)
 
 
 # --- passages -----------------------------------------------------------------
 
-def snippet(text: Column, spec: SearchSpec, n: int = SNIPPET_TOKENS) -> Column:
+def snippet(text: Column, spec: SearchSpec, n: int = SNIPPET_TOKENS, diacritics: bool = True) -> Column:
     """The earliest run of ``n`` tokens showing the most different terms."""
-    slots = list(dict.fromkeys(s for p in spec.wanted for s in _slots(p)))
+    slots = list(dict.fromkeys(s for p in spec.wanted for s in _slots(p, diacritics)))
 
     def which(word: Column) -> Column:
-        folded, out = fold(word), None
+        folded, out = fold(word, diacritics), None
         for i, (term, prefix) in enumerate(slots, 1):
             hit = _is(folded, term, prefix)
             out = F.when(hit, F.lit(i)) if out is None else out.when(hit, F.lit(i))
@@ -248,23 +262,22 @@ def snippet(text: Column, spec: SearchSpec, n: int = SNIPPET_TOKENS) -> Column:
     return let(let(words, lambda w: F.struct(w.alias("words"), F.transform(w, which).alias("marks"))), cut)
 
 
-def search_text(index: SearchIndex, lib: Library, spec: SearchSpec, k: int = 40,
+def search_text(index: SearchIndex, lib: Library, spec: SearchSpec, k: int | None = 40,
                 works: DataFrame | None = None, respect_hidden: bool = True) -> DataFrame:
     """Ranked passages with their work's title and a snippet."""
-    found = scored(index, spec, works) if not spec.blank else _nothing(index)
+    blank = not _real(spec.wanted)
+    found = _nothing(index) if blank else scored(index, spec, works)
     there = lib.works.where(~F.coalesce("hidden", F.lit(False))) if respect_hidden else lib.works
     page = top(found.join(there.select("work_id"), "work_id", "left_semi"), k)
-    # broadcasts are bounded: a page is at most HITS_MAX rows
-    titled = there.select("work_id", "title", "authors").join(F.broadcast(page), "work_id")
-    texts = lib.chapters.select(F.col("id").alias("doc"), "text").join(
-        F.broadcast(page.select("doc")), "doc", "left_semi")
-    shown = snippet(F.col("text"), spec) if not spec.blank else F.lit("")
-    return titled.join(F.broadcast(texts), "doc").select(
+    # the page is evaluated once; adaptive execution sees its size before it picks the joins
+    titled = page.join(there.select("work_id", "title", "authors"), "work_id")
+    shown = F.lit("") if blank else snippet(F.col("text"), spec, diacritics=index.diacritics)
+    return titled.join(lib.chapters.select(F.col("id").alias("doc"), "text"), "doc").select(
         "doc", "work_id", "number", "title", "authors", shown.alias("snippet"), "score").orderBy(
         F.col("score").desc(), "doc")
 
 
-def search_work(index: SearchIndex, lib: Library, spec: SearchSpec, works: DataFrame | None, k: int = 40) -> DataFrame:
+def search_work(index: SearchIndex, lib: Library, spec: SearchSpec, works: DataFrame | None, k: int | None = 40) -> DataFrame:
     """Passages of some works alone; of no works, nothing."""
     if works is None:
         return search_text(index, lib, SearchSpec(), k)
@@ -284,10 +297,9 @@ def _within(words: Column, phrase: Phrase) -> Column:
         return F.exists(words, lambda w: _is(w, *slots[0]))
     last = F.size(words)
     if phrase.near is not None:
-        reach = phrase.near + 1
-        return F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: _is(
-            F.get(words, i - 1), *slots[0]) & F.exists(
-            F.slice(words, F.greatest(i - reach, F.lit(1)), 2 * reach + 1), lambda w: _is(w, *slots[1])))
+        places = lambda slot: F.filter(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), lambda i: F.coalesce(
+            _is(F.get(words, i), *slot), F.lit(False)))
+        return F.size(_chained([places(s) for s in slots], phrase.near)) > 0
     return F.exists(
         F.sequence(F.lit(0), F.greatest(last - len(slots), F.lit(0))),
         lambda i: reduce(Column.__and__, [
@@ -300,7 +312,7 @@ def meta_ids(lib: Library, spec: SearchSpec) -> DataFrame:
     Texts are judged where they lie; only those holding a phrase are shuffled,
     as one flag per phrase.
     """
-    if spec.blank:
+    if not _real(spec.wanted):
         return lib.works.where(F.lit(False)).select("work_id")
     phrases = _phrases(spec)
     on = [f"on{i}" for i in range(len(phrases))]
@@ -322,17 +334,13 @@ def meta_ids(lib: Library, spec: SearchSpec) -> DataFrame:
 
 
 def search_meta(lib: Library, spec: SearchSpec, filters: FilterSpec = FilterSpec(), sort: str = "title",
-                limit: int = 40) -> DataFrame:
+                limit: int | None = 40) -> DataFrame:
     """Matching works, filtered, sorted and shaped as the catalogue does."""
     return catalog.works(lib, filters.but(ids=meta_ids(lib, spec)), sort=sort, limit=limit)
 
 
 def search_everything(index: SearchIndex, lib: Library, text: str) -> DataFrame:
-    """Eight works, six tags and ten passages, told apart by ``kind``.
-
-    Passages wait for a third character, as a shorter start of a word is found
-    nearly everywhere.
-    """
+    """Eight works, six tags and ten passages, told apart by ``kind``."""
     text = text.strip()
     spec = SearchSpec.typed(*text.split())
     shape = ["kind", "work_id", "name", "number", "n", "score"]
@@ -346,8 +354,7 @@ def search_everything(index: SearchIndex, lib: Library, text: str) -> DataFrame:
         .orderBy(F.col("n").desc(), "name", "kind").limit(6)
         .select(F.concat(F.lit("tag "), "kind").alias("kind"), none("string").alias("work_id"), "name",
                 none("int").alias("number"), "n", none("double").alias("score")))
-    scanned = spec if len(text) >= SHORTEST_SCAN else SearchSpec()
-    passages = search_text(index, lib, scanned, 10).select(
+    passages = search_text(index, lib, spec, 10).select(
         F.lit("passage").alias("kind"), "work_id", F.col("title").alias("name"), "number",
         none("bigint").alias("n"), "score")
     return found.select(*shape).unionByName(tags.select(*shape)).unionByName(passages.select(*shape))

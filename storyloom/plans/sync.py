@@ -12,11 +12,10 @@ from storyloom.operators import admin, catalog
 
 ACTIONS = ("fetch", "refetch", "skin", "skip")
 STAGES = ("phantom", "bookmarks", "refetch", "skins", "history")
-# Works to a listing page, pauses between requests, batch sizes.
+# Works to a listing page, pauses between requests.
 PER_PAGE = 20
 PAGE_GAP_MS = 28_000
 FETCH_GAP_MS = 29_000
-BATCH = 2000
 #: Arrays of a listing entry and the tag kind each holds.
 TAG_FIELDS = (
     ("fandoms", "fandom"), ("relationships", "relationship"), ("characters", "character"),
@@ -96,22 +95,24 @@ def listing_cost(total_pages: Column) -> dict[str, Column]:
             "minutes": F.ceil(pages * PAGE_GAP_MS / 60_000).cast("bigint")}
 
 
-def bookmark_frontier(pages: DataFrame, bookmarked: DataFrame, held: DataFrame, max_pages: int = 40) -> DataFrame:
+def bookmark_frontier(pages: DataFrame, bookmarked: DataFrame, held: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Entries of a newest-first list up to the first page with nothing new.
 
-    ``pages`` has (page, total_pages, work_id).  That page still counts.  The
+    ``pages`` has (page, total_pages, work_id).  That page still counts; a caller
+    may look at its first ``max_pages`` alone.  The
     walk is complete only when it came to the last page; familiar entries say
     nothing of pages further down.
     """
     known = bookmarked.select("work_id").distinct().withColumn("known", F.lit(True))
     here = held.select("work_id").distinct().withColumn("held", F.lit(True))
-    entries = pages.where(F.col("page") <= max_pages).join(known, "work_id", "left").join(here, "work_id", "left")
+    last = F.lit(max_pages) if max_pages is not None else pages.agg(F.max("page").alias("page")).scalar()
+    entries = (pages if max_pages is None else pages.where(F.col("page") <= max_pages)).join(known, "work_id", "left").join(here, "work_id", "left")
     per_page = entries.groupBy("page").agg(
         F.count_if(F.col("known").isNull()).alias("new"), F.max("total_pages").alias("total"))
     stop = per_page.agg(
-        F.coalesce(F.min(F.when(F.col("new") == 0, F.col("page"))), F.lit(max_pages)).alias("stop"),
+        F.min(F.when(F.col("new") == 0, F.col("page"))).alias("stop"),
         F.max("total").alias("total"))
-    ends = F.least(F.lit(max_pages), stop.select("stop").scalar())
+    ends = F.coalesce(stop.select("stop").scalar(), last)
     whole = stop.select("total").scalar()
     return entries.where(F.col("page") <= ends).select(
         "work_id", "page", F.col("held").isNull().alias("needed"),
@@ -163,11 +164,17 @@ def without_text(lib: Library) -> DataFrame:
         "work_id", F.coalesce("updated", "published").alias("changed"))
 
 
-def stub_backlog(lib: Library, limit: int = BATCH) -> DataFrame:
-    return without_text(lib).orderBy(F.col("changed").desc_nulls_last(), F.col("work_id").desc()).limit(limit)
+def _newest(works: DataFrame, limit: int | None) -> DataFrame:
+    ordered = works.orderBy(F.col("changed").desc_nulls_last(), F.col("work_id").desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def auto_batch(lib: Library, considered: DataFrame, items: DataFrame, limit: int = BATCH) -> DataFrame:
+def stub_backlog(lib: Library, limit: int | None = None) -> DataFrame:
+    """The whole backlog, newest first, or as many as a caller asks for."""
+    return _newest(without_text(lib), limit)
+
+
+def auto_batch(lib: Library, considered: DataFrame, items: DataFrame, limit: int | None = None) -> DataFrame:
     """The next works to queue: not tried before and not on their way.
 
     ``items`` has (work_id, job_state, state) of every job's items.
@@ -175,10 +182,8 @@ def auto_batch(lib: Library, considered: DataFrame, items: DataFrame, limit: int
     pending = items.where(
         ~F.col("job_state").isin("done", "cancelled")
         & F.col("state").isin("waiting", "downloading", "retrying"))
-    return (
-        without_text(lib).join(considered.select("work_id"), "work_id", "left_anti")
-        .join(pending.select("work_id"), "work_id", "left_anti")
-        .orderBy(F.col("changed").desc_nulls_last(), F.col("work_id").desc()).limit(limit))
+    return _newest(without_text(lib).join(considered.select("work_id"), "work_id", "left_anti").join(
+        pending.select("work_id"), "work_id", "left_anti"), limit)
 
 
 def verify_saved(items: DataFrame, chapters: DataFrame) -> DataFrame:

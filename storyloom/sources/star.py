@@ -41,13 +41,14 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Text in fewer files than there are cores is dealt out to all of them.
+    """Deal rows out to as many tasks as the session asks for, if it does.
 
-    A file with one row group is read by one task however large it is.  A table
-    of many files is read in parallel already and is not shuffled.
+    A file of one row group is read by one task however large it is.  Where
+    tables are written so, ``spark.storyloom.textTasks`` says how many tasks
+    should share a table's texts; unset, tables are read as they lie.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    tasks = df.sparkSession.conf.get("spark.storyloom.textTasks", None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def _every(n: int, key: Column) -> Column:

@@ -14,7 +14,7 @@ def main() -> int:
 
     root = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build("local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8",
-                                 "spark.driver.memory": "12g"})
+                                 "spark.driver.memory": "12g", "spark.storyloom.textTasks": "8"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(root)
     queries, oracle = entry.queries(), entry.oracle_sql()

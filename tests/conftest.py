@@ -9,7 +9,8 @@ from storyloom.session import build
 @pytest.fixture(scope="session")
 def spark():
     session = build("local[8]", "tests", **{
-        "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+        "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+        "spark.storyloom.textTasks": "8"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
