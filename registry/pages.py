@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from registry import query
 from registry.base import sql
-from storyloom.functions import clean, text as tx, urls, values
+from storyloom.functions import markup, text as tx, urls, values
 from storyloom.operators import profile
 from storyloom.sources import books, pages
 from storyloom.sources.star import library, spread, table
@@ -115,7 +115,7 @@ def work_page_table(spark, root):
       ': &ldquo;x&rdquo;</h3><div class="notes module"><p>A note.</p></div><div class="userstuff module" role="article">',
       '<h3 class="landmark heading" id="work">Chapter Text</h3><p>', p.l,
       '</p><div class="chat"><div class="bubble">nested</div></div></div></div>'))"""
-    body = f"""if(doc_id % 5 = 0, concat('<div class="userstuff"><p>', parts[0].l, '</p><div class="chat"><div class="bubble">nested</div></div></div>'),
+    body = f"""if(doc_id % 5 = 0, concat('<div class="userstuff"><p>', array_join(transform(parts, p -> p.l), '</p><p>'), '</p><div class="chat"><div class="bubble">nested</div></div></div>'),
       array_join({chapter}, ''))"""
     return docs.selectExpr("doc_id", f"""concat('<html><head><style>.chrome{{}}</style></head><body><li class="share hidden"><a href="/works/', doc_id, '/share">',
       '</a></li><dl class="work meta group"><dd class="rating tags"><ul><li><a class="tag" href="#">Rated ', source,
@@ -150,9 +150,11 @@ def work_pages(spark, root):
 
 
 @query("work_page_chapters", sql(f"""
-SELECT doc_id::VARCHAR AS work_id, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE n END AS number,
-  CASE WHEN doc_id % 5 <> 0 THEN 'Chapter ' || n || ': “x”' END AS title, {_SAID} || chr(10) || chr(10) || 'nested' AS text,
-  len(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}''’-]+')) + 1 AS words FROM ln WHERE doc_id % 5 <> 0 OR rn = 1""", _LINES))
+SELECT doc_id::VARCHAR AS work_id, n AS number, 'Chapter ' || n || ': “x”' AS title, {_SAID} || chr(10) || chr(10) || 'nested' AS text,
+  len(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}''’-]+')) + 1 AS words FROM ln WHERE doc_id % 5 <> 0
+UNION ALL
+SELECT doc_id::VARCHAR, 1, NULL, ltrim(string_agg(regexp_replace(line, '[ \\t\\x{{00a0}}]+', ' ', 'g'), chr(10) ORDER BY n)) || chr(10) || chr(10) || 'nested',
+  sum(len(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}''’-]+')))::BIGINT + 1 FROM ln WHERE doc_id % 5 = 0 GROUP BY 1""", _LINES))
 def work_page_chapters(spark, root):
     return pages.to_chapters(pages.work_pages(work_page_table(spark, root))).select("work_id", "number", "title", "text", "words")
 
@@ -268,18 +270,50 @@ def needs_skin(spark, root):
     return profile.needs_skin(table(spark, root, "pages").select(F.col("page_id").cast("string").alias("work_id"), "html"))
 
 
-@query("clean_html")
+def _address(value):
+    bare = f"replace(regexp_replace({value}, '[\\x00-\\x20\\x7f]', '', 'g'), '&amp;', '&')"
+    fine = f"(regexp_matches({bare}, '^(https?:|mailto:)', 'i') OR regexp_matches({bare}, '^[^:]*([/?#]|$)'))"
+    return f"CASE WHEN {fine} AND NOT regexp_matches({bare}, '&#|&[A-Za-z]+;') THEN {bare} END"
+
+
+def _kept(given, name, address):
+    value = "coalesce(" + ", ".join(
+        f"nullif(regexp_extract({given}, '\\s{name}\\s*=\\s*{q}([^{q}]*){q}', 1, 'is'), '')" for q in ('"', "''")) + ")"
+    value = _address(value) if address else value
+    return f"""coalesce(' {name}="' || replace(replace(replace({value}, '&', '&amp;'), '"', '&quot;'), '<', '&lt;') || '"', '')"""
+
+
+_TAG = "'^(/?)([a-z][a-z0-9]*)(\\s[^>]*)?/?>'"
+_PIECE = f"""CASE WHEN lower(regexp_extract(p, {_TAG}, 2, 'is')) IN ({', '.join(f"'{k}'" for k in markup.KEPT)})
+  THEN '<' || regexp_extract(p, {_TAG}, 1, 'is') || lower(regexp_extract(p, {_TAG}, 2, 'is')) ||
+    CASE WHEN regexp_extract(p, {_TAG}, 1, 'is') <> '' THEN ''
+      WHEN lower(regexp_extract(p, {_TAG}, 2, 'is')) = 'a' THEN {_kept(f"regexp_extract(p, {_TAG}, 3, 'is')", 'href', True)}
+      WHEN lower(regexp_extract(p, {_TAG}, 2, 'is')) = 'img'
+      THEN {_kept(f"regexp_extract(p, {_TAG}, 3, 'is')", 'src', True)} || {_kept(f"regexp_extract(p, {_TAG}, 3, 'is')", 'alt', False)} ELSE '' END
+    || '>' || regexp_replace(p, {_TAG}, '', 'is')
+  WHEN regexp_matches(p, '^[/!?a-zA-Z][^>]*>', 's') THEN regexp_replace(p, '^[^>]*>', '', 's') ELSE '&lt;' || p END"""
+
+
+def _reduced(html):
+    out = f"regexp_replace({html}, '<!--.*?(-->|\\z)', '', 'gs')"
+    for name in markup.UNREAD:
+        out = f"regexp_replace({out}, '<{name}\\b[^>]*>.*?(</{name}\\s*>|\\z)', '', 'gis')"
+    return f"(SELECT ps[1] || array_to_string(list_transform(ps[2:], lambda p: {_PIECE}), '') FROM (SELECT string_split({out}, '<') AS ps))"
+
+
+@query("clean_html", f"SELECT page_id, {_reduced('html')} AS html FROM pages")
 def clean_html(spark, root):
-    return spread(table(spark, root, "pages")).select("page_id", clean.clean_html(F.col("html")).alias("html"))
+    return spread(table(spark, root, "pages")).select("page_id", markup.clean_html(F.col("html")).alias("html"))
+
+
+_RISKY = """<p onclick="x()" style="position:fixed">Prose &amp; more</p><a href="java&#9;script:x">l</a><a HREF=" JaVaScRiPt:x">k</a>\
+<a href='https://e.org/?a=1&amp;b=2' target="_top">m</a><scr<script>ipt>alert(1)</script><img src="a.png" alt="A < B" onerror="y()">1 < 2<!-- gone -->"""
 
 
-@query("clean_html_safe", sql("SELECT page_id, false AS acts, true AS kept FROM pages"))
+@query("clean_html_safe", "SELECT page_id, " + _reduced("'" + _RISKY.replace("'", "''") + "' || html") + " AS html FROM pages")
 def clean_html_safe(spark, root):
     """Nothing that acts is left in, and the prose is."""
-    risky = F.concat(F.lit('<p onclick="x()" style="position:fixed;color:red">Prose &amp; more</p><a href="java&#9;script:x">l</a><scr<script>ipt>alert(1)</script>'), "html")
-    cleaned = table(spark, root, "pages").select("page_id", clean.clean_html(risky).alias("html"))
-    acts = F.col("html").rlike("(?i)<(script|iframe|form|input)\\b|<[^>]*\\son\\w+=|<[^>]*javascript:|position:\\s*fixed")
-    return cleaned.select("page_id", acts.alias("acts"), F.col("html").contains("Prose &amp; more").alias("kept"))
+    return table(spark, root, "pages").select("page_id", markup.clean_html(F.concat(F.lit(_RISKY), "html")).alias("html"))
 
 
 _FEATURES = (("img", "<img\\b"), ("table", "<table\\b"), ("blockquote", "<blockquote\\b"), ("inline style=", "\\sstyle\\s*="),

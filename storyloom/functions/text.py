@@ -130,10 +130,18 @@ def content_hash(html: Column) -> Column:
 
 
 def strip_landmarks(html: Column) -> Column:
-    """Drop signposts meant for screen readers from the prose."""
-    return F.regexp_replace(
-        F.coalesce(html, F.lit("")),
-        '(?is)<(h[1-6]|div|p|span)\\b[^>]*\\bclass="[^"]*\\blandmark\\b[^"]*"[^>]*>.*?</\\1>', "")
+    """Drop elements of the class ``landmark``, which screen readers steer by, from the prose.
+
+    The markup is cut where an element opens; a cut that opens a landmark loses
+    everything up to where that element closes.
+    """
+    def piece(part: Column) -> Column:
+        name = F.lower(F.regexp_extract(part, "^<([A-Za-z][A-Za-z0-9]*)", 1))
+        given = F.concat(F.lit(" "), F.regexp_extract(part, '(?is)^<[^>]*\\sclass="([^"]*)"', 1), F.lit(" "))
+        close = F.instr(part, "</")
+        rest = F.regexp_replace(F.substr(part, close), "^</[^>]*>", "")
+        return F.when(given.contains(" landmark ") & F.startswith(F.lower(F.substr(part, close + 2)), name) & (close > 0), rest).otherwise(part)
+    return let(F.split(F.coalesce(html, F.lit("")), "(?=<[A-Za-z])"), lambda p: F.array_join(F.transform(p, piece), ""))
 
 
 def image_sources(html: Column) -> Column:
@@ -157,17 +165,18 @@ def classes(html: Column) -> Column:
 
 
 # Classes every book and page carries, so not an author's own.
-HOUSE_CLASSES = (
-    "^(calibre\\d*|userstuff\\d*"
-    "|message|byline|toc-heading|heading|endnote-link|tags|meta|preface|afterword"
-    "|chapter|title|summary|notes|jump|landmark|p|li|bold|italics|small|indent)$")
+HOUSE_NUMBERED = ("calibre", "userstuff")
+HOUSE_NAMES = (
+    "afterword", "bold", "byline", "chapter", "endnote-link", "heading", "indent", "italics", "jump", "landmark", "li",
+    "message", "meta", "notes", "p", "preface", "small", "summary", "tags", "title", "toc-heading",
+)
 
 
 def needs_skin(html: Column) -> Column:
     """Whether the markup shows an author's own styling."""
     markup = F.coalesce(html, F.lit(""))
     return markup.rlike("(?i)\\sstyle\\s*=") | F.exists(
-        classes(markup), lambda c: ~c.rlike(HOUSE_CLASSES))
+        classes(markup), lambda c: ~(c.isin(*HOUSE_NAMES) | F.regexp_replace(c, "[0-9]+$", "").isin(*HOUSE_NUMBERED)))
 
 
 def house_classes(html: Column) -> Column:

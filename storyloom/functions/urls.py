@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 # Hosts the archive answers on.
 HOSTS = (
-    "archiveofourown.org", "www.archiveofourown.org", "archiveofourown.com",
-    "www.archiveofourown.com", "archiveofourown.net", "archiveofourown.gay",
-    "archive.transformativeworks.org", "ao3.org", "www.ao3.org",
+    "ao3.org",
+    "archive.transformativeworks.org",
+    "archiveofourown.com",
+    "archiveofourown.gay",
+    "archiveofourown.net",
+    "archiveofourown.org",
     "download.archiveofourown.org",
+    "www.ao3.org",
+    "www.archiveofourown.com",
+    "www.archiveofourown.org",
 )
 # Path shapes in the order they are tried, and what each names.
 SHAPES = (

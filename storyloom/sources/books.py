@@ -87,7 +87,7 @@ def books(files: DataFrame) -> DataFrame:
     opened = files.select("path", "content").mapInPandas(_open_all, _OPENED)
     has = lambda c, marker: c.rlike(f'(?i)\\bid="{marker}"')
     body = lambda h: F.coalesce(first(h, "(?is)<body\\b[^>]*>(.*?)</body>"), h)
-    posted = "(?is)Posted originally on the.{0,300}?archiveofourown\\.org/works/(\\d+)"
+    posted = "(?is)Posted originally on the(?:(?!</p>|</div>).)*?archiveofourown\\.org/works/(\\d+)"
     docs = F.transform("docs", lambda d: F.struct(
         d["position"].alias("position"), d["html"].alias("html"), body(d["html"]).alias("body")))
     opened = opened.withColumn("docs", docs)
