@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from storyloom.model import Library, READING, evolve
-from storyloom.operators import ledger, reading
+from storyloom.model import Library
+from storyloom.operators import catalog, ledger, reading
 from storyloom.plans import sync
 from storyloom.sources import pages as page_source
 
@@ -101,74 +105,120 @@ def upsert_to(stream: DataFrame, path: str, key: list[str]) -> DataFrame:
 
 
 def _table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
-def with_state(stream: DataFrame, path: str, schema: StructType,
-               step: Callable[[DataFrame, DataFrame], dict[str, DataFrame]]) -> None:
-    """Run batches that carry a table of state from one to the next.
-
-    ``step`` takes a batch and the state before it and gives tables to write,
-    one of them ``state``.  Batch n reads the state of batch n-1 and writes its
-    own, so a batch run again after a loss starts from the same place.
+    """A table that a run may or may not have written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+# --- state of one work, of one session ----------------------------------------
+
+_MICROS = 1_000_000
+_HELD = "made boolean, chapter int, offset double, read int, done boolean, upd long, opn long, waiting string"
+_READ = ("work_id string, chapter int, offset double, chapters_read int, completed_before boolean, "
+                           "updated_at timestamp, opened_at timestamp")
+
+
+def _written(held: dict, event: list, total: int) -> dict:
+    """What one event writes: (at, seq, kind, chapter, offset) upon the state before it."""
+    at, _, kind, chapter, offset = event
+    now = dict(held)
+    if kind == "unfinished":
+        return {**now, "read": max(0, (now["chapter"] or 1) - 1), "upd": at} if now["made"] else now
+    if kind == "opened":
+        now["opn"] = at
+    elif kind == "progress":
+        now.update(chapter=chapter, offset=offset, read=max(now["read"] or 0, chapter - 1), upd=at, opn=at)
+    elif kind == "finished":
+        now.update(read=total, upd=at, opn=now["opn"] if now["made"] else at)
+    elif kind == "restart":
+        now.update(done=now["done"] or (now["read"] or 0) >= total, chapter=1, offset=0.0, read=0, upd=at, opn=at)
+    return {**now, "made": True}
+
+
+def _split(waiting: list[list], mark_ms: int) -> tuple[list[list], list[list]]:
+    """Entries no older one can precede any more, in order; and those still open to company."""
+    waiting = sorted(waiting, key=lambda e: e[:2])
+    settled = [e for e in waiting if e[0] <= mark_ms * 1000]
+    return settled, waiting[len(settled):]
+
+
+def _micros(at: pd.Series) -> list[int]:
+    return at.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Apply settled events for good and show the state with the waiting ones applied too."""
+    names = [c.split()[0] for c in _HELD.split(", ")]
+    held = dict(zip(names, state.get)) if state.exists else dict.fromkeys(names) | {"made": False, "done": False, "waiting": "[0]"}
+    total, *waiting = json.loads(held["waiting"])
+    for rows in parts:
+        total = int(rows["total"].iloc[0])
+        chapters = [max(1, 1 if pd.isna(c) else int(c)) for c in rows["chapter"]]
+        offsets = [None if pd.isna(o) else float(o) for o in rows["offset"]]
+        waiting += [list(e) for e in zip(_micros(rows["at"]), rows["seq"].tolist(), rows["kind"], chapters, offsets)]
+    settled, waiting = _split(waiting, state.getCurrentWatermarkMs())
+    for event in settled:
+        held = _written(held, event, total)
+    shown = held
+    for event in waiting:
+        shown = _written(shown, event, total)
+    state.update(tuple({**held, "waiting": json.dumps([total, *waiting])}[n] for n in names))
+    if waiting:
+        state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+    if shown["made"] and not state.hasTimedOut:
+        yield pd.DataFrame({
+            "work_id": [key[0]], "chapter": pd.array([shown["chapter"]], "Int32"), "offset": [shown["offset"]],
+            "chapters_read": [shown["read"] or 0], "completed_before": [shown["done"]],
+            "updated_at": pd.to_datetime([shown["upd"]], unit="us"), "opened_at": pd.to_datetime([shown["opn"]], unit="us")})
+
+
+def reading_state(events: DataFrame, lib: Library, path: str, late: str = LATE) -> DataFrame:
+    """Reading state kept current, of works the library knows; equal to the fold over all events at once.
+
+    Events may come in any order and up to ``late`` behind the newest: they wait
+    in the work's state until none before them can follow, and what is shown has
+    them in their order at all times.
     """
-    spark = stream.sparkSession
-
-    def run(batch: DataFrame, number: int) -> None:
-        before = _table(spark, f"{path}/state/{number - 1}", schema)
-        batch.persist()
-        try:
-            for name, df in step(batch, before).items():
-                where = f"{path}/state/{number}" if name == "state" else f"{path}/{name}/batch={number}"
-                df.write.mode("overwrite").parquet(where)
-        finally:
-            batch.unpersist()
-
-    (stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/checkpoint")
-     .trigger(availableNow=True).start().awaitTermination())
-
-
-def last_state(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The newest state a run left."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/state")
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    numbers = [int(s.getPath().getName()) for s in fs.listStatus(where)] if fs.exists(where) else []
-    return _table(spark, f"{path}/state/{max(numbers, default=-1)}", schema)
-
-
-def reading_state(events: DataFrame, lib: Library, path: str) -> DataFrame:
-    """Reading state kept current; equal to the fold over all events at once."""
-    columns = [f for f in READING.fields if f.name in (
-        "work_id", "chapter", "offset", "chapters_read", "completed_before", "updated_at", "opened_at")]
-    schema = StructType(columns)
-
-    def step(batch: DataFrame, before: DataFrame) -> dict[str, DataFrame]:
-        touched = batch.select("work_id").distinct()
-        moved = reading.fold(batch, lib, start=before.join(touched, "work_id", "left_semi"))
-        rest = before.join(touched, "work_id", "left_anti")
-        return {"state": rest.unionByName(evolve(moved, schema))}
-
-    with_state(events, path, schema, step)
-    return last_state(events.sparkSession, path, schema)
-
-
-TICKS = StructType().add("session", "string").add("elapsedMs", "long")
-
-
-def tick_gap_alerts(ticks: DataFrame, path: str, gap_ms: int = ledger.TICK_GAP_MS) -> DataFrame:
-    """Gaps between ticks, also across batches; the state is each session's last."""
-    def step(batch: DataFrame, before: DataFrame) -> dict[str, DataFrame]:
-        line = before.unionByName(batch.select("session", "elapsedMs"))
-        state = line.groupBy("session").agg(F.max("elapsedMs").alias("elapsedMs"))
-        return {"alerts": ledger.tick_gaps(line, gap_ms), "state": state}
-
-    with_state(ticks, path, TICKS, step)
-    return _table(ticks.sparkSession, f"{path}/alerts", StructType([*TICKS.fields]).add("gap_ms", "long")).select(
-        "session", "elapsedMs", "gap_ms")
+    length = catalog.rows(lib).select("work_id", catalog.chapters_total().cast("int").alias("total"))
+    stream = events.where(F.col("kind").isin(*reading.KINDS)).withWatermark("at", late).join(length, "work_id")
+    states = stream.select("work_id", "at", "seq", "kind", "chapter", "offset", "total").groupBy("work_id").applyInPandasWithState(
+        _follow, _READ, _HELD, "update", GroupStateTimeout.EventTimeTimeout)
+    return upsert_to(states, path, ["work_id"])
+
+
+_LINE = "last long, waiting string"
+_GAP = "session string, elapsedMs long, gap_ms long"
+
+
+def _gaps(gap_ms: int) -> Callable:
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, "[]")
+        waiting = json.loads(waiting)
+        for rows in parts:
+            waiting += [[m * 1000, m] for m in rows["elapsedMs"].tolist()]
+        settled, waiting = _split(waiting, state.getCurrentWatermarkMs())
+        found = []
+        for _, at in settled:
+            if last is not None and at - last > gap_ms:
+                found.append((key[0], at, at - last))
+            last = at
+        state.update((last, json.dumps(waiting)))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][1], state.getCurrentWatermarkMs()) + 1)
+        if found:
+            yield pd.DataFrame(found, columns=["session", "elapsedMs", "gap_ms"])
+    return follow
+
+
+def tick_gap_alerts(ticks: DataFrame, path: str, gap_ms: int = ledger.TICK_GAP_MS, late: str = LATE) -> DataFrame:
+    """Gaps between a session's ticks, told once no tick can come between any more: ``late`` after the newest."""
+    stream = ticks.select("session", "elapsedMs", F.timestamp_millis("elapsedMs").alias("at")).withWatermark("at", late)
+    found = stream.groupBy("session").applyInPandasWithState(_gaps(gap_ms), _GAP, _LINE, "append", GroupStateTimeout.EventTimeTimeout)
+    return append_to(found, path)
 
 
 PLANNED = StructType().add("work_id", "string").add("action", "string").add("reason", "string")

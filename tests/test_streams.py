@@ -16,28 +16,33 @@ def files_of(spark, path, parts, schema):
 
 
 def test_reading_state_over_batches(spark, make, tmp_path):
+    """Files hold events out of order, within each and from one to the next."""
     works = [str(i) for i in range(6)]
     lib = make(works=[{"work_id": w, "chapter_count": int(w) % 4 + 1} for w in works])
-    events = sorted(made_up(21, 120, works + ["0"] * 4, 60), key=lambda e: (e[1], e[2]))
-    parts, rest = [], events
-    for size in (40, 40):
-        cut = size
-        while rest[cut][1] == rest[cut - 1][1]:
-            cut += 1
-        parts.append(rest[:cut])
-        rest = rest[cut:]
-    stream = files_of(spark, str(tmp_path / "in"), [*parts, rest], EVENTS)
-    got = as_state(jobs.reading_state(stream, lib, str(tmp_path / "out")))
+    events = made_up(21, 120, works + ["0"] * 4 + ["unknown"], 60)
+    stream = files_of(spark, str(tmp_path / "in"), [events[:40], events[40:80], events[80:]], EVENTS)
+    got = as_state(jobs.reading_state(stream, lib, str(tmp_path / "out"), "61 hours"))
     assert got == as_state(reading.fold(spark.createDataFrame(events, EVENTS), lib))
 
 
+def test_settled_events_leave_the_state(spark, make, tmp_path):
+    """Within the lateness order does not matter, and what came before it is applied for good."""
+    lib = make(works=[{"work_id": "1", "chapter_count": 9}])
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    events = [[("1", at(0), 1, "progress", 3, 0.5), ("1", at(10), 2, "progress", 7, 0.1)], [("1", at(9), 3, "restart", None, None)],
+              [("1", at(30), 4, "opened", None, None)], [("1", at(31), 5, "unfinished", None, None)]]
+    stream = files_of(spark, str(tmp_path / "in"), events, EVENTS)
+    got = as_state(jobs.reading_state(stream, lib, str(tmp_path / "out"), "2 hours"))
+    assert got == as_state(reading.fold(spark.createDataFrame([e for part in events for e in part], EVENTS), lib))
+
+
 def test_gaps_reach_across_batches(spark, tmp_path):
-    ticks = [("s", 5_000), ("s", 10_000), ("t", 0), ("s", 40_000), ("t", 15_000), ("t", 90_000)]
+    ticks = [("s", 10_000), ("s", 5_000), ("t", 0), ("s", 40_000), ("t", 15_000), ("s", 25_000), ("t", 90_000), ("u", 400_000)]
     schema = "session string, elapsedMs long"
-    stream = files_of(spark, str(tmp_path / "in"), [ticks[:3], ticks[3:5], ticks[5:]], schema)
-    got = {(r.session, r.gap_ms) for r in jobs.tick_gap_alerts(stream, str(tmp_path / "out")).collect()}
+    stream = files_of(spark, str(tmp_path / "in"), [ticks[:3], ticks[3:6], ticks[6:]], schema)
+    got = {(r.session, r.gap_ms) for r in jobs.tick_gap_alerts(stream, str(tmp_path / "out"), late="5 minutes").collect()}
     want = {(r.session, r.gap_ms) for r in ledger.tick_gaps(spark.createDataFrame(ticks, schema)).collect()}
-    assert got == want == {("s", 30_000), ("t", 75_000)}
+    assert got == want == {("t", 75_000)}
 
 
 def test_visits_seen_twice_and_late(spark, tmp_path):
