@@ -165,7 +165,8 @@ def _tag_condition(spec: FilterSpec) -> Column:
     return keep
 
 
-def _column_conditions(spec: FilterSpec) -> list[Column]:
+def column_conditions(spec: FilterSpec) -> list[Column]:
+    """What a filter asks of a joined row's own columns."""
     out = [] if spec.state == "all" else [state(spec.state)]
     if spec.availability in ("held", "known"):
         out.append(state(spec.availability))
@@ -200,7 +201,7 @@ def _column_conditions(spec: FilterSpec) -> list[Column]:
 def matching(lib: Library, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """The joined rows a filter leaves."""
     df = visible(rows(lib), spec.show_unrevealed)
-    for condition in _column_conditions(spec):
+    for condition in column_conditions(spec):
         df = df.where(condition)
     gate = tag_gate(lib.tags, spec)
     if gate is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,19 +78,41 @@ def author_count(lib: Library, spec: FilterSpec = FilterSpec(), approx: bool = F
     return _names(lib, spec).agg(count("name").alias("n"))
 
 
-def panel(lib: Library, spec: FilterSpec = FilterSpec()) -> DataFrame:
-    """The whole filter panel as (section, name, n)."""
-    def part(section: Column | str, df: DataFrame, name: str = "name") -> DataFrame:
-        label = F.lit(section) if isinstance(section, str) else section
-        return df.select(label.alias("section"), F.col(name).alias("name"), F.col("n").cast("bigint").alias("n"))
+def panel(lib: Library, spec: FilterSpec = FilterSpec(), k: int = 40) -> DataFrame:
+    """The whole filter panel as (section, name, n): one filtered set of works, one count, one ranking.
 
-    return (
-        part("state", state_counts(lib, spec), "state")
-        .unionByName(part(F.col("kind"), tags(lib, spec)))
-        .unionByName(part("rating", column(lib, spec, "rating")))
-        .unionByName(part("language", column(lib, spec, "language")))
-        .unionByName(part("author", authors(lib, spec)))
-        .unionByName(part("author_total", author_count(lib, spec).withColumn("name", F.lit("all")))))
+    The works are filtered by what no section sets aside.  What sections differ in
+    (state, rating, language, author) are flags on a row, and a row names what it
+    counts for; only the tags are fetched besides.
+    """
+    def on(**only) -> Column:
+        return reduce(Column.__and__, catalog.column_conditions(FilterSpec(**only)), F.lit(True))
+
+    mine = {"state": on(state=spec.state), "rating": on(rating=spec.rating), "language": on(language=spec.language),
+            "author": on(author=spec.author, author_ignore_case=spec.author_ignore_case)}
+    but = lambda *aside: F.coalesce(reduce(Column.__and__, [c for n, c in mine.items() if n not in aside], F.lit(True)), F.lit(False))
+    item = lambda section, name: F.struct(F.lit(section).alias("section"), name.alias("name"))
+    when = lambda condition, items: F.when(condition, items).otherwise(F.array().cast("array<struct<section:string,name:string>>"))
+    plain = lambda c: but(c) & (F.coalesce(F.col(c), F.lit("")) != "")
+    rows = catalog.matching(lib, spec.but(state="all", rating=(), language=None, author=()))
+    items = F.concat(
+        *[when(but("state") & F.coalesce(catalog.state(st), F.lit(False)), F.array(item("state", F.lit(st)))) for st in catalog.STATES],
+        *[when(plain(c), F.array(item(c, F.col(c)))) for c in ("rating", "language")],
+        when(but("author"), F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda a: item("author", a))))
+    counted = rows.select(F.explode(items).alias("i")).select("i.*")
+    tagged = lib.tags.where(F.col("kind").isin(*catalog.TAG_KINDS)).join(rows.where(but()).select("work_id"), "work_id", "left_semi")
+    none = lib.works.sparkSession.range(len(catalog.STATES)).select(
+        F.lit("state").alias("section"), F.element_at(F.array(*map(F.lit, catalog.STATES)), F.col("id").cast("int") + 1).alias("name"),
+        F.lit(0).cast("bigint").alias("n"))
+    n = F.lit(1).cast("bigint").alias("n")
+    counts = counted.select("section", "name", n).unionByName(
+        tagged.select(F.col("kind").alias("section"), "name", n)).unionByName(none).groupBy("section", "name").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("section").orderBy(F.col("n").desc(), F.col("name"))
+    short = (*catalog.TAG_KINDS, "author")
+    top = counts.where(F.col("section").isin(*short)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    total = counts.where("section = 'author'").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("author_total").alias("section"), F.lit("all").alias("name"), "n")
+    return counts.where(~F.col("section").isin(*short)).unionByName(top.drop("place")).unionByName(total)
 
 
 def library_stats(lib: Library) -> DataFrame:
