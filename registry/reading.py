@@ -153,7 +153,7 @@ def mark_work(spark, root):
     return reading.mark_works(library(spark, root).works, marks).select("work_id", "in_bookmarks", "rec", "kudos_given")
 
 
-@query("reading_backup", sql("""
+_BACKUP = """
 SELECT work_id, at_::INT AS chapter, coalesce(offsets[at_], 0.0) AS "offset",
   len(list_filter(marks, lambda m: m > 0)) AS chapters_read,
   CASE WHEN cnt > 0 THEN cnt ELSE greatest(len(offsets), len(marks), 1) END::INT AS chapter_count
@@ -161,13 +161,33 @@ FROM (SELECT *, coalesce(list_max(list_filter(range(1, greatest(len(offsets), le
     lambda i: abs(coalesce(offsets[i], 0)) > 1e-9 OR coalesce(marks[i], 0) <> 0)), 1) AS at_
   FROM (SELECT o_orderkey::VARCHAR AS work_id, o_orderkey % 5 AS cnt,
     list_transform(range(1, o_orderkey % 6 + 1), lambda i: CASE WHEN (o_orderkey + i) % 3 = 0 THEN i * 1.5::DOUBLE ELSE 0.0::DOUBLE END) AS offsets,
-    list_transform(range(1, o_orderkey % 4 + 1), lambda i: (o_orderkey + i) % 2) AS marks FROM orders))"""))
+    list_transform(range(1, o_orderkey % 4 + 1), lambda i: (o_orderkey + i) % 2) AS marks FROM orders))"""
+
+
+@query("reading_backup", sql(_BACKUP))
 def reading_backup(spark, root):
+    return reading.from_backup(_positions(spark, root))
+
+
+def _positions(spark, root):
     k = F.col("o_orderkey")
-    positions = table(spark, root, "orders").select(
+    return table(spark, root, "orders").select(
         k.cast("string").alias("work_id"), (k % 5).cast("int").alias("chapter_count"),
         F.expr("""if(o_orderkey % 6 = 0, CAST(array() AS array<double>), transform(sequence(1, CAST(o_orderkey % 6 AS int)),
             i -> if((o_orderkey + i) % 3 = 0, i * CAST(1.5 AS double), CAST(0 AS double))))""").alias("offsets"),
         F.expr("""if(o_orderkey % 4 = 0, CAST(array() AS array<bigint>),
             transform(sequence(1, CAST(o_orderkey % 4 AS int)), i -> (o_orderkey + i) % 2))""").alias("marks"))
-    return reading.from_backup(positions)
+
+
+@query("import_backup", sql("""
+SELECT work_id, CASE WHEN p.chapter_count IS NULL THEN r.chapter ELSE p.chapter END AS chapter,
+  CASE WHEN p.chapter_count IS NULL THEN r."offset" ELSE p."offset" END AS "offset",
+  CASE WHEN p.chapter_count IS NULL THEN r.chapters_read ELSE p.chapters_read END AS chapters_read,
+  coalesce(l.wanted, r.marked_later, false) AS marked_later
+FROM reading r FULL JOIN bk p USING (work_id) FULL JOIN lt l USING (work_id)""",
+    f"bk AS ({_BACKUP})", "lt AS (SELECT o_orderkey::VARCHAR AS work_id, true AS wanted FROM orders WHERE o_orderkey % 7 = 0)"))
+def import_backup(spark, root):
+    """Another reader's places and its later list, laid over what is held."""
+    later = table(spark, root, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("work_id"))
+    out = reading.import_backup(library(spark, root).reading, _positions(spark, root), later, "backup")
+    return out.select("work_id", "chapter", "offset", "chapters_read", "marked_later")

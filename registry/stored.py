@@ -25,15 +25,26 @@ def _counted(lib):
 
 @query("load_library", sql(_COUNTS))
 def load_library(spark, root):
-    return _counted(library(spark, root))
+    """Every table of a snapshot, loaded as it was written."""
+    return _counted(_stored(spark, root)[0])
+
+
+def _stored(spark, root, buckets=16):
+    path = f"{scratch_root(spark)}/library-{uuid.uuid4().hex}"
+    tables.publish(spark, path, tables.write_library(library(spark, root), path, "first", buckets))
+    return tables.load_library(spark, path), path
 
 
 @query("write_library", sql("SELECT work_id, title, words, hidden FROM works"))
 def write_library(spark, root):
     """Written as a snapshot, published, and read back as the current one."""
-    path = f"{scratch_root(spark)}/library-{uuid.uuid4().hex}"
-    tables.publish(spark, path, tables.write_library(library(spark, root), path, "first"))
-    return tables.load_library(spark, path).works.select("work_id", "title", "words", "hidden")
+    return _stored(spark, root)[0].works.select("work_id", "title", "words", "hidden")
+
+
+@query("stored_lookup", sql("SELECT work_id, number, words FROM chapters WHERE work_id IN ('1', '5', '77')"))
+def stored_lookup(spark, root):
+    """A few works' chapters, from their buckets alone."""
+    return tables.lookup(spark, _stored(spark, root)[1], "chapters", ["1", "5", "77"]).select("work_id", "number", "words")
 
 
 @query("evolve_schema", sql("SELECT work_id, title, false AS rec, NULL::BIGINT AS kudos, wk AS own, 30 AS added FROM works"))
