@@ -13,9 +13,11 @@ and reused; the store is emptied when it reaches a stated size.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,10 @@ from pyspark.sql import DataFrame
 from storyloom.llm.common import frames, octets
 
 #: States and remembered pieces held before the store starts anew: bounds a worker's memory.
-STATES = 100_000
-PIECES = 200_000
+STATES = 250_000
+PIECES = 300_000
+#: Bytes of a piece after which states are no longer stored: so far in, few pieces share them.
+DEEP = 7
 
 
 class Transducer:
@@ -49,8 +53,10 @@ class Transducer:
                     self.inner[node] = True
                 node = self.next[key]
             self.token[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.parts: dict[int, tuple[int, int] | None] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self._empty()
 
     def _empty(self) -> None:
@@ -68,69 +74,113 @@ class Transducer:
             self.ends.append(members[0][1])
         return at
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one, None for a byte."""
+        if token not in self.parts:
+            raw = self.bytes_of[token]
+            cut = merge(raw, self.ranks, token) if len(raw) > 1 else []
+            self.parts[token] = (self.ranks[cut[0]], self.ranks[cut[1]]) if len(cut) == 2 else None
+        return self.parts[token]
+
     def stable(self, a: int, b: int) -> bool:
-        """Whether merging the bytes of two tokens by rank ends with just these two."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > 4 * STATES:
-                self.pairs.clear()
-            left, right = self.bytes_of[a], self.bytes_of[b]
-            got = self.pairs[a, b] = merge(left + right, self.ranks) == [left, right]
+        """Whether merging the bytes of two tokens by rank ends with just these two.
+
+        Their merges are taken back, the latest first; if the tokens then facing
+        each other across the seam would have merged before that, the two are not
+        stable.  Of equal ranks the one further left is merged first.
+        """
+        got = self.pairs.get(a << 32 | b)
+        if got is not None:
+            return got
+        if len(self.pairs) > 4 * STATES:
+            self.pairs.clear()
+        x, y, before, got = a, b, len(self.ranks) + 256, True
+        while got:
+            got = self.ranks.get(self.bytes_of[x] + self.bytes_of[y], before) >= before
+            left, right = self.halves(x), self.halves(y)
+            if left is None and right is None:
+                break
+            if right is None or (left is not None and x > y):
+                before, x = x, left[1]
+            else:
+                before, y = y + 1, right[0]
+        self.pairs[a << 32 | b] = got
         return got
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Next state and what it lets go of; the first member of a set stands at the end of a token."""
+    def move(self, members: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """Next set and what it lets go of; the first member of a set stands at the end of a token."""
+        next_, token, inner, pairs = self.next, self.token, self.inner, self.pairs
         closed, open_ = None, []
-        for node, waiting in self.sets[state]:
-            node = self.next.get(node << 8 | byte, 0)
-            if not node:
+        for node, waiting in members:
+            node = next_.get(node << 8 | byte)
+            if node is None:
                 continue
-            token = self.token[node]
-            if closed is None and token >= 0 and (not waiting or self.stable(waiting[-1], token)):
-                closed = (*waiting, token)
-            if self.inner[node]:
+            if closed is None:
+                t = token[node]
+                if t >= 0:
+                    if waiting:
+                        fits = pairs.get(waiting[-1] << 32 | t)
+                        if self.stable(waiting[-1], t) if fits is None else fits:
+                            closed = (*waiting, t)
+                    else:
+                        closed = (t,)
+            if inner[node]:
                 open_.append((node, waiting))
-        members = [(0, closed), *open_]
-        agreed = min(len(w) for _, w in members)
-        first = closed[:agreed]
-        while agreed and any(w[:agreed] != first for _, w in open_):
-            agreed -= 1
-            first = closed[:agreed]
+        if not open_:
+            return ((0, closed[-1:]),), closed[:-1]
+        agreed = closed
+        for _, waiting in open_:
+            n = min(len(agreed), len(waiting))
+            while n and waiting[:n] != agreed[:n]:
+                n -= 1
+            agreed = agreed[:n]
         # the last agreed token stays as left neighbour of what follows
-        out = first[:-1]
-        made = self.steps[state << 8 | byte] = (self._state(tuple((n, w[len(out):]) for n, w in members)), out)
+        gone = len(agreed) - 1
+        if gone > 0:
+            return ((0, closed[gone:]), *[(n, w[gone:]) for n, w in open_]), agreed[:gone]
+        return ((0, closed), *open_), ()
+
+    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The same between stored states, remembered."""
+        members, out = self.move(self.sets[state], byte)
+        made = self.steps[state << 8 | byte] = (self._state(members), out)
         return made
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
-        got = self.pieces.get(piece)
+    def encode(self, piece: str) -> tuple[int, ...]:
+        got = self.pieces.get(piece) or self.older.get(piece)
         if got is not None:
-            return got
+            return self._keep(piece, got)
         if len(self.sets) > STATES:
             self._empty()
-        state, ids, steps = 0, [], self.steps
-        for b in piece:
+        state, ids, steps, raw = 0, [], self.steps, piece.encode()
+        for b in raw[:DEEP]:
             state, out = steps.get(state << 8 | b) or self.step(state, b)
             if out:
                 ids.extend(out)
-            if len(self.sets) > 2 * STATES:  # within one enormous piece: carry the set over
-                members = self.sets[state]
-                self._empty()
-                state, steps = self._state(members), self.steps
-        ids.extend(self.ends[state])
-        got = tuple(ids)
+        members = self.sets[state]
+        for b in raw[DEEP:]:
+            members, out = self.move(members, b)
+            if out:
+                ids.extend(out)
+        ids.extend(members[0][1])
+        return self._keep(piece, tuple(ids))
+
+    def _keep(self, piece: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        """Remember a piece; pieces not met since the last turn of the store are forgotten at the next."""
         if len(piece) <= 64:
-            if len(self.pieces) >= PIECES:
+            if len(self.pieces) >= PIECES // 2:
+                self.older = self.pieces.copy()
                 self.pieces.clear()
-            self.pieces[piece] = got
-        return got
+            self.pieces[piece] = ids
+        return ids
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Merges by rank, lowest first and leftmost among equals: the definition, for short pieces."""
-    parts = [piece[i:i + 1] for i in range(len(piece))]
+def merge(piece: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[bytes]:
+    """Merges by rank, lowest first and leftmost among equals, only those under ``below`` if given: the definition."""
+    parts, none = [piece[i:i + 1] for i in range(len(piece))], len(ranks) + 256
     while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], len(ranks) + 256), i) for i in range(len(parts) - 1))
-        if rank >= len(ranks) + 256:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], none), i) for i in range(len(parts) - 1))
+        if rank >= (none if below is None else below):
             break
         parts[at:at + 2] = [parts[at] + parts[at + 1]]
     return parts
@@ -148,12 +198,8 @@ def transducer(path: str) -> Transducer:
 
 def encode(text: bytes, pattern: regex.Pattern, with_: Transducer) -> list[int]:
     """Ids of a whole text, each match of the pattern encoded by itself."""
-    ids: list[int] = []
     one, known = with_.encode, with_.pieces.get
-    for piece in pattern.findall(text.decode("utf-8", "replace")):
-        raw = piece.encode()
-        ids.extend(known(raw) or one(raw))
-    return ids
+    return list(chain.from_iterable([known(p) or one(p) for p in pattern.findall(text.decode("utf-8", "replace"))]))
 
 
 class Utf8Stream:
@@ -209,6 +255,7 @@ def round_trip(docs: DataFrame, keep: list[str], path: str, pattern: str, text:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with_, compiled = transducer(path), regex.compile(pattern)
+        gc.freeze()  # the tables hold millions of small tuples and no cycles: nothing for the collector to walk
         for rows in batches:
             n, first, second, all_ids = [], [], [], []
             for t in rows["_t"]:
