@@ -36,6 +36,8 @@ LEAST = 200
 CUTOFF = 15.0
 #: Concentration steps at most; they usually settle sooner.
 STEPS = 12
+#: Parts in which the rows of a group meet its estimate, so that no task has a large group alone.
+SALTS = 8
 
 
 def _count(name: str) -> Column:
@@ -73,6 +75,15 @@ def _distance(p: int) -> Column:
     return sum(terms[1:], terms[0])
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c.startswith("x")]), F.lit(SALTS)).cast("int"))
+
+
+def _meet(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Salted rows beside what their group has: one row a group, repeated for every salt."""
+    return rows.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"], how)
+
+
 def _sums(p: int) -> list[Column]:
     return [F.count("*").cast("double").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)],
             *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]]
@@ -109,10 +120,11 @@ def fit(counted: DataFrame, share: float = SHARE, least: int = LEAST, steps: int
     sizes = rows.select(F.explode("levels").alias("_group")).groupBy("_group").agg(F.count("*").alias("_n"))
     needed = stored(sizes.where((F.col("_n") >= least) | (F.col("_group") == "all")).select("_group"), "groups")
     xs = [f"x{i}" for i in range(p)]
-    members = stored(rows.select(F.explode("levels").alias("_group"), *xs).join(needed, "_group"), "members")
+    members = _salted(rows.select(F.explode("levels").alias("_group"), *xs))
+    members = stored(_meet(members, needed, ["_group"]), "members")
 
     middle = members.groupBy("_group").agg(*[F.percentile_approx(x, 0.5).alias(f"c{i}") for i, x in enumerate(xs)])
-    apart = members.join(stored(middle, "middle"), "_group").select(
+    apart = _meet(members, stored(middle, "middle"), ["_group"]).select(
         "_group", F.array(*[f"c{i}" for i in range(p)]).alias("centre"), *[(F.col(x) - F.col(f"c{i}")).alias(x) for i, x in enumerate(xs)])
     spread = stored(apart.groupBy("_group", "centre").agg(
         *[(F.percentile_approx(F.abs(x), 0.5) * 1.4826).alias(f"d{i}") for i, x in enumerate(xs)]), "spread")
@@ -130,24 +142,25 @@ def fit(counted: DataFrame, share: float = SHARE, least: int = LEAST, steps: int
     both = members.withColumn("_start", F.explode(F.array(F.lit(0), F.lit(1))))
     key, before = ["_group", "_start"], None
     for _ in range(steps):
-        far = both.join(found, key).select(*key, *xs, _distance(p).alias("d"))
-        near = far.join(far.groupBy(*key).agg(F.percentile_approx("d", share, 10000).alias("q")), key).where("d <= q")
+        far = _meet(both, found, key).select(*key, "_salt", *xs, _distance(p).alias("d"))
+        limit = stored(far.groupBy(*key).agg(F.percentile_approx("d", share, 10000).alias("q")), "limit")
+        near = _meet(far, limit, key).where("d <= q")
         found = stored(frames(near.groupBy(*key).agg(*_sums(p)), _matrices(p, floors), _FIT), "fit")
         now = found.agg(F.sum("logdet")).first()[0]
         if before is not None and now is not None and abs(now - before) < 1e-4 * max(1.0, abs(before)):
             break
         before = now
-    best = found.groupBy("_group").agg(F.min_by(F.struct("m", "w"), F.struct("logdet", "_start")).alias("b")).select("_group", "b.*")
+    best = stored(found.groupBy("_group").agg(F.min_by(F.struct("m", "w"), F.struct("logdet", "_start")).alias("b")).select("_group", "b.*"), "fit")
 
     def scaled(fits: DataFrame) -> DataFrame:
         """Covariances stretched so that the median distance is what normal data would have."""
-        far = members.join(fits, "_group").select("_group", _distance(p).alias("d"))
+        far = _meet(members, fits, ["_group"]).select("_group", _distance(p).alias("d"))
         by = far.groupBy("_group").agg((F.percentile_approx("d", 0.5, 10000) / _chi2(p, 0.0)).alias("by"))
         return fits.join(by, "_group").select("_group", "m", F.transform("w", lambda v: v / F.greatest("by", F.lit(1.0))).alias("w"))
     first = stored(scaled(best), "fit")
-    near = members.join(first, "_group").where(_distance(p) <= _chi2(p, 1.96))
+    near = _meet(members, first, ["_group"]).where(_distance(p) <= _chi2(p, 1.96))
     again = near.groupBy("_group").agg(*_sums(p)).withColumn("_start", F.lit(0))
-    return stored(scaled(frames(again, _matrices(p, floors), _FIT).select("_group", "m", "w")), "fit")
+    return stored(scaled(stored(frames(again, _matrices(p, floors), _FIT).select("_group", "m", "w"), "fit")), "fit")
 
 
 def judge(counted: DataFrame, fits: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
