@@ -271,7 +271,8 @@ def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     ``texts`` has k1, k2 (two hashes of the text) and its bytes ``_t``, one row per row of the corpus.
     """
     made = stored(find_anchors(texts.select("k1", "k2", "_t"), length, gram), "anchors")
-    often = made.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join below stands on plain exchanges and adaptive execution can cut a hot anchor's part
+    often = stored(made.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "often")
     wanted = made.join(often, "anchor").groupBy("k1", "k2").agg(
         F.collect_set(F.struct("first", "last", "at", "anchor", (F.col("n") > hot).alias("hot"))).alias("runs"), F.count("*").alias("n"))
     wanted = wanted.select("k1", "k2", "runs", (F.col("n") / F.size("runs")).cast("long").alias("weight"))
