@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import components, frames, groups, octets, stored
 
 #: Corners described in a picture, strongest first.
-CORNERS = 20
+CORNERS = 18
 #: Shrinking from one level of the pyramid to the next, and levels.
-STEP, LEVELS = 1.25, 3
+STEP, LEVELS = 1.25, 2
 #: Half the side of a patch, and directions a patch is turned to.
 HALF, TURNS = 9, 36
 BITS = 128
 #: Tables, bytes of a table's key, and bits in which matches may differ.
-TABLES, KEY_BYTES, RADIUS = 3, 3, 15
+TABLES, KEY_BYTES, RADIUS = 3, 4, 10
 #: Corners that must agree on one transform.
 VOTES = 3
 #: Descriptors compared together.
@@ -124,14 +124,18 @@ def describe(stack: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (*[np.zeros(0, int)] * 5, np.zeros((0, BITS // 8), np.uint8))
 
 
+#: A corner in a picture's blob: x and y in quarters of a pixel, level, turn, descriptor.
+_CORNER = np.dtype([("x", "<u2"), ("y", "<u2"), ("level", "u1"), ("turn", "u1"), ("bits", "u1", BITS // 8)])
+
+
 def corners(pictures: DataFrame, key: str, picture: str) -> DataFrame:
-    """``_key``, two hashes and the corners of each picture; pictures that cannot be read have none."""
+    """``_key``, two hashes and the packed corners of each picture; pictures that cannot be read have none."""
     kind = pictures.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             by_shape: dict[tuple, list] = {}
-            found: list[list] = [[] for _ in range(len(rows))]
+            found = [b""] * len(rows)
             for i, data in enumerate(rows["_p"]):
                 pixels = read_pgm(data) if data is not None else None
                 if pixels is not None:
@@ -139,13 +143,20 @@ def corners(pictures: DataFrame, key: str, picture: str) -> DataFrame:
             for same in by_shape.values():
                 for at in range(0, len(same), 64):
                     part = same[at:at + 64]
-                    for w, x, y, level, turn, bits in zip(*(c.tolist() for c in describe(np.stack([p for _, p in part])))):
-                        found[part[w][0]].append({"x": x, "y": y, "level": level, "turn": turn, "bits": bytes(bits)})
+                    which, x, y, level, turn, bits = describe(np.stack([p for _, p in part]))
+                    packed = np.zeros(len(which), _CORNER)
+                    for name, value in (("x", np.round(4 * x)), ("y", np.round(4 * y)), ("level", level), ("turn", turn), ("bits", bits)):
+                        packed[name] = value
+                    for w in np.unique(which):
+                        found[part[w][0]] = packed[which == w].tobytes()
             yield pd.DataFrame({"_key": rows["_k"], "_h": rows["_h"], "_g": rows["_g"], "corners": found})
-    named = pictures.select(F.col(key).alias("_k"), F.col(picture).alias("_p"), F.xxhash64(F.coalesce(picture, F.lit(b""))).alias("_h"),
-                            F.xxhash64(F.coalesce(picture, F.lit(b"")), F.lit(5)).alias("_g"))
-    return frames(named, work, f"_key {kind}, _h long, _g long, "
-                  "corners array<struct<x: float, y: float, level: tinyint, turn: tinyint, bits: binary>>")
+    return frames(_hashed(pictures, key, picture), work, f"_key {kind}, _h long, _g long, corners binary")
+
+
+def _hashed(pictures: DataFrame, key: str, picture: str) -> DataFrame:
+    whole = F.coalesce(F.col(picture), F.lit(b""))
+    return pictures.select(F.col(key).alias("_k"), F.col(picture).alias("_p"), F.xxhash64(whole).alias("_h"),
+                           F.xxhash64(whole, F.lit(5)).alias("_g"))
 
 
 def matches(found: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
@@ -156,9 +167,13 @@ def matches(found: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataF
     meet again in their other corners.  Buckets beyond a block are cut into parts,
     and every two parts are compared.
     """
-    kind = found.schema["node"].dataType.simpleString()
-    keys = [F.struct(F.lit(t).cast("byte").alias("table"), F.substring("bits", t * KEY_BYTES + 1, KEY_BYTES).alias("cut")) for t in range(TABLES)]
-    rows = found.select("node", "place", F.explode(F.array(*keys)).alias("k")).select("node", "place", F.hash("k").alias("bucket"))
+    kind, size = found.schema["node"].dataType.simpleString(), _CORNER.itemsize
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.length("corners") / size, F.lit(1)).cast("int") - 1),
+                      lambda p: F.length("corners") >= (p + 1) * size)
+    bits = lambda p, t: F.substr(F.col("corners"), p * size + 7 + t * KEY_BYTES, F.lit(KEY_BYTES))
+    keys = F.flatten(F.transform(places, lambda p: F.array(*[F.struct(
+        p.cast("byte").alias("place"), F.hash(F.lit(t), bits(p, t)).alias("bucket")) for t in range(TABLES)])))
+    rows = found.select("node", F.inline(keys))
     # only names of corners are shuffled; the few that meet another fetch the rest
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(2 * F.col("n") / block).cast("int")
@@ -167,12 +182,14 @@ def matches(found: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataF
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     rows = rows.join(counts, "bucket").withColumn("part", F.explode(F.when(F.col("n") > block, cut).otherwise(whole)))
     rows = rows.select("node", "place", F.xxhash64("bucket", "part.i", "part.j").alias("bucket"))
-    rows = rows.join(found.select("node", "place", "x", "y", "level", "turn", "bits"), ["node", "place"]).drop("place")
+    rows = rows.join(found, "node").select(
+        "node", "bucket", F.substr(F.col("corners"), F.col("place") * size + 1, F.lit(size)).alias("corner"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in groups(batches, "bucket", block):
             rows = rows.sort_values(["bucket", "node"], kind="stable").reset_index(drop=True)
-            words = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(rows), -1)
+            corner = np.frombuffer(b"".join(rows["corner"]), _CORNER)
+            words = np.ascontiguousarray(corner["bits"]).view(np.uint64)
             bucket, node = rows["bucket"].to_numpy(), rows["node"].to_numpy()
             free = np.ones(len(rows), bool)
             first = np.concatenate(([0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1))
@@ -195,10 +212,10 @@ def matches(found: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataF
                 open_ = open_[head[open_] < end[open_] - 1]
             a, b = np.concatenate(left), np.concatenate(right)
             out = {"a": node[a], "b": node[b]}
-            for c in ("x", "y", "level", "turn"):
-                out |= {f"{c}a": rows[c].to_numpy()[a], f"{c}b": rows[c].to_numpy()[b]}
+            for c, by in (("x", 4), ("y", 4), ("level", 1), ("turn", 1)):
+                out |= {f"{c}a": corner[c][a] / by, f"{c}b": corner[c][b] / by}
             yield pd.DataFrame(out)
-    names = ", ".join(f"{c}{s} {t}" for c, t in (("x", "float"), ("y", "float"), ("level", "tinyint"), ("turn", "tinyint")) for s in "ab")
+    names = ", ".join(f"{c}{s} {t}" for c, t in (("x", "double"), ("y", "double"), ("level", "double"), ("turn", "double")) for s in "ab")
     return frames(rows.repartition("bucket").sortWithinPartitions("bucket"), work, f"a {kind}, b {kind}, {names}")
 
 
@@ -206,7 +223,7 @@ def agreed(found: DataFrame, votes: int = VOTES, cell: float = 12.0) -> DataFram
     """Links (a, b) whose matches agree on one turn, scale and shift by at least ``votes`` corners of each picture."""
     # bins overlap by half in each quantity, so a match near the edge of one is inside another; all matches of a bin
     # are turned by its middle, as their own directions are off by a step
-    turn = F.pmod(F.col("turnb") - F.col("turna"), F.lit(TURNS))
+    turn = F.pmod((F.col("turnb") - F.col("turna")).cast("int"), F.lit(TURNS))
     middles = F.array_distinct(F.array(*[F.pmod((F.floor((turn + k) / 3) * 3 + 1 - k), F.lit(TURNS)).cast("int") for k in (0, 1)]))
     both = lambda v: F.array(F.floor(v / cell), F.floor(v / cell + 0.5) + F.lit(1 << 20))
     angle, scale = F.col("turn") * _TURN, F.pow(F.lit(STEP), F.col("scale"))
@@ -227,19 +244,20 @@ def copies(pictures: DataFrame, key: str = "media_id", picture: str = "picture")
     each other's class, not as links.  Nulls, unreadable and flat pictures have no
     corners and are alone, but for equal ones; a null key names no class.
     """
-    base = stored(corners(pictures, key, picture), "corners")
-    nodes = stored(base.groupBy("_h", "_g").agg(F.min("_key").alias("least")).withColumn("node", F.xxhash64("_h", "_g")), "nodes")
-    one = base.join(nodes, ["_h", "_g"]).where(F.col("_key").eqNullSafe(F.col("least")))
-    found = one.select("node", F.posexplode("corners").alias("place", "c")).select("node", "place", "c.*")
+    # pictures are hashed once more at the end rather than kept: what is written is a few hundred bytes for each different one
+    nodes = corners(pictures, key, picture).groupBy("_h", "_g").agg(F.min("_key").alias("least"), F.first("corners").alias("corners"))
+    nodes = stored(nodes.withColumn("node", F.xxhash64("_h", "_g")), "nodes")
+    found = nodes.select("node", "corners")
     links = stored(agreed(matches(found)), "links")
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("_h", "_g", "node", "least", "corners").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("class_id"))
     named = named.join(least, "root").join(degree, "node", "left")
+    named = named.select("_h", "_g", "class_id", "n_links", (F.length("corners") / _CORNER.itemsize).alias("n_corners"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return base.select("_key", "_h", "_g", F.size("corners").alias("n_corners")).join(named.select("_h", "_g", "class_id", "n_links"), ["_h", "_g"]).select(
-        F.col("_key").alias(key), zero("n_corners"), zero("n_links"), "class_id")
+    rows = _hashed(pictures, key, picture).select(F.col("_k").alias(key), "_h", "_g")
+    return rows.join(named, ["_h", "_g"]).select(key, zero("n_corners"), zero("n_links"), "class_id")
 
 
 # ---------------------------------------------------------------------------------- pictures out of pages

@@ -33,8 +33,8 @@ def test_odd_pictures(spark):
 
 def test_large_bucket_in_parts(spark):
     kinds = [b"same" * 3 + k for k in (b"abcd", b"\x00" * 4, b"\xff" * 4)]
-    rows = [(i, 0, float(i), 0.0, 0, 0, bytearray(kinds[i % 3])) for i in range(90)]
-    found = spark.createDataFrame(rows, "node long, place int, x float, y float, level tinyint, turn tinyint, bits binary")
+    corner = lambda i, bits: np.array([(i, 0, 0, 0, np.frombuffer(bits, np.uint8))], media._CORNER).tobytes()
+    found = spark.createDataFrame([(i, bytearray(corner(i, kinds[i % 3]))) for i in range(90)] + [(90, bytearray())], "node long, corners binary")
     label = list(range(90))
     for r in media.matches(found, block=16, radius=8).collect():
         low, high = sorted((label[r.a], label[r.b]))
