@@ -29,6 +29,8 @@ from storyloom.llm.common import frames, octets, stored
 
 #: Bytes after which a task begins a new archive.
 ROLL = 16 << 20
+#: Archives that a task reads.
+FILES = 8
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
@@ -238,7 +240,8 @@ def read(files: DataFrame, with_payload: bool = False) -> DataFrame:
     """Records and gaps of archives (columns folder, file), a row each; ``gap`` says what failed, null for records.
 
     A file is read whole by one task, so archives should be rolled as :func:`write`
-    does.  Headers that are not there are null; an empty file has no rows.
+    does.  Tasks are dealt by number of files, as the rows that name them say nothing
+    of their size.  Headers that are not there are null; an empty file has no rows.
     """
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -251,5 +254,6 @@ def read(files: DataFrame, with_payload: bool = False) -> DataFrame:
                 if with_payload:
                     made["payload"] = [payload_of(f.block) if f.reason is None else None for f in found]
                 yield made
-    spread = files.select("folder", "file").repartition("file")
-    return frames(spread, work, _READ + (", payload binary" if with_payload else ""))
+    count = files.count()
+    tasks = max(-(-count // FILES), min(count, files.sparkSession.sparkContext.defaultParallelism), 1)
+    return frames(files.select("folder", "file").repartition(tasks, "file"), work, _READ + (", payload binary" if with_payload else ""))
