@@ -255,22 +255,25 @@ def round_trip(docs: DataFrame, keep: list[str], path: str, pattern: str, text:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with_, compiled = transducer(path), regex.compile(pattern)
-        gc.freeze()  # the tables hold millions of small tuples and no cycles: nothing for the collector to walk
-        for rows in batches:
-            n, first, second, all_ids = [], [], [], []
-            for t in rows["_t"]:
-                ids = encode(t, compiled, with_)
-                back = hashlib.sha256()
-                for part in decode(ids, with_.bytes_of):
-                    back.update(part.encode())
-                n.append(len(ids))
-                first.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                second.append(back.hexdigest())
+        gc.disable()  # the tables are millions of small tuples without cycles: nothing for the collector to find
+        try:
+            for rows in batches:
+                n, first, second, all_ids = [], [], [], []
+                for t in rows["_t"]:
+                    ids = encode(t, compiled, with_)
+                    back = hashlib.sha256()
+                    for part in decode(ids, with_.bytes_of):
+                        back.update(part.encode())
+                    n.append(len(ids))
+                    first.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                    second.append(back.hexdigest())
+                    if with_ids:
+                        all_ids.append(ids)
+                made = {"n_tokens": np.array(n, np.int64), "ids_sha256": first, "decoded_sha256": second}
                 if with_ids:
-                    all_ids.append(ids)
-            made = {"n_tokens": np.array(n, np.int64), "ids_sha256": first, "decoded_sha256": second}
-            if with_ids:
-                made["ids"] = all_ids
-            yield pd.concat([rows[keep], pd.DataFrame(made, index=rows.index)], axis=1)
+                    made["ids"] = all_ids
+                yield pd.concat([rows[keep], pd.DataFrame(made, index=rows.index)], axis=1)
+        finally:
+            gc.enable()
     return frames(docs.select(*keep, octets(text).alias("_t")), work,
                   kinds + "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
