@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import components, frames, groups, octets, stored
 
 #: Corners described in a picture, strongest first.
-CORNERS = 18
+CORNERS = 20
 #: Shrinking from one level of the pyramid to the next, and levels.
-STEP, LEVELS = 1.25, 2
+STEP, LEVELS = 1.25, 3
 #: Half the side of a patch, and directions a patch is turned to.
 HALF, TURNS = 9, 36
 BITS = 128
 #: Tables, bytes of a table's key, and bits in which matches may differ.
-TABLES, KEY_BYTES, RADIUS = 3, 4, 10
+TABLES, KEY_BYTES, RADIUS = 3, 3, 15
 #: Corners that must agree on one transform.
 VOTES = 3
 #: Descriptors compared together.

@@ -40,3 +40,18 @@ def test_large_bucket_in_parts(spark):
         low, high = sorted((label[r.a], label[r.b]))
         label = [low if x == high else x for x in label]
     assert label == [i % 3 for i in range(90)]
+
+
+def test_levels_and_radius(spark):
+    """Three levels are described, and corners that differ in 15 bits outside one table's key match."""
+    which, _, _, level, _, _ = media.describe(np.stack([media.draw(b"p%d" % i) for i in range(40)]))
+    assert set(level) == {0, 1, 2} and max(np.bincount(which)) == 20
+    rng, rows = np.random.default_rng(3), []
+    for i in range(30):
+        bits = rng.integers(0, 2, media.BITS)
+        far = bits.copy()
+        far[24 * np.arange(1, 6) + i % 8] ^= 1  # beyond the first table's three bytes
+        far[rng.choice(np.setdiff1d(np.arange(24, 128), 24 * np.arange(1, 6) + i % 8), 10, replace=False)] ^= 1
+        rows += [(2 * i + k, bytearray(np.array([(i, 0, 0, 0, np.packbits(b))], media._CORNER).tobytes())) for k, b in enumerate((bits, far))]
+    got = {(r.a, r.b) for r in media.matches(spark.createDataFrame(rows, "node long, corners binary")).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(30)}
