@@ -35,6 +35,8 @@ TABLES, KEY_BYTES, RADIUS = 3, 3, 15
 VOTES = 3
 #: Descriptors compared together.
 BLOCK = 2048
+#: Matches handed on together.
+MATCHES = 200_000
 
 _RNG = np.random.default_rng(77)
 _PAIRS = np.clip(np.round(_RNG.normal(0, HALF / 2.0, (BITS, 2, 2))), 1 - HALF, HALF - 1)
@@ -162,10 +164,10 @@ def _hashed(pictures: DataFrame, key: str, picture: str) -> DataFrame:
 def matches(found: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
     """Pairs of corners of different pictures (a < b) that meet in a table within the radius.
 
-    In a bucket each corner is matched with the first picture's among those near it,
-    so a bucket gives fewer matches than it has corners; pictures that belong together
-    meet again in their other corners.  Buckets beyond a block are cut into parts,
-    and every two parts are compared.
+    In a bucket every two corners are compared, so matches grow with the square of a
+    group of pictures that share a corner, as their links do.  Buckets beyond a block
+    are cut into parts, and every two parts are compared: a task holds a block and
+    gives its matches piece by piece.
     """
     kind, size = found.schema["node"].dataType.simpleString(), _CORNER.itemsize
     places = F.filter(F.sequence(F.lit(0), F.greatest(F.length("corners") / size, F.lit(1)).cast("int") - 1),
@@ -185,36 +187,33 @@ def matches(found: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataF
     rows = rows.join(found, "node").select(
         "node", "bucket", F.substr(F.col("corners"), F.col("place") * size + 1, F.lit(size)).alias("corner"))
 
+    def made(corner: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        out = {"a": node[a], "b": node[b]}
+        for c, by in (("x", 4), ("y", 4), ("level", 1), ("turn", 1)):
+            out |= {f"{c}a": corner[c][a] / by, f"{c}b": corner[c][b] / by}
+        return pd.DataFrame(out)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in groups(batches, "bucket", block):
             rows = rows.sort_values(["bucket", "node"], kind="stable").reset_index(drop=True)
             corner = np.frombuffer(b"".join(rows["corner"]), _CORNER)
             words = np.ascontiguousarray(corner["bits"]).view(np.uint64)
             bucket, node = rows["bucket"].to_numpy(), rows["node"].to_numpy()
-            free = np.ones(len(rows), bool)
             first = np.concatenate(([0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1))
-            end = np.concatenate((first[1:], [len(rows)]))
-            left, right = [], []
-            # the head of every bucket in turn takes what is near it, until no bucket has a corner left
-            head, open_ = first.copy(), np.arange(len(first))
-            while len(open_):
-                size = end[open_] - head[open_]
-                of = np.repeat(open_, size)
-                at = head[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-                near = free[at] & (np.bitwise_count(words[at] ^ words[head[of]]).sum(axis=1) <= radius)
-                free[at[near]] = False
-                pair = near & (node[at] != node[head[of]])
-                left.append(head[of[pair]])
-                right.append(at[pair])
-                for o in open_.tolist():
-                    rest = np.nonzero(free[head[o]:end[o]])[0]
-                    head[o] = head[o] + rest[0] if len(rest) else end[o]
-                open_ = open_[head[open_] < end[open_] - 1]
-            a, b = np.concatenate(left), np.concatenate(right)
-            out = {"a": node[a], "b": node[b]}
-            for c, by in (("x", 4), ("y", 4), ("level", 1), ("turn", 1)):
-                out |= {f"{c}a": corner[c][a] / by, f"{c}b": corner[c][b] / by}
-            yield pd.DataFrame(out)
+            after = np.diff(np.concatenate((first, [len(rows)])))
+            end = np.repeat(first + after, after)
+            # every corner with the next in its bucket, with the next but one, and so on to the end of the longest bucket
+            at, step, held, left, right = np.arange(len(rows)), 0, 0, [], []
+            while len(at):
+                step += 1
+                at = at[at + step < end[at]]
+                pair = at[(node[at] != node[at + step]) & (np.bitwise_count(words[at] ^ words[at + step]).sum(axis=1) <= radius)]
+                left.append(pair)
+                right.append(pair + step)
+                held += len(pair)
+                if held >= MATCHES or not len(at):
+                    yield made(corner, node, np.concatenate(left), np.concatenate(right))
+                    held, left, right = 0, [], []
     names = ", ".join(f"{c}{s} {t}" for c, t in (("x", "double"), ("y", "double"), ("level", "double"), ("turn", "double")) for s in "ab")
     return frames(rows.repartition("bucket").sortWithinPartitions("bucket"), work, f"a {kind}, b {kind}, {names}")
 

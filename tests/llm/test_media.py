@@ -55,3 +55,16 @@ def test_levels_and_radius(spark):
         rows += [(2 * i + k, bytearray(np.array([(i, 0, 0, 0, np.packbits(b))], media._CORNER).tobytes())) for k, b in enumerate((bits, far))]
     got = {(r.a, r.b) for r in media.matches(spark.createDataFrame(rows, "node long, corners binary")).collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(30)}
+
+
+def test_every_two_corners_of_a_bucket(spark, monkeypatch):
+    """A chain in which the first corner is near the second only, repeated corners within a picture, and pieces of output."""
+    monkeypatch.setattr(media, "MATCHES", 7)
+    step = lambda n: np.packbits([0] * 100 + [1] * n + [0] * (28 - n))
+    kinds = [(0, 0), (0, 0), (1, 8), (1, 8), (2, 16), (3, 24), (4, 8)]  # node, bits set
+    blob = {n: b"".join(np.array([(i, 0, 0, 0, step(k))], media._CORNER).tobytes() for i, (m, k) in enumerate(kinds) if m == n) for n in range(5)}
+    rows = spark.createDataFrame([(n, bytearray(b)) for n, b in blob.items()], "node long, corners binary")
+    got = {(r.a, int(4 * r.xa), r.b, int(4 * r.xb)) for r in media.matches(rows, radius=8).collect()}
+    want = {(m, i, n, j) for i, (m, x) in enumerate(kinds) for j, (n, y) in enumerate(kinds) if m < n and abs(x - y) <= 8}
+    assert got == want
+    assert {(r.a, r.b) for r in media.agreed(media.matches(rows, radius=8), votes=2).collect()} >= {(0, 1)}
