@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyarrow import fs
@@ -43,3 +44,18 @@ def mapped(folder: str, name: str) -> np.ndarray:
         return np.memmap(full, np.uint8, "r")
     with system.open_input_stream(full) as f:
         return np.frombuffer(f.read(), np.uint8)
+
+
+def reader(folder: str, name: str) -> Callable[[int, int], bytes]:
+    """Reads a number of bytes from a place of a file, which is mapped where the folder is mounted."""
+    system, path = fs.FileSystem.from_uri(folder)
+    if isinstance(system, fs.LocalFileSystem):
+        raw = mapped(folder, name)
+        return lambda begin, size: raw[begin:begin + size].tobytes()
+    file = system.open_input_file(f"{path}/{name}")
+    return lambda begin, size: file.read_at(size, begin)
+
+
+def remove(folder: str) -> None:
+    system, path = fs.FileSystem.from_uri(folder)
+    system.delete_dir(path)

@@ -15,6 +15,7 @@ are minima of shingle hashes (:func:`sketch`).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.llm import shared_files
 from storyloom.llm.common import LOWER, components, frames, groups, octets, stored
 
 #: Fingerprints of one block: a bucket beyond it is cut into parts, and pairs of parts are compared.
@@ -151,13 +153,56 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link(nodes: DataFrame, key: str, radius: int, block: int = BLOCK) -> DataFrame:
+def alike(sets: list[np.ndarray]) -> np.ndarray:
+    """Smallest set reachable over pairs with a Jaccard similarity of at least ALIKE, for each of the sets; empty ones are equal."""
+    size = np.array([len(s) for s in sets])
+    end = np.cumsum(size)
+    kinds, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    part, whole = ALIKE
+    root, rest = np.arange(len(sets)), np.arange(len(sets))
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        reached = [first]
+        while reached and len(rest):
+            one = reached.pop()
+            has = np.zeros(len(kinds), bool)
+            has[ids[end[one] - size[one]:end[one]]] = True
+            before = np.concatenate(([0], np.cumsum(has[ids])))
+            common = before[end[rest]] - before[end[rest] - size[rest]]
+            near = whole * common >= part * (size[one] + size[rest] - common)
+            root[rest[near]] = first
+            reached += rest[near].tolist()
+            rest = rest[~near]
+    return root
+
+
+def _alike_within(root: np.ndarray, rows: pd.DataFrame, folder: str) -> np.ndarray:
+    """Components of rows cut to what the sets of shingles confirm."""
+    root, files = root.copy(), {}
+    order = np.argsort(root, kind="stable")
+    cut = np.nonzero(np.diff(root[order]))[0] + 1
+    for members in np.split(order, cut):
+        if len(members) > 1:
+            sets = []
+            for file, begin, size in rows.iloc[members][["file", "begin", "size"]].itertuples(index=False):
+                if file not in files:
+                    files[file] = shared_files.reader(folder, file)
+                sets.append(np.frombuffer(files[file](begin, size), np.uint64))
+            root[members] = members[alike(sets)]
+    return root
+
+
+def link(nodes: DataFrame, key: str, radius: int, block: int = BLOCK, sets: str | None = None) -> DataFrame:
     """Links (a, b) between rows (``key``, fp, keys) that share a blocking key and lie within the radius.
 
     Each compared block gives a spanning forest, not all its pairs, so the links
     stay below the number of (row, key) and lose no component.  Buckets larger
     than a block are cut into parts by fingerprint, and every pair of parts
     becomes a bucket of its own: bounded tasks, no pair lost.
+
+    With a folder of ``sets``, in which ``nodes`` say by file, begin and size where
+    the hashes of each row's shingles are, rows within the radius are only named, and
+    linked where the sets themselves are alike.
     """
     rows = nodes.select(F.col(key).alias("node"), F.explode(F.array_distinct("keys")).alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -169,13 +214,15 @@ def link(nodes: DataFrame, key: str, radius: int, block: int = BLOCK) -> DataFra
         F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))).alias("part"))
     rows = rows.select("node", F.xxhash64("bucket", "part.i", "part.j").alias("bucket"))
     # only those that share a bucket fetch their fingerprints
-    rows = rows.join(nodes.select(F.col(key).alias("node"), "fp"), "node")
+    rows = rows.join(nodes.select(F.col(key).alias("node"), "fp", *(["file", "begin", "size"] if sets else [])), "node")
     kind = nodes.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in groups(batches, "bucket", block // 4):
             fps = np.frombuffer(b"".join(rows["fp"]), np.uint8).reshape(len(rows), -1)
             root = _roots(len(rows), *close(fps, radius))
+            if sets:
+                root = _alike_within(root, rows, sets)
             off = np.nonzero(root != np.arange(len(rows)))[0]
             ids = rows["node"].to_numpy()
             yield pd.DataFrame({"a": ids[root[off]], "b": ids[off]})
@@ -204,10 +251,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 #: Of whole documents: words of a shingle, 64-bit words of the fingerprint, bands of minima and minima of a band.
 SHINGLE, WIDE, BANDS, ROWS = 5, 8, 12, 3
-#: Differing bits of 512 at which the estimated share of common shingles is still 0.8.
-#: Bits of two fingerprints agree with probability 1 - angle / pi; a share of 0.8 is an angle of acos(8 / 9),
-#: 77 bits, and about half a standard deviation is added so that copies near the limit are rather found.
-WIDE_RADIUS = 82
+#: Part and whole: the share of common shingles of near copies.
+ALIKE = 4, 5
+#: Differing bits of 512 within which sets of shingles are compared.  Bits of two fingerprints agree with probability
+#: 1 - angle / pi; a share of 0.8 is an angle of acos(8 / 9), 77 bits, and up to 96 bits for sets of four and five
+#: shingles.  Four standard deviations (of 9 bits) more lose no copies, and strangers differ in 256.
+WIDE_RADIUS = 132
+#: Bytes of sets of shingles in a file.
+SETS_BYTES = 32 << 20
 _MULTIPLIERS = np.random.default_rng(99).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -231,17 +282,34 @@ def sketch(hashes: np.ndarray) -> list[int]:
 def near_copies(docs: DataFrame, text: str = "text", radius: int = WIDE_RADIUS) -> DataFrame:
     """``node`` (a hash of a text) and ``root`` (the same for all near copies) of every different text that has one.
 
-    Near copies are texts whose wide fingerprints over 5-word shingles differ in
-    at most ``radius`` bits, and what such links connect.  Texts without a near
-    copy are not returned; nulls and blank texts are copies of each other.
+    Near copies are texts with 0.8 of their 5-word shingles in common, and what such
+    links connect: wide fingerprints of the different shingles name them within
+    ``radius`` bits, the shingles decide.  Texts without a near copy are not
+    returned; nulls and blank texts are copies of each other.
     """
+    folder = shared_files.new_folder(docs.sparkSession, "shingles")
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, parts, end = uuid.uuid4().hex, [], 0
         for rows in batches:
-            made = [shingle_hashes(t, SHINGLE, 42) for t in rows["_t"]]
-            yield pd.DataFrame({"node": rows["node"], "fp": [fingerprint(h, WIDE) for h in made], "keys": [sketch(h) for h in made]})
-    prints = frames(docs.select(node_of(text).alias("node"), octets(text).alias("_t")), work, "node binary, fp binary, keys array<long>")
-    nodes = stored(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
-    return components(link(nodes, "node", radius, block=1024))
+            made = [np.unique(shingle_hashes(t, SHINGLE, 42)) for t in rows["_t"]]
+            size = np.array([h.nbytes for h in made], np.int64)
+            yield pd.DataFrame({"node": rows["node"], "fp": [fingerprint(h, WIDE) for h in made], "keys": [sketch(h) for h in made],
+                                "file": file, "begin": end + np.cumsum(size) - size, "size": size})
+            parts += [h.tobytes() for h in made]
+            end += int(size.sum())
+            if end >= SETS_BYTES:
+                shared_files.write(folder, file, parts)
+                file, parts, end = uuid.uuid4().hex, [], 0
+        if parts:
+            shared_files.write(folder, file, parts)
+    prints = frames(docs.select(node_of(text).alias("node"), octets(text).alias("_t")), work,
+                    "node binary, fp binary, keys array<long>, file string, begin long, size long")
+    one = prints.groupBy("node").agg(F.first(F.struct("fp", "keys", "file", "begin", "size")).alias("one"))
+    nodes = stored(one.select("node", "one.*"), "nodes")
+    roots = components(link(nodes, "node", radius, block=1024, sets=folder))
+    shared_files.remove(folder)
+    return roots
 
 
 def node_of(text: str = "text") -> Column:

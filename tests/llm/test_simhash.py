@@ -75,3 +75,23 @@ def test_query_on_tables(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = [tuple(r) for r in queries.op9_simhash(spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got, key=str) == plain_components(rows)
+
+
+def test_near_copies_at_the_limit(spark):
+    """Pairs at and just above 0.8 are linked, pairs just below are not; repeated lines do not count."""
+    def share(a, b):
+        a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+        return len(a & b) / len(a | b)
+    rng, rows, want = np.random.default_rng(17), [], set()
+    for i in range(200):
+        words = [f"{i}w{x}" for x in rng.integers(0, 10**6, 240)]
+        other = list(words)
+        for at in rng.choice(np.arange(10, 230, 8), 5, replace=False):
+            other[at] += "x"
+        other += [f"{i}z{x}" for x in range(i % 6)]  # from 0.808 to 0.79
+        other += words[-9:] * (20 if i % 40 == 0 else 0)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        want |= {2 * i + 1} if share(rows[-2][1], rows[-1][1]) >= 0.8 else set()
+    assert 60 < len(want) < 140
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {2 * i for i in range(200)} | {2 * i + 1 for i in range(200)} - want == {r.doc_id for r in simhash.one_of_each(docs).collect()}
