@@ -33,16 +33,21 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     """The vocabulary of a byte-level tokenizer file, run by the faster of the two public libraries.
 
     The file writes bytes as printable characters: those that print stand for
-    themselves, the others are counted up from 256 in order.
+    themselves, the others are counted up from 256 in order.  Added tokens are cut out of
+    a text before anything else, wherever they stand.
     """
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        read = json.load(f)
+    vocabulary, added = read["model"]["vocab"], {t["content"]: t["id"] for t in read["added_tokens"]}
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in read["added_tokens"]):
+        raise ValueError(f"{path}: added tokens that take blanks or whole words are not supported")
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     hidden = [b for b in range(256) if b not in shown]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)}
-    ranks.pop(b"<|endoftext|>", None)
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for token in added:
+        ranks.pop(token.encode(), None)
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 def cuts(n: int, size: int) -> list[tuple[int, int]]:
@@ -60,7 +65,7 @@ def pieces(docs: DataFrame, key: str, path: str, pattern: str, size: int, text:
         for rows in batches:
             out = []
             for k, t in zip(rows[key], rows["_t"]):
-                ids = np.append(with_.encode_to_numpy(t.decode("utf-8", "replace"), disallowed_special=()), end).astype("<u4")
+                ids = np.append(with_.encode_to_numpy(t.decode("utf-8", "replace"), allowed_special="all"), end).astype("<u4")
                 for i, (start, n) in enumerate(cuts(len(ids), size)):
                     out.append((k, i, start, n, zlib.crc32(ids[start:start + n].tobytes())))
             columns = list(zip(*out)) or [()] * 5

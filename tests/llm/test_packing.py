@@ -84,3 +84,14 @@ def test_null_and_empty_texts(spark):
     made = packing.pieces(docs, "doc_id", P.path("byte_bpe_50k.json"), P.PATTERN, 2048)
     assert sorted((r.doc_id or 0, r.piece, r.start, r.length) for r in made.collect()) == [(0, 0, 0, 2), (1, 0, 0, 1), (2, 0, 0, 1), (2, 0, 0, 1)]
     assert check(packing.pack(made, 2048).collect(), 2048) == 1
+
+
+def test_added_tokens_are_cut_out(spark):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y", "<|endoftext|", "<|<|endoftext|>|>", "it's<|endoftext|>'s é",
+             "<|ENDOFTEXT|>", "plain  \n text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(docs, "doc_id", P.path("byte_bpe_50k.json"), P.PATTERN, 2048).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids + [0]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
