@@ -60,9 +60,12 @@ def frames(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterable[pd.D
     Unlike ``mapInPandas``, whole numbers beside nulls stay whole numbers, so long ids keep all their digits.
     """
     target = to_arrow_schema(StructType.fromDDL(schema))
+    lists = [f.name for f in target if pa.types.is_list(f.type)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in work(b.to_pandas(integer_object_nulls=True) for b in batches):
+            if not len(out):  # pandas takes an empty list of lists for numbers
+                out = out.astype({c: object for c in lists})
             yield pa.RecordBatch.from_pandas(out, schema=target, preserve_index=False)
     return df.mapInArrow(run, schema)
 

@@ -72,3 +72,13 @@ def test_text_is_cut_at_characters(spark):
     got = {r.doc_id: r.kept_text for r in sd.remove_repeats(docs, ["doc_id"], length=24, gram=8, with_text=True).collect()}
     assert got == {1: "xq", 2: "yr", None: "é" * 5}
     assert sd.remove_repeats(docs.where("false"), ["doc_id"]).count() == 0
+
+
+def test_texts_share_an_anchor_and_no_string(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    shared = word(300)
+    texts = [word(200) + shared + word(200) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sd.remove_repeats(docs, ["doc_id"]).collect()
+    assert len(got) == 40 and not any(r.n_removed or r.n_spans for r in got)
