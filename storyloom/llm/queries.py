@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, kneser_ney, language, media, outliers, packing, rule_ensemble, simhash, stats, suffix_dedup, warc
+from storyloom.llm import bpe, kneser_ney, language, media, outliers, packing, periodic, rule_ensemble, simhash, stats, suffix_dedup, warc
 from storyloom.llm.common import id_rest, stored, table
 
 
@@ -73,6 +73,11 @@ def op10_outliers(spark: SparkSession, root: str) -> DataFrame:
         F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_distance").alias("distance"))
 
 
+def op13_periodic(spark: SparkSession, root: str) -> DataFrame:
+    """Runs of repeated words in every whole text, a tenth of which first get a periodic end."""
+    return periodic.runs(table(spark, root, "documents"), ["doc_id"], key="doc_id", made_periodic=True)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_rules": op2_rules,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_simhash": op9_simhash,
     "op10_outliers": op10_outliers,
+    "op13_periodic": op13_periodic,
 }
 
 #: The digits of base 32, and its form of a SHA-1: five hex digits are four of its digits.
