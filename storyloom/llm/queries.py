@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, kneser_ney, language, media, outliers, packing, periodic, rule_ensemble, simhash, stats, suffix_dedup, warc
+from storyloom.llm import bpe, kneser_ney, language, licenses, media, outliers, packing, periodic, rule_ensemble, simhash, stats, suffix_dedup, warc
 from storyloom.llm.common import id_rest, stored, table
 
 
@@ -73,6 +73,11 @@ def op10_outliers(spark: SparkSession, root: str) -> DataFrame:
         F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_distance").alias("distance"))
 
 
+def op12_licenses(spark: SparkSession, root: str) -> DataFrame:
+    """License wording of every whole text: places of four phrases, and labels of the templates that accept."""
+    return licenses.scan(table(spark, root, "documents"), ["doc_id"])
+
+
 def op13_periodic(spark: SparkSession, root: str) -> DataFrame:
     """Runs of repeated words in every whole text, a tenth of which first get a periodic end."""
     return periodic.runs(table(spark, root, "documents"), ["doc_id"], key="doc_id", made_periodic=True)
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_simhash": op9_simhash,
     "op10_outliers": op10_outliers,
+    "op12_licenses": op12_licenses,
     "op13_periodic": op13_periodic,
 }
 
@@ -105,5 +111,31 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f"""
 
+
+def _places(phrase: str) -> str:
+    words = phrase.split()
+    return f"list_filter(range(len(w) - {len(words) - 2}), lambda i: w[i + 1:i + {len(words)}] = {words})"
+
+
+#: The templates as regular expressions over the words, each with a blank after it.
+_FOUND = [f"CASE WHEN regexp_matches(line, '{licenses.pattern(markup)}') THEN '{label}' END" for label, markup in licenses.TEMPLATES.items()]
+_SHARES = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES).share
+_OP12 = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+l AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d),
+p AS (SELECT doc_id, len(w) AS n_words, [{', '.join(_places(p) for p in licenses.PHRASES)}] AS places,
+  list_filter([{', '.join(_FOUND)}], lambda x: x IS NOT NULL) AS found FROM l),
+b AS (SELECT *, flatten(places) AS starts, list_filter([{', '.join(
+    f"CASE WHEN len(places[{i + 1}]) > 0 THEN '{label}' END" for i, label in enumerate(licenses.PHRASES.values()))}],
+  lambda x: x IS NOT NULL) AS base FROM p)
+SELECT doc_id, n_words, len(starts) AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, found))), ',') AS labels,
+  CASE WHEN len(found) > 0 THEN 1.0::DOUBLE
+    ELSE coalesce(list_max(list_transform(base, lambda x: MAP {_SHARES}[x])), 0.0)::DOUBLE END AS score
+FROM b"""
+
 #: SQL twins; where the method cannot be said in SQL, tests hold a brute-force version.
-SQL: dict[str, str] = {"op4_warc": _OP4}
+SQL: dict[str, str] = {"op4_warc": _OP4, "op12_licenses": _OP12}
