@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import bpe, kneser_ney, language, licenses, media, outliers, packing, periodic, rule_ensemble, simhash, stats, suffix_dedup, warc
+from storyloom.llm import bpe, kneser_ney, language, licenses, media, outliers, packing, periodic, rtree, rule_ensemble, simhash, stats, suffix_dedup, warc
 from storyloom.llm.common import id_rest, stored, table
 
 
@@ -73,6 +73,13 @@ def op10_outliers(spark: SparkSession, root: str) -> DataFrame:
         F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_distance").alias("distance"))
 
 
+def op11_negatives(spark: SparkSession, root: str) -> DataFrame:
+    """Hard negatives of every row whose id is divisible by 100, among all rows."""
+    rows = table(spark, root, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op12_licenses(spark: SparkSession, root: str) -> DataFrame:
     """License wording of every whole text: places of four phrases, and labels of the templates that accept."""
     return licenses.scan(table(spark, root, "documents"), ["doc_id"])
@@ -94,6 +101,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_simhash": op9_simhash,
     "op10_outliers": op10_outliers,
+    "op11_negatives": op11_negatives,
     "op12_licenses": op12_licenses,
     "op13_periodic": op13_periodic,
 }
@@ -111,6 +119,23 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f"""
 
+_OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.row <> b.row),
+p AS (SELECT anchor, anchor_id, id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS place FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.*, id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, place ORDER BY score DESC, id)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT same
+    AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
 
 def _places(phrase: str) -> str:
     words = phrase.split()
@@ -138,4 +163,4 @@ SELECT doc_id, n_words, len(starts) AS n_base, list_min(starts) AS first_word, l
 FROM b"""
 
 #: SQL twins; where the method cannot be said in SQL, tests hold a brute-force version.
-SQL: dict[str, str] = {"op4_warc": _OP4, "op12_licenses": _OP12}
+SQL: dict[str, str] = {"op4_warc": _OP4, "op11_negatives": _OP11, "op12_licenses": _OP12}
