@@ -201,7 +201,7 @@ def _answers(k: int, same: bool, low: int, high: int):
             for a, b in zip(cuts, [*cuts[1:], len(batch)]):
                 rows = batch.slice(a, b - a)
                 if part != tuple(parts[:, a]):
-                    part, held, tree = tuple(parts[:, a]), [], {}
+                    part, held, trees = tuple(parts[:, a]), [], {}
                 entry = pc.equal(rows["qid"], -1).to_numpy(zero_copy_only=False)
                 n = int(entry.sum())
                 if n:
