@@ -247,10 +247,11 @@ def count_words(spark, root):
 
 
 @query("strip_landmarks", sql("""
-SELECT page_id, html || '<p>kept</p>' AS html FROM pages"""))
+SELECT page_id, html || '<p>kept</p><div class="landmark">open' AS html FROM pages"""))
 def strip_landmarks(spark, root):
-    signed = F.concat(F.lit('<h3 class="landmark heading" id="a">Chapter Text</h3>'), "html",
-                      F.lit('<p>kept</p><span class="a landmark">x</span>'))
+    """Landmarks with elements of their own and of their own name inside, and one that never closes."""
+    signed = F.concat(F.lit('<h3 class="landmark heading" id="a">Chapter <em>Text</em></h3>'), "html",
+                      F.lit('<p>kept</p><span class="a landmark">x<span>y <b class="landmark">z</b></span> w</span><div class="landmark">open'))
     return spread(table(spark, root, "pages")).select("page_id", tx.strip_landmarks(signed).alias("html"))
 
 

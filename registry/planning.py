@@ -310,11 +310,11 @@ def apply_listings_tags(spark, root):
 @query("save_stubs", sql("""
 SELECT w.work_id, CASE WHEN s.work_id IS NULL THEN w.title ELSE s.title END AS title,
   CASE WHEN s.work_id IS NULL THEN w.kudos ELSE s.kudos END AS kudos, CASE WHEN s.work_id IS NULL THEN w.source ELSE 'listing' END AS source
-FROM works w LEFT JOIN (
-  SELECT l.* FROM ls l JOIN (SELECT DISTINCT work_id FROM allrows WHERE placeholder) p USING (work_id)
-  LEFT JOIN deleted d USING (work_id) WHERE d.work_id IS NULL) s USING (work_id)
-UNION ALL SELECT work_id, title, kudos, 'listing' FROM ls WHERE work_id NOT IN (SELECT work_id FROM works)
-  AND work_id NOT IN (SELECT work_id FROM deleted)""", *LISTS))
+FROM stub_w w LEFT JOIN (SELECT * FROM stub_l SEMI JOIN stub_p USING (work_id)) s USING (work_id)
+UNION ALL SELECT work_id, title, kudos, 'listing' FROM stub_l ANTI JOIN stub_w USING (work_id)""", *LISTS, """
+stub_w AS MATERIALIZED (SELECT work_id, title, kudos, source FROM works)""", """
+stub_p AS MATERIALIZED (SELECT DISTINCT work_id FROM allrows WHERE placeholder)""", """
+stub_l AS MATERIALIZED (SELECT * FROM ls ANTI JOIN deleted USING (work_id))"""))
 def save_stubs(spark, root):
     lib = library(spark, root)
     return sync.save_stubs(lib, _merged(lib)).works.select("work_id", "title", "kudos", "source")

@@ -28,7 +28,7 @@ def _score(*names):
       greatest(0, ln((c.n - (SELECT count(*) FROM {n}) + 0.5) / ((SELECT count(*) FROM {n}) + 0.5)))
       * ({n}.tf * 2.2) / ({n}.tf + 1.2 * (0.25 + 0.75 * greatest(len(w.ws), 1) / greatest(c.average, 1))) END""" for n in names)
     joins = " ".join(f"LEFT JOIN {n} ON {n}.doc = w.doc" for n in names)
-    return f"SELECT w.doc, w.work_id, round({parts}, 6)::DOUBLE AS score, {parts} AS raw FROM words w CROSS JOIN corpus c {joins}"
+    return f"SELECT w.doc, w.work_id, round({parts}, 6)::DOUBLE AS score FROM words w CROSS JOIN corpus c {joins}"
 
 
 def _index(spark, root):
@@ -112,7 +112,7 @@ def match_unfolded(spark, root):
     return search.hits(index.postings, [Phrase(("É",))], index.diacritics).select("doc", "work_id", F.col("tf0").alias("tf"))
 
 
-_PAGE = "SELECT doc, work_id, score FROM ({} WHERE {} AND {}) ORDER BY raw DESC, doc LIMIT {}"
+_PAGE = "SELECT doc, work_id, score FROM ({} WHERE {} AND {}) ORDER BY score DESC, doc LIMIT {}"
 _VISIBLE = "w.work_id IN (SELECT work_id FROM works WHERE NOT hidden)"
 
 

@@ -129,19 +129,51 @@ def content_hash(html: Column) -> Column:
     return F.sha2(normalise(html), 256)
 
 
-def strip_landmarks(html: Column) -> Column:
-    """Drop elements of the class ``landmark``, which screen readers steer by, from the prose.
+def enclosed(rest: Column, tag: str | Column) -> Column:
+    """What follows an opening tag, parted where its element closes: ``inside`` and, if it closes, ``after``.
 
-    The markup is cut where an element opens; a cut that opens a landmark loses
-    everything up to where that element closes.
+    The rest is cut at every tag of that name; a fold over the cuts counts the depth
+    and the cuts it passes, so a page of many tags is read once.
     """
-    def piece(part: Column) -> Column:
-        name = F.lower(F.regexp_extract(part, "^<([A-Za-z][A-Za-z0-9]*)", 1))
-        given = F.concat(F.lit(" "), F.regexp_extract(part, '(?is)^<[^>]*\\sclass="([^"]*)"', 1), F.lit(" "))
-        close = F.instr(part, "</")
-        rest = F.regexp_replace(F.substr(part, close), "^</[^>]*>", "")
-        return F.when(given.contains(" landmark ") & F.startswith(F.lower(F.substr(part, close + 2)), name) & (close > 0), rest).otherwise(part)
-    return let(F.split(F.coalesce(html, F.lit("")), "(?=<[A-Za-z])"), lambda p: F.array_join(F.transform(p, piece), ""))
+    name = F.lit(tag) if isinstance(tag, str) else tag
+    # a blank in front: the first cut then never begins with a tag
+    cuts = F.split(F.concat(F.lit(" "), rest), F.concat(F.lit("(?i)(?=<"), name, F.lit("\\b|</"), name, F.lit("\\s*>)")))
+
+    def step(acc: Column, cut: Column) -> Column:
+        depth = F.when(acc["depth"] == 0, 0).otherwise(acc["depth"] + F.when(cut.startswith("</"), -1).otherwise(1))
+        return F.struct(depth.alias("depth"), (acc["n"] + F.when(depth > 0, 1).otherwise(0)).alias("n"))
+
+    def parted(both: Column) -> Column:
+        pieces, end = both["pieces"], both["end"]
+        after = F.regexp_replace(F.array_join(F.slice(pieces, end["n"] + 1, F.size(pieces)), ""), "^</[^>]*>", "")
+        return F.struct(F.substr(F.array_join(F.slice(pieces, F.lit(1), end["n"]), ""), F.lit(2)).alias("inside"),
+                        F.when(end["depth"] == 0, after).alias("after"))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("n"))
+    return let(let(cuts, lambda p: F.struct(p.alias("pieces"), F.aggregate(F.slice(p, F.lit(2), F.size(p)), start, step).alias("end"))), parted)
+
+
+# Fixed value: an element of this class steers screen readers and is no prose.
+LANDMARK = '(?is)<[a-z][a-z0-9]*\\b[^>]*\\sclass="(?:[^"]*\\s)?landmark(?:\\s[^"]*)?"[^>]*>'
+
+
+def strip_landmarks(html: Column) -> Column:
+    """Drop elements of the class ``landmark``, with all they hold, from the prose; one that never closes stays."""
+    def step(acc: Column, _: Column) -> Column:
+        opening = F.regexp_extract(acc["rest"], LANDMARK, 0)
+        halves = F.split(acc["rest"], LANDMARK, 2)
+
+        def onward(h: Column) -> Column:
+            rest = enclosed(F.element_at(h, 2), F.lower(F.regexp_extract(opening, "^<([A-Za-z][A-Za-z0-9]*)", 1)))
+            return let(rest, lambda r: F.struct(
+                F.concat(acc["done"], F.element_at(h, 1), F.when(r["after"].isNull(), opening).otherwise("")).alias("done"),
+                F.coalesce(r["after"], F.element_at(h, 2)).alias("rest")))
+        return F.when(opening == "", acc).otherwise(let(halves, onward))
+
+    def whole(text: Column) -> Column:
+        start = F.struct(F.lit("").alias("done"), text.alias("rest"))
+        return F.aggregate(F.array_repeat(F.lit(0), F.regexp_count(text, F.lit(LANDMARK))), start, step,
+                           lambda acc: F.concat(acc["done"], acc["rest"]))
+    return let(F.coalesce(html, F.lit("")), lambda t: F.when(t.contains("landmark"), whole(t)).otherwise(t))
 
 
 def image_sources(html: Column) -> Column:

@@ -23,6 +23,8 @@ from storyloom.operators import catalog
 from storyloom.spec import FilterSpec, Phrase, SearchSpec
 
 K1, B = 1.2, 0.75
+#: Digits of a score that rank.
+DIGITS = 6
 SNIPPET_TOKENS = 18
 TERM = "[\\p{L}\\p{N}]+"
 BUCKETS = 64
@@ -226,8 +228,11 @@ def scored(index: SearchIndex, spec: SearchSpec, works: DataFrame | None = None)
 
 
 def top(rows: DataFrame, k: int | None = 40) -> DataFrame:
-    """The best k, or all, best first.  Every match is ranked, not a leading sample of them."""
-    ranked = rows.orderBy(F.col("score").desc(), "doc")
+    """The best k, or all, best first.  Every match is ranked, not a leading sample of them.
+
+    Scores that agree to the sixth digit are ties, as further digits of a sum depend on its order.
+    """
+    ranked = rows.orderBy(F.round("score", DIGITS).desc(), "doc")
     return ranked if k is None else ranked.limit(k)
 
 
@@ -274,7 +279,7 @@ def search_text(index: SearchIndex, lib: Library, spec: SearchSpec, k: int | Non
     shown = F.lit("") if blank else snippet(F.col("text"), spec, diacritics=index.diacritics)
     return titled.join(lib.chapters.select(F.col("id").alias("doc"), "text"), "doc").select(
         "doc", "work_id", "number", "title", "authors", shown.alias("snippet"), "score").orderBy(
-        F.col("score").desc(), "doc")
+        F.round("score", DIGITS).desc(), "doc")
 
 
 def search_work(index: SearchIndex, lib: Library, spec: SearchSpec, works: DataFrame | None, k: int | None = 40) -> DataFrame:

@@ -34,6 +34,9 @@ def test_html_to_text(apply):
 def test_small_text_functions(apply):
     assert apply(tx.count_words, "It’s a well-made day, 2 of 3", "", None) == [7, 0, 0]
     assert apply(tx.strip_landmarks, '<h3 class="landmark heading">Chapter Text</h3><p>a</p>', "<p>b</p>") == ["<p>a</p>", "<p>b</p>"]
+    assert apply(tx.strip_landmarks, '<h3 class="landmark heading">Chapter <em>Text</em> more</h3>', 'a<DIV id="1" class="x landmark"><div>b</div>c</DIV>d',
+                 '<p class="landmark">a', 'x<p class="seamark">y</p>', '<i class="landmark"><i class="landmark">a</i>b</i>c<b class="landmark">d</b>', None) == [
+        "", "ad", '<p class="landmark">a', 'x<p class="seamark">y</p>', "c", ""]
     assert apply(tx.image_urls, '<img src="https://a/x?1&amp;2"><IMG alt="" src="https://a/x?1&amp;2"><img src="b.png">') == [["https://a/x?1&2"]]
     assert apply(tx.house_classes, '<p class="calibre1 userstuff2 mine">a</p><b class="calibre9">') == ['<p class="userstuff mine">a</p><b>']
     assert apply(tx.needs_skin, '<p class="calibre12 userstuff">', '<p class="chat">', '<p style="x">', "<p>") == [False, True, True, False]
