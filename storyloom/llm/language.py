@@ -91,16 +91,17 @@ class LanguageModel:
     weights: np.ndarray
     allowed: np.ndarray
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Score of each word for each language; languages that do not use its script are far below."""
-        out = np.zeros((len(words), len(self.languages)))
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each word for each language, and its number of n-grams; languages that do not use its script are far below."""
+        out, grams = np.zeros((len(words), len(self.languages))), np.zeros(len(words), np.int64)
         if words:
             bins, owner = _grams(words)
+            grams = np.bincount(owner, minlength=len(words))
             for k in range(len(self.languages)):
                 out[:, k] = np.bincount(owner, self.weights[bins, k], len(words))
             allowed = self.allowed[_scripts(words)]
             out = np.where(allowed | ~allowed.any(axis=1, keepdims=True), out, -1e6)
-        return out
+        return out, grams
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -144,7 +145,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     begin = (np.cumsum(lengths) - lengths)[order]
     lengths = lengths[order]
     live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right")
-    came = np.empty((total, n), np.int8)
+    came = np.empty((total, n), np.int8 if n < 128 else np.int32)
     best = np.zeros((len(lengths), n))
     best[: live[0]] = scores[begin[: live[0]]]
     for t in range(1, len(live)):
@@ -172,6 +173,11 @@ def label(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "t
     The text's language is the one with most letters in its spans, the first by
     name at a tie; the score is its share of the letters.  A null text, one
     without letters, or a model without languages gives ``und``, 0 and no spans.
+
+    ``letters`` counts the text's letters.  ``evidence`` is by how much, in nats for an
+    n-gram, the spans' languages explain the text better than chance does (every bin
+    alike): letters without a language stay below 0.  It is null where the model has
+    no language or the text no letter.
     """
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     names, shared = np.array([*model.languages, "und"]), model
@@ -180,17 +186,26 @@ def label(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "t
         n = len(shared.languages)
         for rows in batches:
             seen: dict[str, int] = {}
-            ids = [[seen.setdefault(w, len(seen)) for w in words_of(t)] if n else [] for t in rows["_t"]]
+            ids = [[seen.setdefault(w, len(seen)) for w in words_of(t)] for t in rows["_t"]]
+            if not n:
+                yield pd.concat([rows[keep], pd.DataFrame({
+                    "lang_pred": "und", "score": 0.0, "spans": [[] for _ in ids], "evidence": None,
+                    "letters": [sum(len(w) for w in words_of(t)) for t in rows["_t"]]}, index=rows.index)], axis=1)
+                continue
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.int64, int(lengths.sum()))
             known = list(seen)
             size = np.fromiter(map(len, known), np.int64, len(known))
-            labels = viterbi(shared.scores(known)[flat], lengths, switch)
+            words, grams = shared.scores(known)
+            labels = viterbi(words[flat], lengths, switch)
             owner = np.repeat(np.arange(len(ids)), lengths)
             mass = np.zeros((len(ids), n + 1))
             np.add.at(mass, (owner, labels), size[flat])
             mass[lengths == 0, n] = 1
             pred = mass.argmax(axis=1)
+            letters = np.bincount(owner, size[flat], len(ids)).astype(np.int64)
+            fit = np.bincount(owner, np.maximum(words[flat, labels], -1e5), len(ids)) / np.maximum(np.bincount(owner, grams[flat], len(ids)), 1)
+            evidence = np.where(lengths > 0, fit + np.log(BINS), np.nan)
             share = np.where(lengths > 0, mass.max(axis=1) / np.maximum(mass.sum(axis=1), 1), 0.0)
             new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (labels[1:] != labels[:-1]))) if len(flat) else np.zeros(0, bool)
             cut = np.nonzero(new)[0]
@@ -200,6 +215,7 @@ def label(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "t
             for o, c, r, k in zip(owner[cut].tolist(), cut.tolist(), run.tolist(), labels[cut].tolist()):
                 spans[o].append({"first": c - int(first[o]), "words": r, "lang": str(names[k])})
             yield pd.concat([rows[keep], pd.DataFrame(
-                {"lang_pred": names[pred], "score": share, "spans": spans}, index=rows.index)], axis=1)
+                {"lang_pred": names[pred], "score": share, "spans": spans, "evidence": evidence, "letters": letters}, index=rows.index)], axis=1)
     return frames(docs.select(*keep, octets(text).alias("_t")), work,
-                  kinds + "lang_pred string, score double, spans array<struct<first: long, words: long, lang: string>>")
+                  kinds + "lang_pred string, score double, spans array<struct<first: long, words: long, lang: string>>, "
+                  "evidence double, letters long")

@@ -1,5 +1,6 @@
 """Held-out accuracy on the tables, spans of mixed texts, Viterbi against trying every labelling."""
 
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -44,3 +45,32 @@ def test_spans_scripts_and_odd_rows(spark):
     empty = language.train(spark.createDataFrame([], "text string, lang string"))
     assert {r.lang_pred for r in language.label(docs, empty, ["doc_id"]).collect()} == {"und"}
     assert language.label(docs.where("false"), model, ["doc_id"]).count() == 0
+
+
+def test_two_hundred_languages(spark):
+    rng = np.random.default_rng(6)
+    word = lambda k: "".join(rng.choice(list("abcdefghijklmnop"), 5)) + f"{chr(97 + k % 26)}{chr(97 + k // 26)}q"
+    speech = {f"l{k:03d}": [word(k) for _ in range(6)] for k in range(200)}
+    rows = [(" ".join(rng.choice(w, 80)), name) for name, w in speech.items()]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    docs = spark.createDataFrame([(name, " ".join(w)) for name, w in speech.items()], "want string, text string")
+    got = language.label(docs, model, ["want"]).collect()
+    assert len(got) == 200 and all(r.lang_pred == r.want and r.evidence > 0 for r in got)
+
+
+def test_counts_and_word_scores_equal_the_definition(spark):
+    """Laplace-smoothed log probabilities of all 2- to 5-byte stretches of the words with their edges."""
+    rows = [("ab abc", "x"), ("ab", "x"), ("bé b", "y"), (None, "y"), ("zz", None)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+
+    def grams(word):
+        raw = b" " + word.encode() + b" "
+        return [raw[i:i + n] for n in language.GRAMS for i in range(len(raw) - n + 1)]
+    counts = {k: Counter(language._grams([w])[0][j] for t, lang in rows if lang == k and t for w in t.split() for j in range(len(grams(w))))
+              for k in ("x", "y")}
+    for word in ("ab", "abc", "bé", "new"):
+        bins = language._grams([word])[0].tolist()
+        assert len(bins) == len(grams(word))
+        got, n = model.scores([word])
+        want = [sum(np.log((counts[k][b] + 0.5) / (counts[k].total() + 0.5 * language.BINS)) for b in bins) for k in ("x", "y")]
+        assert n[0] == len(bins) and np.allclose(got[0], want)

@@ -1,9 +1,11 @@
 """Every stage on its own input against a plain version of what it promises."""
 
 import itertools
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from storyloom.llm import simhash
@@ -37,6 +39,18 @@ def test_language_keeps_all_texts_with_letters(tables):
     assert Counter(tables["language"]) == Counter(r for r in tables["documents"] if r.text and any(c.isalpha() for c in r.text))
 
 
+def test_language_judges_by_what_was_learned(spark):
+    words = "the cat and the dog were there with them and so it went on for a while until they left the old house by the sea".split()
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(words, k=60)), "en") for i in range(60)]
+    rows += [(100, " ".join("".join(rng.choices("qxzjvkwcbfgp", k=9)) for _ in range(60)), None), (101, "12 !?", None), (102, "the dog and the sea", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in cp.with_language(spark, docs, ROOT).collect()}
+    assert kept == {*range(60), 102}
+    nothing = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in cp.with_language(spark, nothing, ROOT).collect()} == {*range(60), 100, 102}
+
+
 def test_quality_drops_what_labels_call_bad(spark, tables):
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{ROOT}/labels.parquet").collect()}
     kept = {r.doc_id for r in tables["quality"]}
@@ -58,10 +72,10 @@ def test_near_copies_by_shingles(tables):
     for (a, b), n in common.items():
         share = n / len(sets[a] | sets[b])
         near[a], near[b] = max(near[a], share), max(near[b], share)
-        found += share >= 0.85
-        assert share < 0.85 or not (a in kept and b in kept)
+        found += share >= 0.8
+        assert share < 0.8 or not (a in kept and b in kept)
     assert found > 10
-    assert sum(near[d] < 0.7 for d in sets if d not in kept) <= 0.1 * (len(sets) - len(kept))
+    assert all(near[d] >= 0.8 for d in sets if d not in kept)
 
 
 def test_no_passage_stands_twice(tables):
@@ -98,6 +112,20 @@ def test_one_of_each_with_odd_rows(spark):
     assert simhash.one_of_each(docs.where("false")).count() == 0
 
 
+def test_further_columns_may_bear_any_name(spark):
+    names = ["score", "spans", "lang_pred", "_t", "k1", "k2", "n_bytes", "kept_text", "letters", "evidence", "node", "root", "_key", "_lang", "levels",
+             "keys", "fp", "x0", "_kept", "_row", "anchor"]
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs = base.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for name, stage in cp.STAGES:
+        out = stored(stage(spark, docs, ROOT), name)
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert out.select(*out.columns[5:-7]).distinct().count() <= 1
+            docs = out
+    assert docs.count() > 0
+
+
 def test_stages_on_odd_tables(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, "ab " * 40000, None, "s", 9)],
                                 "doc_id long, text string, lang string, source string, n_chars long")
