@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -19,30 +20,47 @@ PASSAGE = 240
 SEQUENCE = 2048
 
 
+#: The columns that stages work with; any others are carried along under names of their own.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carried(work: Stage) -> Stage:
+    """A stage whose operators never meet a name of their own among the further columns of a table."""
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
+        names = docs.columns
+        out = work(prepare(spark), docs.toDF(*[c if c in KNOWN else f"further_{i}" for i, c in enumerate(names)]), root)
+        return out.toDF(*names)
+    return run
+
+
+@carried
 def with_language(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
-    """Drop documents in which no language is found: null texts and texts without letters."""
-    prepare(spark)
+    """Drop documents without letters, and those that no learned language explains better than chance.
+
+    Where no row carries a language nothing is learned, and all texts with letters stay.
+    """
     labelled = language.label(docs, language.train(docs), docs.columns)
-    return labelled.where("lang_pred <> 'und'").select(*docs.columns)
+    return labelled.where("letters > 0 AND coalesce(evidence > 0, true)").select(*docs.columns)
 
 
+@carried
 def of_quality(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
     """Drop documents that fail the base rules or lie far outside their language and source."""
-    prepare(spark)
     fits = outliers.fit(stored(outliers.counted(docs, []), "counted"))
     judged = outliers.judge(outliers.counted(docs, docs.columns), fits)
     return judged.where("_kept").select(*docs.columns)
 
 
+@carried
 def without_copies(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
     """One document of each group of copies and near copies."""
-    prepare(spark)
     return simhash.one_of_each(docs, "doc_id", "text")
 
 
+@carried
 def without_passages(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
     """Cut passages that stand elsewhere too out of the texts; documents of which nothing is left go."""
-    prepare(spark)
     kept = [c for c in docs.columns if c not in ("text", "n_chars")]
     cut = suffix_dedup.remove_repeats(docs, kept, length=PASSAGE, with_text=True)
     cut = cut.withColumn("text", F.col("kept_text")).where(F.col("text").rlike(r"\S"))
@@ -52,7 +70,7 @@ def without_passages(spark: SparkSession, docs: DataFrame, root: str) -> DataFra
 def packed(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
     """Tokens of the documents in gapless sequences."""
     prepare(spark)
-    pieces = packing.pieces(docs, "doc_id", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, SEQUENCE)
+    pieces = packing.pieces(docs.select("doc_id", "text"), "doc_id", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, SEQUENCE)
     return packing.pack(pieces, SEQUENCE)
 
 
