@@ -105,36 +105,57 @@ def _over(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
-def close(fps: np.ndarray, radius: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of rows of bytes within the radius, by carry-save counters over vertical planes."""
+#: Fingerprints asked at a time against a whole block: bounds the pairs that are held at once.
+SLAB = 256
+
+
+def _slabs(fps: np.ndarray, radius: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of rows of bytes within the radius, by carry-save counters over vertical planes, a slab of rows i at a time."""
     n, bits = len(fps), fps.shape[1] * 8
     vertical = planes(fps)
-    asked = np.where(np.unpackbits(fps, axis=1), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
-    first = np.arange(n) // 64
     width = vertical.shape[1]
-    query = np.repeat(np.arange(n), width - first)
-    word = np.concatenate([np.arange(f, width) for f in first])
-    counter = [np.zeros(len(query), np.uint64)]
-    for b in range(bits):
-        carry = vertical[b][word] ^ asked[query, b]
-        for i in range(len(counter)):
-            counter[i], carry = counter[i] ^ carry, counter[i] & carry
-        if carry.any():
-            counter.append(carry)
-        if b % step == step - 1 and b + 1 < bits and b + 1 > radius:
-            alive = _over(counter, radius) != np.uint64(0xFFFFFFFFFFFFFFFF)
-            if not alive.all():
-                query, word, counter = query[alive], word[alive], [c[alive] for c in counter]
-                if not len(query):
-                    break
-    if not len(query):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    within = ~_over(counter, radius)
-    lanes = np.unpackbits(within.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    at, lane = np.nonzero(lanes)
-    a, b = query[at], word[at] * 64 + lane
-    keep = (b > a) & (b < n)
-    return a[keep], b[keep]
+    for begin in range(0, n, SLAB):
+        rows = np.arange(begin, min(begin + SLAB, n))
+        asked = np.where(np.unpackbits(fps[rows], axis=1), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+        first = rows // 64
+        query = np.repeat(rows, width - first)
+        word = np.concatenate([np.arange(f, width) for f in first])
+        counter = [np.zeros(len(query), np.uint64)]
+        for b in range(bits):
+            carry = vertical[b][word] ^ asked[query - begin, b]
+            for i in range(len(counter)):
+                counter[i], carry = counter[i] ^ carry, counter[i] & carry
+            if carry.any():
+                counter.append(carry)
+            if b % step == step - 1 and b + 1 < bits and b + 1 > radius:
+                alive = _over(counter, radius) != np.uint64(0xFFFFFFFFFFFFFFFF)
+                if not alive.all():
+                    query, word, counter = query[alive], word[alive], [c[alive] for c in counter]
+                    if not len(query):
+                        break
+        if not len(query):
+            continue
+        within = ~_over(counter, radius)
+        lanes = np.unpackbits(within.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        at, lane = np.nonzero(lanes)
+        i, j = query[at], word[at] * 64 + lane
+        keep = (j > i) & (j < n)
+        yield i[keep], j[keep]
+
+
+def close(fps: np.ndarray, radius: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i < j) of rows of bytes within the radius."""
+    none = np.empty(0, np.int64)
+    found = list(_slabs(fps, radius, step)) or [(none, none)]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def connected(fps: np.ndarray, radius: int, step: int = 8) -> np.ndarray:
+    """Smallest row reachable over pairs within the radius, for each row; pairs are never held all at once."""
+    root = np.arange(len(fps))
+    for a, b in _slabs(fps, radius, step):
+        root = _roots(len(fps), np.concatenate((a, np.arange(len(fps)))), np.concatenate((b, root)))
+    return root
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,12 +175,19 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def alike(sets: list[np.ndarray]) -> np.ndarray:
-    """Smallest set reachable over pairs with a Jaccard similarity of at least ALIKE, for each of the sets; empty ones are equal."""
+    """Smallest set reachable over pairs with a Jaccard similarity of at least ALIKE, for each of the sets; empty ones are equal.
+
+    The list is emptied on the way.
+    """
     size = np.array([len(s) for s in sets])
     end = np.cumsum(size)
-    kinds, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    flat = np.concatenate(sets)
+    sets.clear()  # these are most of a task's memory
+    kinds = np.unique(flat)
+    ids = np.searchsorted(kinds, flat).astype(np.int32)
+    del flat
     part, whole = ALIKE
-    root, rest = np.arange(len(sets)), np.arange(len(sets))
+    root, rest = np.arange(len(size)), np.arange(len(size))
     while len(rest):
         first, rest = rest[0], rest[1:]
         reached = [first]
@@ -167,7 +195,7 @@ def alike(sets: list[np.ndarray]) -> np.ndarray:
             one = reached.pop()
             has = np.zeros(len(kinds), bool)
             has[ids[end[one] - size[one]:end[one]]] = True
-            before = np.concatenate(([0], np.cumsum(has[ids])))
+            before = np.concatenate(([0], np.cumsum(has[ids], dtype=np.int32)))
             common = before[end[rest]] - before[end[rest] - size[rest]]
             near = whole * common >= part * (size[one] + size[rest] - common)
             root[rest[near]] = first
@@ -220,7 +248,7 @@ def link(nodes: DataFrame, key: str, radius: int, block: int = BLOCK, sets: str
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in groups(batches, "bucket", block // 4):
             fps = np.frombuffer(b"".join(rows["fp"]), np.uint8).reshape(len(rows), -1)
-            root = _roots(len(rows), *close(fps, radius))
+            root = connected(fps, radius)
             if sets:
                 root = _alike_within(root, rows, sets)
             off = np.nonzero(root != np.arange(len(rows)))[0]
