@@ -17,7 +17,8 @@ import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
+from struct import Struct
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,10 @@ STATES = 250_000
 PIECES = 300_000
 #: Bytes of a piece after which states are no longer stored: so far in, few pieces share them.
 DEEP = 7
+#: Packs so many ids as little-endian 32-bit numbers.
+_PACK = [Struct(f"<{n}I").pack for n in range(40)]
+#: Bytes that are decoded at a time.
+CHUNK = 1 << 16
 
 
 class Transducer:
@@ -39,24 +44,17 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.next: dict[int, int] = {}
-        self.token = [-1]
-        self.inner = [True]
-        for token, rank in ranks.items():
-            node = 0
-            for b in token:
-                key = node << 8 | b
-                if key not in self.next:
-                    self.next[key] = len(self.token)
-                    self.token.append(-1)
-                    self.inner.append(False)
-                    self.inner[node] = True
-                node = self.next[key]
-            self.token[node] = rank
+        places: dict[bytes, int] = {b"": 0}
+        for token in ranks:
+            for n in range(1, len(token) + 1):
+                places.setdefault(token[:n], len(places))
+        begun = {token[:n] for token in ranks for n in range(len(token))}
+        #: place in the trie << 8 | byte to (next place << 8, token that ends there or -1, whether tokens go on from there)
+        self.next = {places[t[:-1]] << 8 | t[-1]: (at << 8, ranks.get(t, -1), t in begun) for t, at in places.items() if t}
         self.pairs: dict[int, bool] = {}
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
         self._empty()
 
     def _empty(self) -> None:
@@ -109,22 +107,21 @@ class Transducer:
 
     def move(self, members: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         """Next set and what it lets go of; the first member of a set stands at the end of a token."""
-        next_, token, inner, pairs = self.next, self.token, self.inner, self.pairs
+        next_, pairs = self.next, self.pairs
         closed, open_ = None, []
         for node, waiting in members:
-            node = next_.get(node << 8 | byte)
-            if node is None:
+            got = next_.get(node | byte)
+            if got is None:
                 continue
-            if closed is None:
-                t = token[node]
-                if t >= 0:
-                    if waiting:
-                        fits = pairs.get(waiting[-1] << 32 | t)
-                        if self.stable(waiting[-1], t) if fits is None else fits:
-                            closed = (*waiting, t)
-                    else:
-                        closed = (t,)
-            if inner[node]:
+            node, t, more = got
+            if closed is None and t >= 0:
+                if waiting:
+                    fits = pairs.get(waiting[-1] << 32 | t)
+                    if self.stable(waiting[-1], t) if fits is None else fits:
+                        closed = (*waiting, t)
+                else:
+                    closed = (t,)
+            if more:
                 open_.append((node, waiting))
         if not open_:
             return ((0, closed[-1:]),), closed[:-1]
@@ -146,7 +143,41 @@ class Transducer:
         made = self.steps[state << 8 | byte] = (self._state(members), out)
         return made
 
-    def encode(self, piece: str) -> tuple[int, ...]:
+    def _deep(self, members: tuple, rest: bytes) -> list[int]:
+        """Tokens of the rest of a piece from a set of states that is not stored.
+
+        The same moves, but tokens not yet written are kept as a chain: each place a
+        token ends at knows that token and the place it began at, so nothing is copied.
+        """
+        next_, pairs = self.next, self.pairs
+        given = [waiting for _, waiting in members]
+        last, begun = [w[-1] if w else -1 for w in given], list(range(len(given)))
+        open_ = [(node, i) for i, (node, _) in enumerate(members)]
+        for b in rest:
+            closed, moved = False, [(0, len(last))]
+            for node, at in open_:
+                got = next_.get(node | b)
+                if got is None:
+                    continue
+                node, t, more = got
+                if t >= 0 and not closed:
+                    before = last[at]
+                    fits = before < 0 or pairs.get(before << 32 | t)
+                    if self.stable(before, t) if fits is None else fits:
+                        closed = True
+                        last.append(t)
+                        begun.append(at)
+                if more:
+                    moved.append((node, at))
+            open_ = moved
+        at, out = len(last) - 1, []
+        while at >= len(given):
+            out.append(last[at])
+            at = begun[at]
+        return [*given[at], *reversed(out)]
+
+    def encode(self, piece: str) -> tuple[bytes, bytes]:
+        """Ids of a piece as packed 32-bit numbers, and the bytes these ids stand for."""
         got = self.pieces.get(piece) or self.older.get(piece)
         if got is not None:
             return self._keep(piece, got)
@@ -157,22 +188,18 @@ class Transducer:
             state, out = steps.get(state << 8 | b) or self.step(state, b)
             if out:
                 ids.extend(out)
-        members = self.sets[state]
-        for b in raw[DEEP:]:
-            members, out = self.move(members, b)
-            if out:
-                ids.extend(out)
-        ids.extend(members[0][1])
-        return self._keep(piece, tuple(ids))
+        ids.extend(self._deep(self.sets[state], raw[DEEP:]) if len(raw) > DEEP else self.sets[state][0][1])
+        return self._keep(piece, (_PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes(),
+                                  b"".join([self.bytes_of[i] for i in ids])))
 
-    def _keep(self, piece: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+    def _keep(self, piece: str, got: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
         """Remember a piece; pieces not met since the last turn of the store are forgotten at the next."""
         if len(piece) <= 64:
             if len(self.pieces) >= PIECES // 2:
                 self.older = self.pieces.copy()
                 self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+            self.pieces[piece] = got
+        return got
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[bytes]:
@@ -196,10 +223,15 @@ def transducer(path: str) -> Transducer:
     return Transducer(read_ranks(path))
 
 
+def packed(text: bytes, pattern: regex.Pattern, with_: Transducer) -> list[tuple[bytes, bytes]]:
+    """Packed ids and the bytes they stand for, of each match of the pattern in a whole text."""
+    one, known = with_.encode, with_.pieces.get
+    return [known(p) or one(p) for p in pattern.findall(text.decode("utf-8", "replace"))]
+
+
 def encode(text: bytes, pattern: regex.Pattern, with_: Transducer) -> list[int]:
     """Ids of a whole text, each match of the pattern encoded by itself."""
-    one, known = with_.encode, with_.pieces.get
-    return list(chain.from_iterable([known(p) or one(p) for p in pattern.findall(text.decode("utf-8", "replace"))]))
+    return np.frombuffer(b"".join([ids for ids, _ in packed(text, pattern, with_)]), "<u4").tolist()
 
 
 class Utf8Stream:
@@ -238,9 +270,9 @@ class Utf8Stream:
 
 def decode(ids: Iterable[int], bytes_of: dict[int, bytes], chunk: int = 4096) -> Iterator[str]:
     """Text of the ids in parts, holding no more than a chunk of tokens."""
-    stream, ids = Utf8Stream(), list(ids)
-    for i in range(0, len(ids), chunk):
-        yield stream.feed(b"".join(map(bytes_of.__getitem__, ids[i:i + chunk])))
+    stream, ids = Utf8Stream(), iter(ids)
+    while part := list(islice(ids, chunk)):
+        yield stream.feed(b"".join(map(bytes_of.__getitem__, part)))
     yield stream.close()
 
 
@@ -260,15 +292,17 @@ def round_trip(docs: DataFrame, keep: list[str], path: str, pattern: str, text:
             for rows in batches:
                 n, first, second, all_ids = [], [], [], []
                 for t in rows["_t"]:
-                    ids = encode(t, compiled, with_)
-                    back = hashlib.sha256()
-                    for part in decode(ids, with_.bytes_of):
-                        back.update(part.encode())
-                    n.append(len(ids))
-                    first.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                    found = packed(t, compiled, with_)
+                    ids, back, stream = b"".join([i for i, _ in found]), hashlib.sha256(), Utf8Stream()
+                    raw = b"".join([r for _, r in found])  # what the ids stand for, not the text
+                    for begin in range(0, len(raw), CHUNK):
+                        back.update(stream.feed(raw[begin:begin + CHUNK]).encode())
+                    back.update(stream.close().encode())
+                    n.append(len(ids) // 4)
+                    first.append(hashlib.sha256(ids).hexdigest())
                     second.append(back.hexdigest())
                     if with_ids:
-                        all_ids.append(ids)
+                        all_ids.append(np.frombuffer(ids, "<u4").tolist())
                 made = {"n_tokens": np.array(n, np.int64), "ids_sha256": first, "decoded_sha256": second}
                 if with_ids:
                     made["ids"] = all_ids
