@@ -1,10 +1,13 @@
 """Search queries over the document chapters and the works' descriptions."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from registry import query
 from registry.base import sql
-from storyloom.operators import search
+from registry.change import LATER, TWO, _two
+from storyloom.operators import merge, search, segments
 from storyloom.session import scratch_root
 from storyloom.sources.star import library
 from storyloom.spec import FilterSpec, Phrase, SearchSpec
@@ -31,9 +34,31 @@ def _score(*names):
     return f"SELECT w.doc, w.work_id, round({parts}, 6)::DOUBLE AS score FROM words w CROSS JOIN corpus c {joins}"
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def _written(spark, index, rows_a_bucket=20_000):
+    path = f"{scratch_root(spark)}/index-{uuid.uuid4().hex}"
+    segments.write(index, path, rows_a_bucket)
+    return path
+
+
+def _opened(spark, root, kind, texts):
+    """The index of some texts, written by the first query of a session that asks for it and then opened."""
+    key = spark.sparkContext.applicationId, scratch_root(spark), root, kind
+    if key not in _STORED:
+        _STORED[key] = _written(spark, search.build(texts))
+    return segments.read(spark, _STORED[key])
+
+
 def _index(spark, root):
     lib = library(spark, root)
-    return lib, search.build(lib.chapters)
+    return lib, _opened(spark, root, "text", lib.chapters)
+
+
+def _meta(spark, root):
+    lib = library(spark, root)
+    return lib, _opened(spark, root, "meta", search.descriptions(lib))
 
 
 def _rounded(df):
@@ -58,24 +83,50 @@ def tokenize(spark, root):
                                  (F.array_max("positions") + 1).alias("last"))
 
 
-@query("build_index", sql("SELECT term, count(DISTINCT doc) AS df, count(*) AS hits FROM toks GROUP BY 1", *TOKS))
+_STATS = "SELECT term, count(DISTINCT doc) AS df, count(*) AS hits FROM toks GROUP BY 1"
+
+
+@query("build_index", sql(_STATS, *TOKS))
 def build_index(spark, root):
-    """Written by hashed term and read back, as a search would find it."""
-    _, index = _index(spark, root)
-    import uuid
-    path = f"{scratch_root(spark)}/index-{uuid.uuid4().hex}"
-    search.write(index, path)
-    return search.term_stats(search.read(spark, path))
+    """Written as a segment and read back, as a search would find it."""
+    return search.term_stats(segments.read(spark, _written(spark, search.build(library(spark, root).chapters))))
+
 
+@query("term_dictionary", sql("SELECT term, count(DISTINCT doc) AS df, count(*) AS hits FROM toks WHERE term LIKE 'in%' GROUP BY 1", *TOKS))
+def term_dictionary(spark, root):
+    """The words one has begun to type, from the stored dictionary's stretch of the alphabet."""
+    return _index(spark, root)[1].dictionary("in")
 
-@query("refresh_index", sql("SELECT term, count(DISTINCT doc) AS df, count(*) AS hits FROM toks GROUP BY 1", *TOKS))
+
+@query("refresh_index", sql(_STATS, *TOKS))
 def refresh_index(spark, root):
-    """A stale index made current by indexing anew only the works that changed."""
+    """A stale stored index made current by a segment of only the works that changed."""
     lib = library(spark, root)
     changed = lib.chapters.where(F.col("work_id").cast("bigint") % 8 == 0).select("work_id")
     stale = lib.chapters.join(changed.distinct().withColumn("old", F.lit(True)), "work_id", "left").withColumn(
         "text", F.when(F.col("old"), F.concat(F.lit("stale "), "text")).otherwise(F.col("text")))
-    return search.term_stats(search.refresh(search.build(stale), lib.chapters, changed))
+    path = _written(spark, search.build(stale))
+    segments.follow(lib, changed, text=path)
+    return search.term_stats(segments.read(spark, path))
+
+
+@query("index_after_merges", sql("""
+SELECT term, count(DISTINCT doc) AS df, count(*) AS hits FROM (
+  SELECT id AS doc, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS term
+  FROM (SELECT * FROM dev_c WHERE work_id NOT IN (SELECT work_id FROM inc_w) UNION ALL
+    SELECT * FROM inc_c WHERE work_id NOT IN (SELECT work_id FROM deleted)
+    UNION ALL SELECT * FROM dev_c WHERE work_id IN (SELECT work_id FROM inc_w) AND work_id IN (SELECT work_id FROM deleted)))
+GROUP BY 1""", *TWO))
+def index_after_merges(spark, root):
+    """A stored index that follows its library through a merge, the same merge again, and the merging of its segments."""
+    held, arriving = _two(spark, root)
+    path = _written(spark, search.build(held.chapters))
+    merged = merge.libraries(held, arriving, LATER)
+    touched = merge.admin.gate_deleted(arriving.works, held.deleted)
+    for _ in range(2):
+        segments.follow(merged, touched, text=path)
+    segments.compact(spark, path, whole=True)
+    return search.term_stats(segments.read(spark, path))
 
 
 _match("bm25", SearchSpec(any_of=(_THE, _RARE)), ("p0", "p1"), "p0.tf > 0 OR p1.tf > 0", _A, _B)
@@ -131,12 +182,12 @@ def rank_many(spark, root):
 
 @query("search_stored", sql(f"SELECT doc, work_id, score FROM ({_score('p0', 'p1')} WHERE p0.tf > 0 AND p1.tf > 0)", *TOKS, _A, _B))
 def search_stored(spark, root):
-    """A search over an index that was written: only the buckets of its terms are read."""
-    import uuid
-    _, index = _index(spark, root)
-    path = f"{scratch_root(spark)}/index-{uuid.uuid4().hex}"
-    search.write(index, path)
-    return _rounded(search.scored(search.read(spark, path), SearchSpec(all_of=(_THE, _RARE))))
+    """A search over an index written, and refreshed, a few times: of each segment only the buckets of its terms are read."""
+    lib = library(spark, root)
+    path = _written(spark, search.build(lib.chapters.where(F.col("work_id").cast("bigint") % 3 != 0)))
+    for rest in (0, 1):
+        segments.follow(lib, lib.chapters.where(F.col("work_id").cast("bigint") % 6 == 3 * rest).select("work_id"), text=path)
+    return _rounded(search.scored(segments.read(spark, path), SearchSpec(all_of=(_THE, _RARE))))
 
 
 _SNIP = """
@@ -198,7 +249,8 @@ SELECT work_id, title, words FROM shown WHERE complete
 ORDER BY words DESC NULLS LAST, work_id LIMIT 40""", *_META))
 def search_meta(spark, root):
     spec = SearchSpec(all_of=(Phrase(("Machinery",)), Phrase(("eco",), prefix=True)), none_of=(Phrase(("widget",)),))
-    return search.search_meta(library(spark, root), spec, FilterSpec(complete=True), "words").select("work_id", "title", "words")
+    lib, meta = _meta(spark, root)
+    return search.search_meta(lib, spec, FilterSpec(complete=True), "words", index=meta).select("work_id", "title", "words")
 
 
 @query("search_meta_phrase", sql("""
@@ -208,7 +260,31 @@ SELECT work_id FROM works WHERE work_id IN (
     WHERE ws[i] = 'building' AND ws[j] = 'nation' AND abs(i - j) <= 2)""", *_META))
 def search_meta_phrase(spark, root):
     spec = SearchSpec(any_of=(Phrase(("small", "ring")), Phrase(("building", "nation"), near=1)))
-    return search.meta_ids(library(spark, root), spec)
+    lib, meta = _meta(spark, root)
+    return search.meta_ids(lib, spec, meta)
+
+
+@query("search_meta_unstored", sql("""
+SELECT work_id FROM works WHERE work_id IN (SELECT work_id FROM mt WHERE list_contains(ws, 'machinery'))
+  AND work_id IN (SELECT work_id FROM mt WHERE len(list_filter(ws, lambda w: starts_with(w, 'eco'))) > 0)""", *_META))
+def search_meta_unstored(spark, root):
+    """Without an index of descriptions the texts are judged where they lie."""
+    return search.meta_ids(library(spark, root), SearchSpec.typed("Machinery", "eco"))
+
+
+@query("meta_after_changes", sql("""
+SELECT term, count(*) AS hits FROM (SELECT unnest(regexp_extract_all(strip_accents(lower(t)), '[\\p{L}\\p{N}]+')) AS term FROM (
+  SELECT title AS t FROM works UNION ALL SELECT summary FROM works UNION ALL SELECT unnest(authors) FROM works UNION ALL SELECT name FROM tags))
+GROUP BY 1"""))
+def meta_after_changes(spark, root):
+    """The index of descriptions follows works that were retitled, tagged anew or had been gone."""
+    lib = library(spark, root)
+    k = F.col("work_id").cast("bigint")
+    old = lib.with_(works=lib.works.where(k % 11 != 5).withColumn("title", F.when(k % 9 == 4, "earlier").otherwise(F.col("title"))),
+                    tags=lib.tags.where((k % 11 != 5) & (k % 9 != 4)))
+    path = _written(spark, search.build(search.descriptions(old)))
+    segments.follow(lib, lib.works.where((k % 11 == 5) | (k % 9 == 4)), meta=path)
+    return search.term_stats(segments.read(spark, path)).select("term", "hits")
 
 
 @query("search_everything", sql(f"""
@@ -222,7 +298,7 @@ UNION ALL SELECT 'passage', p.work_id, w.title, (p.doc % 1000000)::INT, NULL, p.
     *TOKS, *_META, _tf("p0", "term LIKE 'rin%'")))
 def search_everything(spark, root):
     lib, index = _index(spark, root)
-    return search.search_everything(index, lib, "rin").withColumn("score", F.round("score", 6))
+    return search.search_everything(index, lib, "rin", _meta(spark, root)[1]).withColumn("score", F.round("score", 6))
 
 
 @query("search_everything_short", sql(f"""
@@ -231,5 +307,5 @@ FROM ({_PAGE.format(_score("p0"), "p0.tf > 0", _VISIBLE, 10)}) p JOIN works w US
 def search_everything_short(spark, root):
     """Two letters find passages too."""
     lib, index = _index(spark, root)
-    return search.search_everything(index, lib, "in").where("kind = 'passage'").select(
+    return search.search_everything(index, lib, "in", _meta(spark, root)[1]).where("kind = 'passage'").select(
         "kind", "work_id", "name", "number", F.round("score", 6).alias("score"))

@@ -27,7 +27,6 @@ K1, B = 1.2, 0.75
 DIGITS = 6
 SNIPPET_TOKENS = 18
 TERM = "[\\p{L}\\p{N}]+"
-BUCKETS = 64
 
 
 # --- tokens -------------------------------------------------------------------
@@ -66,6 +65,10 @@ class SearchIndex:
     #: Whether marks were taken off letters; searches do as the index did.
     diacritics: bool = True
 
+    def rows_of(self, wanted: Sequence[tuple[str, bool]]) -> DataFrame:
+        """Postings of some terms, or of all terms with a prefix."""
+        return self.postings.where(reduce(Column.__or__, [is_term(F.col("term"), t, prefix) for t, prefix in wanted]))
+
 
 def build(chapters: DataFrame, diacritics: bool = True) -> SearchIndex:
     """Index chapters by their ``id``."""
@@ -85,36 +88,17 @@ def term_stats(index: SearchIndex) -> DataFrame:
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("hits"))
 
 
-def write(index: SearchIndex, path: str) -> None:
-    """Postings by hashed term and sorted in files; frequent terms are split.
-
-    The rebalance hint lets adaptive execution cut an outsized bucket and join
-    small ones, so a word found everywhere does not land in one task.
-    """
-    placed = index.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS)))
-    (placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "doc")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.docs.sparkSession.range(1).select(F.lit(index.diacritics).alias("diacritics")).write.mode("overwrite").parquet(
-        f"{path}/settings")
-
-
-def read(spark: SparkSession, path: str) -> SearchIndex:
-    settings = spark.read.parquet(f"{path}/settings").first()
-    return SearchIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), settings["diacritics"])
-
-
 def refresh(index: SearchIndex, chapters: DataFrame, works: DataFrame) -> SearchIndex:
     """The index with only some works' chapters indexed anew."""
     ids = works.select("work_id").distinct()
     new = build(chapters.join(ids, "work_id", "left_semi"), index.diacritics)
-    rest = lambda df: df.drop("bucket").join(ids, "work_id", "left_anti")
+    rest = lambda df: df.join(ids, "work_id", "left_anti")
     return SearchIndex(rest(index.postings).unionByName(new.postings), rest(index.docs).unionByName(new.docs), index.diacritics)
 
 
 # --- matching and scoring -----------------------------------------------------
 
-def _is(term: Column, wanted: str, prefix: bool) -> Column:
+def is_term(term: Column, wanted: str, prefix: bool) -> Column:
     return term.startswith(wanted) if prefix else term == wanted
 
 
@@ -125,6 +109,11 @@ def _slots(phrase: Phrase, diacritics: bool = True) -> list[tuple[str, bool]]:
     return [(t, phrase.prefix and i == len(terms) - 1) for i, t in enumerate(terms)]
 
 
+def slots_of(phrases: Sequence[Phrase], diacritics: bool = True) -> list[tuple[str, bool]]:
+    """Every term of some phrases, and whether it is a prefix."""
+    return list(dict.fromkeys(slot for p in phrases for slot in _slots(p, diacritics)))
+
+
 def _reach(positions: Column, n: int) -> Column:
     """Every position within n tokens of one of these, with one gap allowed."""
     return F.flatten(F.transform(positions, lambda p: F.sequence(p - n - 1, p + n + 1)))
@@ -144,22 +133,18 @@ def hits(postings: DataFrame, phrases: Sequence[Phrase], diacritics: bool = True
     Every phrase is read off the same rows, grouped by document once.  All
     words a prefix expands to count as one phrase.
     """
-    wanted = [slot for p in phrases for slot in _slots(p, diacritics)]
     term = F.col("term")
-    any_term = reduce(Column.__or__, [_is(term, t, prefix) for t, prefix in wanted])
-    if "bucket" in postings.columns and not any(prefix for _, prefix in wanted):
-        postings = postings.where(F.col("bucket").isin(*[
-            F.pmod(F.hash(F.lit(t)), F.lit(BUCKETS)) for t, _ in wanted]))
+    any_term = reduce(Column.__or__, [is_term(term, t, prefix) for t, prefix in slots_of(phrases, diacritics)])
     parts, counts = [], []
     for i, phrase in enumerate(phrases):
         slots = _slots(phrase, diacritics)
         if len(slots) == 1:
-            on = _is(term, *slots[0])
+            on = is_term(term, *slots[0])
             parts.append(F.coalesce(F.sum(F.when(on, F.col("tf"))), F.lit(0)).alias(f"tf{i}"))
             counts.append(F.col(f"tf{i}"))
             continue
         for j, slot in enumerate(slots):
-            found = F.flatten(F.collect_list(F.when(_is(term, *slot), F.col("positions"))))
+            found = F.flatten(F.collect_list(F.when(is_term(term, *slot), F.col("positions"))))
             parts.append(found.alias(f"at{i}_{j}"))
         at = [F.col(f"at{i}_{j}") for j in range(len(slots))]
         if phrase.near is not None:
@@ -174,6 +159,10 @@ def hits(postings: DataFrame, phrases: Sequence[Phrase], diacritics: bool = True
                           *[c.cast("bigint").alias(f"tf{i}") for i, c in enumerate(counts)])
 
 
+def _found(index: SearchIndex, phrases: Sequence[Phrase]) -> DataFrame:
+    return hits(index.rows_of(slots_of(phrases, index.diacritics)), phrases, index.diacritics)
+
+
 def _shift(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda p: p - by) if by else positions
 
@@ -214,7 +203,7 @@ def scored(index: SearchIndex, spec: SearchSpec, works: DataFrame | None = None)
     narrowed to some works.  The average length is a whole number, as the
     ranking is defined on whole numbers.
     """
-    found = hits(index.postings, _phrases(spec), index.diacritics)
+    found = _found(index, _phrases(spec))
     wanted = range(len(_real(spec.wanted)))
     corpus = index.docs.agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("length")).alias("average"))).scalar()
@@ -245,7 +234,7 @@ def snippet(text: Column, spec: SearchSpec, n: int = SNIPPET_TOKENS, diacritics:
     def which(word: Column) -> Column:
         folded, out = fold(word, diacritics), None
         for i, (term, prefix) in enumerate(slots, 1):
-            hit = _is(folded, term, prefix)
+            hit = is_term(folded, term, prefix)
             out = F.when(hit, F.lit(i)) if out is None else out.when(hit, F.lit(i))
         return out.otherwise(F.lit(0))
 
@@ -299,26 +288,47 @@ def _within(words: Column, phrase: Phrase) -> Column:
     """Whether one text, as tokens, holds a phrase."""
     slots = _slots(phrase)
     if len(slots) == 1:
-        return F.exists(words, lambda w: _is(w, *slots[0]))
+        return F.exists(words, lambda w: is_term(w, *slots[0]))
     last = F.size(words)
     if phrase.near is not None:
         places = lambda slot: F.filter(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), lambda i: F.coalesce(
-            _is(F.get(words, i), *slot), F.lit(False)))
+            is_term(F.get(words, i), *slot), F.lit(False)))
         return F.size(_chained([places(s) for s in slots], phrase.near)) > 0
     return F.exists(
         F.sequence(F.lit(0), F.greatest(last - len(slots), F.lit(0))),
         lambda i: reduce(Column.__and__, [
-            F.coalesce(_is(F.get(words, i + j), *slot), F.lit(False)) for j, slot in enumerate(slots)]))
+            F.coalesce(is_term(F.get(words, i + j), *slot), F.lit(False)) for j, slot in enumerate(slots)]))
+
+
+#: Fields of a description, as numbers in its postings.
+FIELDS = {"title": 0, "authors": 1, "summary": 2, "tags": 3}
+
+
+def descriptions(lib: Library) -> DataFrame:
+    """Every field and tag of every work as a text of its own, in the shape of chapters; ``number`` is the field."""
+    def field(name: str, texts: Column) -> Column:
+        return F.transform(texts, lambda t, i: F.struct(F.lit(FIELDS[name]).alias("number"), i.cast("string").alias("which"), t.alias("text")))
+    none = F.array().cast("array<string>")
+    fields = lib.works.select("work_id", F.inline(F.concat(
+        field("title", F.array("title")), field("authors", F.coalesce("authors", none)), field("summary", F.array("summary")))))
+    tags = lib.tags.select("work_id", F.lit(FIELDS["tags"]).alias("number"), F.concat_ws("/", "kind", "name").alias("which"), F.col("name").alias("text"))
+    return fields.unionByName(tags).select(
+        F.concat_ws("/", "work_id", F.col("number").cast("string"), "which").alias("id"), "work_id", "number", "text")
 
 
-def meta_ids(lib: Library, spec: SearchSpec) -> DataFrame:
+def meta_ids(lib: Library, spec: SearchSpec, index: SearchIndex | None = None) -> DataFrame:
     """Works whose description matches, each field and tag a text of its own.
 
-    Texts are judged where they lie; only those holding a phrase are shuffled,
-    as one flag per phrase.
+    An index of the descriptions (:func:`descriptions`), where there is one, is all
+    that is read.  Else texts are judged where they lie, and only those holding a
+    phrase are shuffled, as one flag per phrase.
     """
     if not _real(spec.wanted):
-        return lib.works.where(F.lit(False)).select("work_id")
+        return (lib.works if index is None else index.docs).where(F.lit(False)).select("work_id")
+    if index is not None:
+        n = len(_phrases(spec))
+        per_work = _found(index, _phrases(spec)).groupBy("work_id").agg(*[F.max(f"tf{i}").alias(f"tf{i}") for i in range(n)])
+        return per_work.where(_matches(spec)).select("work_id")
     phrases = _phrases(spec)
     on = [f"on{i}" for i in range(len(phrases))]
 
@@ -339,18 +349,18 @@ def meta_ids(lib: Library, spec: SearchSpec) -> DataFrame:
 
 
 def search_meta(lib: Library, spec: SearchSpec, filters: FilterSpec = FilterSpec(), sort: str = "title",
-                limit: int | None = 40) -> DataFrame:
+                limit: int | None = 40, index: SearchIndex | None = None) -> DataFrame:
     """Matching works, filtered, sorted and shaped as the catalogue does."""
-    return catalog.works(lib, filters.but(ids=meta_ids(lib, spec)), sort=sort, limit=limit)
+    return catalog.works(lib, filters.but(ids=meta_ids(lib, spec, index)), sort=sort, limit=limit)
 
 
-def search_everything(index: SearchIndex, lib: Library, text: str) -> DataFrame:
+def search_everything(index: SearchIndex, lib: Library, text: str, meta: SearchIndex | None = None) -> DataFrame:
     """Eight works, six tags and ten passages, told apart by ``kind``."""
     text = text.strip()
     spec = SearchSpec.typed(*text.split())
     shape = ["kind", "work_id", "name", "number", "n", "score"]
     none = lambda kind: F.lit(None).cast(kind)
-    found = search_meta(lib, spec, sort="words", limit=8).select(
+    found = search_meta(lib, spec, sort="words", limit=8, index=meta).select(
         F.lit("work").alias("kind"), "work_id", F.col("title").alias("name"), none("int").alias("number"),
         F.col("words").alias("n"), none("double").alias("score"))
     named = F.lower("name").contains(text.lower()) if text else F.lit(False)
