@@ -106,6 +106,23 @@ def catalogue_long_page(spark, root):
     return catalog.works(library(spark, root), sort="words", limit=1500, offset=300).select("work_id", "title", "words", "fandom")
 
 
+@query("catalogue_seek", sql("""
+SELECT work_id, title, words FROM shown ORDER BY words DESC NULLS LAST, work_id LIMIT 60 OFFSET 700"""))
+def catalogue_seek(spark, root):
+    """A deep page, begun after the row before it instead of counted to."""
+    lib = library(spark, root)
+    mark = catalog.works(lib, sort="words", limit=1, offset=699, with_cursor=True).first().cursor
+    return catalog.works(lib, sort="words", limit=60, begin=mark).select("work_id", "title", "words")
+
+
+@query("catalogue_seek_recent", sql("""
+SELECT work_id, title FROM shown ORDER BY last_read DESC NULLS LAST, work_id DESC LIMIT 40 OFFSET 900"""))
+def catalogue_seek_recent(spark, root):
+    lib = library(spark, root)
+    mark = catalog.works(lib, sort="recent", limit=1, offset=899, with_cursor=True).first().cursor
+    return catalog.works(lib, sort="recent", limit=40, begin=mark).select("work_id", "title")
+
+
 @query("tag_substring", sql("SELECT work_id, kind, name FROM tags WHERE contains(lower(name), 'ing')"))
 def tag_substring(spark, root):
     return library(spark, root).tags.where(facets._contains(F.col("name"), "ING"))

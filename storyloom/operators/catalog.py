@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from storyloom.spec import FilterSpec
 
 # Fixed value: what a listing says of a work that is not yet revealed.
 UNREVEALED = "this is part of an ongoing challenge and will be revealed soon"
+#: Works of a page that are few enough to be sent to every task.
+SHORT = 5000
 TAG_KINDS = ("fandom", "relationship", "character", "freeform", "warning", "category")
 
 
@@ -227,31 +230,70 @@ def count(lib: Library, spec: FilterSpec = FilterSpec()) -> DataFrame:
 
 # --- sorting and paging -------------------------------------------------------
 
-def _folded(name: str) -> Column:
-    return F.collate(F.col(name), "UTF8_LCASE").asc_nulls_first()
+@dataclass(frozen=True)
+class Key:
+    """One value a sort goes by; nulls come first going up and last going down."""
+    value: Column
+    down: bool = False
+
+    def order(self) -> Column:
+        return self.value.desc_nulls_last() if self.down else self.value.asc_nulls_first()
+
+    def beyond(self, mark: Column, unset: bool) -> Column:
+        """Whether a row's value comes strictly after a mark, whose being null is known."""
+        if unset:
+            return F.lit(False) if self.down else self.value.isNotNull()
+        return (self.value < mark) | self.value.isNull() if self.down else self.value > mark
+
+
+def _folded(value: Column | str) -> Column:
+    return F.collate(F.col(value) if isinstance(value, str) else value, "UTF8_LCASE")
+
+
+def keys_of(sort: str, seed: int = 0) -> list[Key]:
+    """What a sort goes by; ``work_id`` always comes last so that pages are stable."""
+    keys: dict[str, Callable[[], list[Key]]] = {
+        "visits": lambda: [Key(total_visits(), True), Key(_folded("title"))],
+        "title": lambda: [Key(_folded("title"))],
+        "author": lambda: [Key(_folded(F.to_json("authors")))],
+        "updated": lambda: [Key(F.coalesce("updated", "published"), True)],
+        "published": lambda: [Key(F.col("published"), True)],
+        "added": lambda: [Key(F.coalesce(F.col("fetched_at"), F.col("downloaded_at").cast("timestamp")), True)],
+        "words": lambda: [Key(F.col("words"), True)],
+        "shortest": lambda: [Key(F.col("words"))],
+        "chapters": lambda: [Key(F.col("chapter_count"), True)],
+        "recent": lambda: [Key(last_read(), True), Key(F.col("work_id"), True)],
+        "kudos": lambda: [Key(F.col("kudos"), True)],
+        "bookmarks": lambda: [Key(F.col("bookmark_count"), True)],
+        "hits": lambda: [Key(F.col("hits"), True)],
+        "random": lambda: [Key(shuffled(seed))],
+    }
+    return [*keys.get(sort, keys["title"])(), Key(F.col("work_id"))]
 
 
 def sort_keys(sort: str, seed: int = 0) -> list[Column]:
-    """Order-by list; ``work_id`` always comes last so that pages are stable."""
-    changed = F.coalesce("updated", "published")
-    keys: dict[str, Callable[[], list[Column]]] = {
-        "visits": lambda: [total_visits().desc(), _folded("title")],
-        "title": lambda: [_folded("title")],
-        "author": lambda: [F.collate(F.to_json("authors"), "UTF8_LCASE").asc_nulls_first()],
-        "updated": lambda: [changed.desc_nulls_last()],
-        "published": lambda: [F.col("published").desc_nulls_last()],
-        "added": lambda: [F.coalesce(
-            F.col("fetched_at"), F.col("downloaded_at").cast("timestamp")).desc_nulls_last()],
-        "words": lambda: [F.col("words").desc_nulls_last()],
-        "shortest": lambda: [F.col("words").asc_nulls_first()],
-        "chapters": lambda: [F.col("chapter_count").desc_nulls_last()],
-        "recent": lambda: [last_read().desc_nulls_last(), F.col("work_id").desc()],
-        "kudos": lambda: [F.col("kudos").desc_nulls_last()],
-        "bookmarks": lambda: [F.col("bookmark_count").desc_nulls_last()],
-        "hits": lambda: [F.col("hits").desc_nulls_last()],
-        "random": lambda: [shuffled(seed)],
-    }
-    return [*keys.get(sort, keys["title"])(), F.col("work_id").asc()]
+    """Order-by list of a sort."""
+    return [k.order() for k in keys_of(sort, seed)]
+
+
+def cursor(sort: str, seed: int = 0) -> Column:
+    """Where a row stands in a sort, as a value that :func:`after` takes."""
+    return F.struct(*[k.value.alias(f"v{i}") for i, k in enumerate(keys_of(sort, seed))])
+
+
+def after(mark: Sequence, sort: str, seed: int = 0) -> Column:
+    """Rows that come after a cursor: equal in the first values and beyond in the next, for each number of them."""
+    keys, out, same = keys_of(sort, seed), F.lit(False), F.lit(True)
+    for key, value in zip(keys, mark, strict=True):
+        given = F.lit(value) if value is not None else F.lit(None)
+        out = out | (same & key.beyond(given, value is None))
+        same = same & (key.value.isNull() if value is None else key.value == given)
+    # the first value alone is a plain range, which a scan can use; the rest decides among its equals
+    first, value = keys[0], mark[0]
+    if value is None:
+        return (first.value.isNull() if first.down else F.lit(True)) & out
+    bound = (first.value <= F.lit(value)) | first.value.isNull() if first.down else first.value >= F.lit(value)
+    return bound & out
 
 
 def shuffled(seed: int) -> Column:
@@ -259,23 +301,33 @@ def shuffled(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}/"), F.col("work_id")))
 
 
-def works(lib: Library, spec: FilterSpec = FilterSpec(), sort: str = "title",
-          limit: int | None = 50, offset: int = 0, seed: int = 0) -> DataFrame:
+def works(lib: Library, spec: FilterSpec = FilterSpec(), sort: str = "title", limit: int | None = 50, offset: int = 0,
+          seed: int = 0, begin: Sequence | None = None, with_cursor: bool = False) -> DataFrame:
     """One page of the catalogue, of any length; without a limit, all of it.
 
-    The page is cut first, and only its works are looked up among the tags.  It
-    is planned once: its rows travel through the lookup as one value.
+    A page begins at an ``offset``, or after the ``cursor`` of the row before it
+    (``begin``), which costs the same however deep it lies.  The page is cut first,
+    and only its works are looked up among the tags: a page of up to a few thousand
+    works meets the tags where they lie, so they are not shuffled.
     """
     order = sort_keys(sort, seed)
-    page = matching(lib, spec).orderBy(*order)
+    page = matching(lib, spec)
+    page = (page if begin is None else page.where(after(begin, sort, seed))).orderBy(*order)
     page = page.offset(offset) if offset else page
     page = page if limit is None else page.limit(limit)
     of = lambda kind: F.when(F.col("kind") == kind, F.col("name"))
     tags = lib.tags.where(F.col("kind").isin("fandom", "relationship")).select("work_id", "kind", "name")
-    labelled = page.select("work_id", F.struct(*[c for c in page.columns if c != "work_id"]).alias("row")).join(
-        tags, "work_id", "left").groupBy("work_id").agg(
+    page = page.select("work_id", F.struct(*[c for c in page.columns if c != "work_id"]).alias("row"))
+    if limit is not None and limit <= SHORT:
+        # the page is the small side of an inner join; a row without a tag for every work keeps works that have none
+        none = lib.works.select("work_id", F.lit("none").alias("kind"), F.lit(None).cast("string").alias("name"))
+        dressed = tags.unionByName(none).join(F.broadcast(page), "work_id")
+    else:
+        dressed = page.join(tags, "work_id", "left")
+    labelled = dressed.groupBy("work_id").agg(
         F.any_value("row").alias("row"), F.min(of("fandom")).alias("fandom"), F.min(of("relationship")).alias("relationship"),
         F.array_join(F.array_sort(F.collect_set(of("relationship"))), "\n").alias("relationships"))
+    place = [cursor(sort, seed).alias("cursor")] if with_cursor else []
     return (
         labelled.select("work_id", "row.*", "fandom", "relationship", "relationships")
         .orderBy(*order)
@@ -288,7 +340,7 @@ def works(lib: Library, spec: FilterSpec = FilterSpec(), sort: str = "title",
             local_visits().alias("ff_visits"), last_read().alias("last_read_at"),
             "kudos", "bookmark_count", "hits", "has_text", "at_chapter", "chapters_read",
             "marked_later", "opened_at", "offset", "completed_before", "fandom",
-            "relationship", F.nullif(F.col("relationships"), F.lit("")).alias("relationships"))
+            "relationship", F.nullif(F.col("relationships"), F.lit("")).alias("relationships"), *place)
     )
 
 

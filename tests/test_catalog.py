@@ -124,3 +124,38 @@ def test_a_page_carries_its_labels(make):
     row = catalog.works(lib).first()
     assert (row.relationships, row.relationship, row.fandom, row.has_skin) == ("A/B\nB/C", "A/B", "Z", True)
     assert len(catalog.works(lib).columns) == 34
+
+
+def test_pages_begun_after_a_row_are_the_whole_order(make, ids):
+    """Every sort, a page at a time, with ties and missing values throughout."""
+    works = [{"work_id": str(i), "title": [None, "b", "B", "a"][i % 4], "authors": [["x"], ["Y"], None][i % 3], "words": [None, 5, 7][i % 3],
+              "chapter_count": [2, None][i % 2], "kudos": i % 2, "published": [None, "2020-01-01", "2021-01-01"][i % 3],
+              "updated": [None, "2020-05-05"][i % 2], "fetched_at": [None, "2022-01-01T00:00:00"][i % 2], "downloaded_at": [None, "2021-01-01"][i % 2 - 1],
+              "hits": None, "bookmark_count": i, "visits": [None, 3][i % 2]} for i in range(11)]
+    lib = make(works=works, tags=[("1", "fandom", "F"), ("1", "relationship", "A/B"), ("3", "freeform", "z")],
+               reading=[{"work_id": "4", "chapter": 2, "opened_at": "2023-01-01T00:00:00"}, {"work_id": "7", "chapter": 1, "opened_at": "2023-01-01T00:00:00"}])
+    for sort in ("visits", "title", "author", "updated", "published", "added", "words", "shortest", "chapters", "recent", "kudos", "bookmarks", "hits", "random"):
+        whole = ids(catalog.works(lib, sort=sort, limit=None))
+        assert len(whole) == 11
+        got, mark = [], None
+        while True:
+            page = catalog.works(lib, sort=sort, limit=4, begin=mark, with_cursor=True).collect()
+            got += [r.work_id for r in page]
+            if len(page) < 4:
+                break
+            mark = page[-1].cursor
+        assert got == whole, sort
+    short, long_ = (catalog.works(lib, sort="words", limit=n).select("work_id", "fandom", "relationships").collect() for n in (11, catalog.SHORT + 1))
+    assert short == long_
+
+
+def test_a_page_does_not_shuffle_tags_and_reads_a_range(spark, tmp_path, make):
+    lib = make(works=[{"work_id": str(i), "title": "t", "words": i} for i in range(20)], tags=[(str(i), "fandom", "F") for i in range(20)])
+    for name in ("works", "tags"):
+        getattr(lib, name).write.parquet(str(tmp_path / name))
+    stored = lib.with_(**{name: spark.read.schema(getattr(lib, name).schema).parquet(str(tmp_path / name)) for name in ("works", "tags")})
+    page = catalog.works(stored, sort="words", limit=5, begin=(7, "7"))
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(words,7)" in plan
+    joined = plan[:plan.index("Union")]
+    assert "BroadcastHashJoin" in joined and [r.work_id for r in page.collect()] == ["6", "5", "4", "3", "2"]
