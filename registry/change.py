@@ -1,5 +1,7 @@
 """Versions, merging, deletion and blocking."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from registry import query
@@ -7,6 +9,8 @@ from registry.base import sql
 from storyloom.functions import text as tx
 from storyloom.model import Library
 from storyloom.operators import admin, merge, versions
+from storyloom.session import scratch_root
+from storyloom.sources import buckets
 from storyloom.sources.star import library, table
 
 NOW, LATER = "2025-06-01 00:00:00", "2025-06-02 00:00:00"
@@ -200,6 +204,28 @@ def merge_chapters(spark, root):
     return _merged(spark, root).chapters.select("work_id", "number", "html")
 
 
+def _changed(spark, held, works, step):
+    """A library saved in buckets by work, changed where a step touches it, and loaded again."""
+    name = uuid.uuid4().hex
+    buckets.save(held, f"lib_{name}", f"{scratch_root(spark)}/buckets-{name}", 8)
+    buckets.change(spark, f"lib_{name}", works, step)
+    return buckets.load(spark, f"lib_{name}")
+
+
+@query("merge_bucketed", sql("""
+SELECT work_id, number, html, 'held' AS kept FROM mc UNION ALL
+SELECT c.work_id, c.number, c.html, 'aside' FROM dev_c c JOIN (""" + _diff_sql(_LIGHT, works="inc_w") + """) d
+  ON c.work_id = d.work_id AND c.number = d.number WHERE d.change IN ('content', 'removed') AND c.work_id NOT IN (SELECT work_id FROM deleted)
+UNION ALL SELECT work_id, number, html, 'aside' FROM chapter_versions""", *TWO, _MERGED_C))
+def merge_bucketed(spark, root):
+    """A merge of tables that lie bucketed by work: held text is not moved, and only the buckets of arriving works are written."""
+    held, arriving = _two(spark, root)
+    lib = _changed(spark, held, arriving.works.select("work_id").unionByName(arriving.images.select("work_id")).unionByName(
+        arriving.reading.select("work_id")).unionByName(arriving.visits.select("work_id")), lambda lib: merge.libraries(lib, arriving, LATER))
+    return lib.chapters.select("work_id", "number", "html", F.lit("held").alias("kept")).unionByName(
+        lib.chapter_versions.select("work_id", "number", "html", F.lit("aside").alias("kept")))
+
+
 @query("merge_tags", sql("""
 SELECT work_id, kind, name FROM dev_t WHERE work_id NOT IN (SELECT work_id FROM inc_w WHERE work_id NOT IN (SELECT work_id FROM deleted))
 UNION ALL SELECT work_id, kind, name FROM inc_t WHERE work_id NOT IN (SELECT work_id FROM deleted)""", *TWO))
@@ -293,6 +319,20 @@ def delete_works(spark, root):
     return out
 
 
+@query("delete_bucketed", sql("""
+SELECT 'chapters' AS table_name, work_id, count(*) AS n FROM chapters WHERE work_id NOT IN (SELECT work_id FROM bookmarked_by) GROUP BY 2
+UNION ALL SELECT 'tags', work_id, count(*) FROM tags WHERE work_id NOT IN (SELECT work_id FROM bookmarked_by) GROUP BY 2
+UNION ALL SELECT 'deleted', work_id, 1 FROM (SELECT work_id FROM deleted UNION SELECT work_id FROM bookmarked_by)"""))
+def delete_bucketed(spark, root):
+    lib = library(spark, root)
+    after = _changed(spark, lib, lib.bookmarked_by, lambda held: admin.delete(held, lib.bookmarked_by, NOW))
+    out = None
+    for name in ("chapters", "tags", "deleted"):
+        part = getattr(after, name).groupBy("work_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "work_id", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("tombstones", sql("""
 SELECT b.work_id, w.title FROM (SELECT DISTINCT work_id FROM bookmarked_by) b LEFT JOIN works w USING (work_id)
 UNION ALL SELECT work_id, title FROM deleted WHERE work_id NOT IN (SELECT work_id FROM bookmarked_by)"""))

@@ -110,7 +110,14 @@ def drop_bad_images(images: DataFrame) -> DataFrame:
 
 
 def distinct_pictures(images: DataFrame) -> DataFrame:
-    """Each picture once, by what it contains; the first stored row names it."""
-    return images.where(F.col("sha256").isNotNull()).groupBy("sha256").agg(
-        F.min_by(F.struct("mime", "bytes", "url"), F.struct("fetched_at", "work_id", "url")).alias("first"),
-        F.count(F.lit(1)).alias("uses")).select("sha256", "first.*", "uses")
+    """Each picture once, by what it contains; the first stored row names it.
+
+    The row is chosen by keys alone, and its bytes are fetched for what was chosen; a
+    work and an address name one row.
+    """
+    keyed = images.where(F.col("sha256").isNotNull())
+    order = F.struct("fetched_at", "work_id", "url")
+    first = keyed.groupBy("sha256").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("uses")).select("sha256", "first.*", "uses")
+    same = [keyed[c].eqNullSafe(first[c]) for c in ("fetched_at", "work_id", "url")]
+    met = keyed.join(first, (keyed["sha256"] == first["sha256"]) & same[0] & same[1] & same[2])
+    return met.select(keyed["sha256"], keyed["mime"], keyed["bytes"], keyed["url"], first["uses"])

@@ -56,13 +56,13 @@ def superseded(held: DataFrame, changes: DataFrame, at: Column | str, with_hash:
 
     Only keys and hashes were compared; the text is fetched for what changed.
     """
-    gone = changes.where(F.col("change").isin("content", "removed")).select(
-        *KEY, F.col("change").alias("reason"),
-        F.when(F.col("change") == "content", F.col("previous_hash")).alias("old_hash"))
-    kept = held.join(gone, KEY).select(
+    gone = changes.where(F.col("change").isin("content", "removed")).groupBy("work_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        "number", F.struct(F.col("change").alias("reason"), F.when(F.col("change") == "content", F.col("previous_hash")).alias("hash"))))).alias("gone"))
+    # by work alone: a table that lies bucketed by work stays where it is
+    kept = held.join(gone, "work_id").withColumn("_why", F.element_at("gone", F.col("number"))).where(F.col("_why").isNotNull()).select(
         *KEY, "title", "html", "text", "words",
-        (F.col("old_hash") if with_hash else F.lit(None).cast("string")).alias("content_hash"),
-        "reason", F.lit(at).cast("timestamp").alias("archived_at"))
+        (F.col("_why.hash") if with_hash else F.lit(None).cast("string")).alias("content_hash"),
+        F.col("_why.reason").alias("reason"), F.lit(at).cast("timestamp").alias("archived_at"))
     return evolve(kept, CHAPTER_VERSIONS)
 
 

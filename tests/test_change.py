@@ -173,3 +173,84 @@ def test_frontier_includes_the_first_familiar_page(spark):
     got = sync.bookmark_frontier(pages, known, known.where("work_id = 'k1'"))
     assert {r.work_id: (r.needed, r.complete) for r in got.collect()} == {"n1": (True, False), "k1": (False, False), "k2": (True, False)}
     assert {r.complete for r in sync.bookmark_frontier(pages, known.where("false"), known).collect()} == {True}
+
+
+# --- tables bucketed by work ----------------------------------------------------
+
+
+@pytest.fixture()
+def saved(make, tmp_path, spark):
+    import uuid
+    from storyloom.sources import buckets
+    prefix = f"t_{uuid.uuid4().hex}"
+    lib = make(works=[{"work_id": str(i), "title": f"t{i}"} for i in range(30)],
+               chapters=[{"id": 10 * i + n, "work_id": str(i), "number": n, "html": f"<p>{i} {n}</p>", "text": f"{i} {n}"} for i in range(30) for n in (1, 2)],
+               tags=[(str(i), "fandom", "F") for i in range(30)])
+    buckets.save(lib, prefix, str(tmp_path), 16)
+    return prefix, tmp_path
+
+
+def _files(root, table):
+    return {str(p.relative_to(root)) for p in (root / table).rglob("part-*.parquet")}
+
+
+def test_a_change_rewrites_its_buckets_alone(saved, spark, make):
+    from storyloom.sources import buckets
+    prefix, root = saved
+    before = _files(root, "chapters")
+    arriving = make(works=[{"work_id": "7", "title": "new"}, {"work_id": "99", "title": "more"}],
+                    chapters=[{"id": 71, "work_id": "7", "number": 1, "html": "<p>changed</p>"}, {"id": 991, "work_id": "99", "number": 1, "html": "x"}])
+    parts = buckets.change(spark, prefix, arriving.works, lambda lib: merge.libraries(lib, arriving, "2024-01-01"))
+    after = _files(root, "chapters")
+    assert 1 <= len(parts) <= 2
+    assert before & after == {f for f in before if not any(f"part={p}/" in f for p in parts)}
+    lib = buckets.load(spark, prefix)
+    got = {(r.work_id, r.number): r.html for r in lib.chapters.collect()}
+    want = {(str(i), n): f"<p>{i} {n}</p>" for i in range(30) for n in (1, 2)} | {("7", 1): "<p>changed</p>", ("99", 1): "x"}
+    want.pop(("7", 2))
+    assert got == want and lib.works.count() == 31
+    assert {(r.number, r.reason) for r in lib.chapter_versions.collect()} == {(1, "content"), (2, "removed")}
+    with pytest.raises(ValueError):
+        buckets.change(spark, prefix, arriving.works.where("work_id = '7'"), lambda lib: lib.with_(chapters=arriving.chapters.withColumn("work_id", F.lit("1"))))
+
+
+def test_emptied_buckets(saved, spark):
+    from storyloom.sources import buckets
+    prefix, root = saved
+    gone = spark.createDataFrame([(str(i),) for i in range(30) if i != 3], "work_id string")
+    buckets.change(spark, prefix, gone, lambda lib: admin.delete(lib, gone, "2024-01-01"))
+    lib = buckets.load(spark, prefix)
+    assert [r.work_id for r in lib.works.collect()] == ["3"] and lib.chapters.count() == 2 and lib.deleted.count() == 29
+    buckets.change(spark, prefix, gone, lambda lib: admin.allow_again(lib, gone))
+    assert buckets.load(spark, prefix).deleted.count() == 0
+    assert buckets.change(spark, prefix, gone.where("false"), lambda lib: lib) == []
+
+
+def test_held_text_stays_where_it_lies(saved, spark, make):
+    """No exchange above the held table's markup: merges, versions and deletions move keys."""
+    from storyloom.sources import buckets
+    prefix, _ = saved
+    held = buckets.load(spark, prefix)
+    arriving = make(works=[{"work_id": "7"}], chapters=[{"id": 71, "work_id": "7", "number": 1, "html": "<p>changed</p>"}])
+    changes = versions.diff(held.chapters, arriving.chapters)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (admin.delete(held, arriving.works, "2024-01-01").chapters, versions.superseded(held.chapters, changes, "2024-01-01"),
+                   merge.replace_for(held.chapters, arriving.chapters, arriving.works)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            lines = plan.splitlines()
+            for at, line in enumerate(lines):
+                if "Exchange" not in line:
+                    continue
+                depth = len(line) - len(line.lstrip(" :+-"))
+                below = []
+                for further in lines[at + 1:]:
+                    if len(further) - len(further.lstrip(" :+-")) <= depth:
+                        break
+                    below.append(further)
+                scans = [x for x in below if "FileScan parquet" in x and f"{prefix}_chapters" in x]
+                outs = [x for x in below if "Project" in x]
+                assert not scans or not any("html#" in o.split("AS")[0] for o in outs[:1]), plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
