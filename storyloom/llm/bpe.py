@@ -29,7 +29,7 @@ from storyloom.llm.common import frames, octets
 
 #: States and remembered pieces held before the store starts anew: bounds a worker's memory.
 STATES = 250_000
-PIECES = 300_000
+PIECES = 1_000_000
 #: Bytes of a piece after which states are no longer stored: so far in, few pieces share them.
 DEEP = 7
 #: Packs so many ids as little-endian 32-bit numbers.
