@@ -28,6 +28,8 @@ from storyloom.llm.common import LOWER, frames, octets, stored
 TOKENS = 3_000_000
 #: Bytes of text for which there is a slice of the model.
 SLICE_BYTES = 4 << 20
+#: Entries of a slice below which blobs are not merged before its end.
+LEAST = 1 << 18
 #: The end of a text, and what stands before its first word; fixed hashes no text is likely to have.
 END, BEGIN = 0x45D9F3B3335B369, 0x3C6EF372FE94F82B
 
@@ -108,7 +110,7 @@ def _count(docs: DataFrame, text: str, slices: int) -> DataFrame:
             first, second = h[code >> 32], h[code & 0xFFFFFFFF]
             yield _blobs("pair", _slice(first, slices), slices, [first, second, n.astype(np.uint32)])
             word, n = np.unique(np.concatenate(singles), return_counts=True)
-            yield _blobs("word", _slice(h[word], slices), slices, [h[word], n.astype(np.uint32)])
+            yield _blobs("word", _slice(h[word], slices), slices, [h[word], n.astype(np.uint64)])
         for rows in batches:
             flat, lengths = tokens.of(list(rows["_t"]))
             codes.append(_before(flat, lengths) << 32 | flat)
@@ -126,20 +128,37 @@ def _by_slice(blobs: DataFrame) -> DataFrame:
     return blobs.repartition("slice").sortWithinPartitions("slice")
 
 
+def _one(kind: str, blobs: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Blobs of a slice as one: distinct keys in order, counts of 64 bits summed."""
+    columns = [np.concatenate(c) for c in zip(*blobs)]
+    keys = 2 if kind == "pair" else 1
+    summed, (n,) = _sorted_sums(columns[:keys], [columns[keys].astype(np.int64)])
+    return [*summed, n, *columns[keys + 1:]]
+
+
 def _slices_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, dict[str, list[np.ndarray]]]]:
-    """Each slice's columns by kind, joined over its blobs; the stream is sorted by slice."""
-    at, held = None, {}
-    join = lambda: {k: [np.concatenate(c) for c in zip(*v)] for k, v in held.items()}
+    """Each slice's columns by kind, summed over its blobs; the stream is sorted by slice.
+
+    Blobs are merged as they come, whenever the new ones outweigh what is merged: a task
+    holds about twice the different keys of a slice, however many tasks counted them.
+    """
+    at, held, fresh = None, {}, {}
+    done = lambda: {k: _one(k, v) for k, v in held.items()}
     for rows in batches:
         for kind, s, c0, c1, c2 in zip(rows["kind"], rows["slice"], rows["c0"], rows["c1"], rows["c2"]):
             if s != at:
                 if held:
-                    yield at, join()
-                at, held = s, {}
-            types = (np.uint64, np.uint64, np.uint32) if kind == "pair" else (np.uint64, np.uint32, np.uint32)
-            held.setdefault(kind, []).append([np.frombuffer(c, t) for c, t in zip((c0, c1, c2), types)])
+                    yield at, done()
+                at, held, fresh = s, {}, {}
+            types = (np.uint64, np.uint64, np.uint32) if kind == "pair" else (np.uint64, np.uint64, np.uint32)
+            blobs = held.setdefault(kind, [])
+            blobs.append([np.frombuffer(c, t) for c, t in zip((c0, c1, c2), types)])
+            fresh[kind] = fresh.get(kind, 0) + len(blobs[-1][0])
+            if fresh[kind] > max(LEAST, len(blobs[0][0])):
+                blobs[:] = [_one(kind, blobs)]
+                fresh[kind] = 0
     if held:
-        yield at, join()
+        yield at, done()
 
 
 def _small(counts: np.ndarray) -> list[bytes]:
@@ -264,11 +283,11 @@ def train(docs: DataFrame, text: str = "text") -> BigramModel:
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for s, held in _slices_of(batches):
             if "word" in held:  # words pass through, summed
-                (w,), (n,) = _sorted_sums(held["word"][:1], [held["word"][1].astype(np.int64)])
-                yield _blobs("word", np.full(len(w), s), slices, [w, n.astype(np.uint32)]).assign(seen=None)
+                w, n = held["word"][:2]
+                yield _blobs("word", np.full(len(w), s), slices, [w, n.astype(np.uint64)]).assign(seen=None)
             if "pair" not in held:
                 continue
-            (first, second), (n,) = _sorted_sums(held["pair"][:2], [held["pair"][2].astype(np.int64)])
+            first, second, n = held["pair"]
             keys = _pair(first, second)
             order = np.argsort(keys)
             shared_files.write(folder, f"pair-{s:05d}", _file(keys[order], [_small(n[order])]))
@@ -278,7 +297,7 @@ def train(docs: DataFrame, text: str = "text") -> BigramModel:
             total = np.add.reduceat(n, at)
             shared_files.write(folder, f"head-{s:05d}", _file(first[at], [_small(c) for c in (*after, total)]))
             w, k = np.unique(second, return_counts=True)
-            made = _blobs("cont", _slice(w, slices), slices, [w, k.astype(np.uint32)]).assign(seen=None)
+            made = _blobs("cont", _slice(w, slices), slices, [w, k.astype(np.uint64)]).assign(seen=None)
             made.at[0, "seen"] = _seen(n)
             yield made
     joined = stored(frames(_by_slice(blobs), pairs, _BLOB + ", seen array<long>"), "cont")

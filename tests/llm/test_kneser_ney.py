@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from storyloom.llm import kneser_ney as kn, queries
@@ -81,3 +82,19 @@ def test_held_out_beats_the_base(spark):
     held = [r for r in got if r.held_out]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
     assert all(r.n_tokens == len(tokens(texts[r.doc_id])) for r in got)
+
+
+@pytest.mark.parametrize("least", [1, 50, 1 << 20])
+def test_blobs_are_summed_as_they_come_beyond_32_bits(monkeypatch, least):
+    monkeypatch.setattr(kn, "LEAST", least)
+    rng = np.random.default_rng(least)
+    want, rows = {}, []
+    for _ in range(40):
+        w = np.unique(rng.integers(0, 30, 12)).astype(np.uint64)
+        n = np.full(len(w), 1 << 31, np.uint64)
+        for x in w.tolist():
+            want[x] = want.get(x, 0) + (1 << 31)
+        rows.append(("word", 3, w.tobytes(), n.tobytes(), b""))
+    frame = pd.DataFrame(rows, columns=["kind", "slice", "c0", "c1", "c2"])
+    ((at, held),) = kn._slices_of(iter([frame[:13], frame[13:]]))
+    assert at == 3 and dict(zip(held["word"][0].tolist(), held["word"][1].tolist())) == want and max(want.values()) > 1 << 32
