@@ -71,24 +71,21 @@ def reading_state_stream(spark, root):
     raw = event_stream(spark, root).select(
         "work_id", F.col("ts").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"),
         (F.col("k") % 9 + 1).cast("int").alias("chapter"), F.col("value").alias("offset"))
-    out = jobs.reading_state(raw, library(spark, root), _path(spark, "reading"), "3650 days")
+    out = jobs.reading_state(raw, library(spark, root), _path(spark, "reading"), "1 day")
     return out.withColumn("updated_at", F.unix_micros("updated_at")).withColumn("opened_at", F.unix_micros("opened_at"))
 
 
 @query("request_pairs_stream", sql("""
 SELECT 's' || user_id % 50 AS session, event_id AS request, epoch_us(ts) AS started_us,
   CASE WHEN event_id % 3 <> 0 THEN k % 3 END AS outcome, event_id % 3 = 0 AS pending
-FROM ev WHERE event_type = 'view' AND ts < (SELECT max(ts) FROM ev) - INTERVAL 6 HOUR"""))
+FROM ev WHERE event_type = 'view'"""))
 def request_pairs_stream(spark, root):
     seen = event_stream(spark, root).where("event_type = 'view'")
     named = [F.expr("concat('s', user_id % 50)").alias("session"), F.col("event_id").alias("request")]
     starts = seen.select(*named, F.col("ts").alias("at"))
     ends = event_stream(spark, root).where("event_type = 'view' AND event_id % 3 <> 0").select(
         *named, F.expr("ts + make_dt_interval(0, 0, 0, k / 10)").alias("at"), (F.col("k") % 3).alias("outcome"), (F.col("k") * 100).alias("bytes"))
-    out = jobs.append_to(jobs.request_pairs(starts, ends), _path(spark, "pairs"))
-    from storyloom.sources.star import events
-    last = events(spark, root).agg(F.max("ts")).scalar()
-    return out.where(F.col("started_at") < last - F.expr("INTERVAL 6 HOURS")).select(
+    return jobs.requests_now(starts, ends, _path(spark, "pairs")).select(
         "session", "request", F.unix_micros("started_at").alias("started_us"), "outcome", "pending")
 
 
@@ -96,7 +93,7 @@ def request_pairs_stream(spark, root):
 SELECT session, ms AS "elapsedMs", gap AS gap_ms FROM (
   SELECT session, ms, ms - lag(ms) OVER (PARTITION BY session ORDER BY ms) AS gap FROM (
     SELECT 's' || user_id % 50 AS session, epoch_us(ts) // 1000 - 1704067200000 AS ms FROM ev WHERE event_type = 'error'))
-WHERE gap > 43200000 AND ms <= (SELECT max(epoch_us(ts) // 1000 - 1704067200000) - 3600000 FROM ev WHERE event_type = 'error')"""))
+WHERE gap > 43200000"""))
 def tick_gap_alerts(spark, root):
     ticks = event_stream(spark, root).where("event_type = 'error'").select(
         F.expr("concat('s', user_id % 50)").alias("session"), (F.unix_millis("ts") - F.lit(1704067200000)).alias("elapsedMs"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,8 +118,9 @@ def distinct_pictures(images: DataFrame) -> DataFrame:
     work and an address name one row.
     """
     keyed = images.where(F.col("sha256").isNotNull())
-    order = F.struct("fetched_at", "work_id", "url")
-    first = keyed.groupBy("sha256").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("uses")).select("sha256", "first.*", "uses")
-    same = [keyed[c].eqNullSafe(first[c]) for c in ("fetched_at", "work_id", "url")]
-    met = keyed.join(first, (keyed["sha256"] == first["sha256"]) & same[0] & same[1] & same[2])
-    return met.select(keyed["sha256"], keyed["mime"], keyed["bytes"], keyed["url"], first["uses"])
+    first = keyed.groupBy("sha256").agg(
+        F.min(F.struct("fetched_at", "work_id", "url")).alias("first"), F.count(F.lit(1)).alias("uses")).alias("first")
+    each = keyed.alias("each")
+    met = each.join(first, (F.col("each.sha256") == F.col("first.sha256")) & reduce(Column.__and__, [
+        F.col(f"each.{c}").eqNullSafe(F.col(f"first.first.{c}")) for c in ("fetched_at", "work_id", "url")]))
+    return met.select("each.sha256", "each.mime", "each.bytes", "each.url", "first.uses")

@@ -156,6 +156,8 @@ def _follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
     held = dict(zip(names, state.get)) if state.exists else dict.fromkeys(names) | {"made": False, "done": False, "waiting": "[0]"}
     total, *waiting = json.loads(held["waiting"])
     for rows in parts:
+        if rows.empty:  # called by its timer
+            continue
         total = int(rows["total"].iloc[0])
         chapters = [max(1, 1 if pd.isna(c) else int(c)) for c in rows["chapter"]]
         offsets = [None if pd.isna(o) else float(o) for o in rows["offset"]]
@@ -190,35 +192,56 @@ def reading_state(events: DataFrame, lib: Library, path: str, late: str = LATE)
     return upsert_to(states, path, ["work_id"])
 
 
-_LINE = "last long, waiting string"
+_LINE = "last long, waiting string, shown string"
 _GAP = "session string, elapsedMs long, gap_ms long"
+#: A watermark begins at zero, and what is no later than it is dropped; elapsed time begins there too, so it is moved a day on.
+_MOVED_MS = 86_400_000
 
 
 def _gaps(gap_ms: int) -> Callable:
     def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (None, "[]")
-        waiting = json.loads(waiting)
+        """Gaps before ticks as far as is known, told when they change; null where a later arrival closed one.
+
+        Kept are the last tick nothing can precede any more, those still open to
+        company, and the gaps told before these.
+        """
+        last, waiting, shown = state.get if state.exists else (None, "[]", "[]")
+        waiting, shown = json.loads(waiting), dict(json.loads(shown))
         for rows in parts:
-            waiting += [[m * 1000, m] for m in rows["elapsedMs"].tolist()]
+            waiting += [[(m + _MOVED_MS) * 1000, m] for m in rows["elapsedMs"].tolist()]
         settled, waiting = _split(waiting, state.getCurrentWatermarkMs())
-        found = []
-        for _, at in settled:
-            if last is not None and at - last > gap_ms:
-                found.append((key[0], at, at - last))
-            last = at
-        state.update((last, json.dumps(waiting)))
+        now, before = {}, last
+        for _, at in [*settled, *waiting]:
+            if before is not None and at - before > gap_ms:
+                now[at] = at - before
+            before = at
+        told = [(key[0], at, now.get(at)) for at in sorted({*now, *shown}) if now.get(at) != shown.get(at)]
+        last = settled[-1][1] if settled else last
+        open_ = {at for _, at in waiting}
+        state.update((last, json.dumps(waiting), json.dumps([[at, gap] for at, gap in now.items() if at in open_])))
         if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][1], state.getCurrentWatermarkMs()) + 1)
-        if found:
-            yield pd.DataFrame(found, columns=["session", "elapsedMs", "gap_ms"])
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        if told:
+            yield pd.DataFrame({"session": [t[0] for t in told], "elapsedMs": [t[1] for t in told],
+                                "gap_ms": pd.array([t[2] for t in told], "Int64")})
     return follow
 
 
 def tick_gap_alerts(ticks: DataFrame, path: str, gap_ms: int = ledger.TICK_GAP_MS, late: str = LATE) -> DataFrame:
-    """Gaps between a session's ticks, told once no tick can come between any more: ``late`` after the newest."""
-    stream = ticks.select("session", "elapsedMs", F.timestamp_millis("elapsedMs").alias("at")).withWatermark("at", late)
-    found = stream.groupBy("session").applyInPandasWithState(_gaps(gap_ms), _GAP, _LINE, "append", GroupStateTimeout.EventTimeTimeout)
-    return append_to(found, path)
+    """Gaps between a session's ticks as they stand: told at once, and withdrawn when a tick up to ``late`` closes one."""
+    stream = ticks.select("session", "elapsedMs", F.timestamp_millis(F.col("elapsedMs") + _MOVED_MS).alias("at")).withWatermark("at", late)
+    found = stream.groupBy("session").applyInPandasWithState(_gaps(gap_ms), _GAP, _LINE, "update", GroupStateTimeout.EventTimeTimeout)
+    return upsert_to(found, path, ["session", "elapsedMs"]).where(F.col("gap_ms").isNotNull())
+
+
+def requests_now(starts: DataFrame, ends: DataFrame, path: str, within: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Every request that started, as it stands: those the join still waits for are pending too, until their end comes."""
+    pairs = append_to(request_pairs(starts, ends, within, late), f"{path}/pairs")
+    begun = append_to(starts.select("session", "request", F.col("at").alias("started_at")), f"{path}/starts")
+    open_ = begun.join(pairs, ["session", "request", "started_at"], "left_anti").withColumns({
+        "ended_at": F.lit(None).cast("timestamp"), "outcome": F.lit(None).cast(pairs.schema["outcome"].dataType),
+        "bytes": F.lit(None).cast(pairs.schema["bytes"].dataType), "pending": F.lit(True)})
+    return pairs.unionByName(open_)
 
 
 PLANNED = StructType().add("work_id", "string").add("action", "string").add("reason", "string")

@@ -45,6 +45,30 @@ def test_gaps_reach_across_batches(spark, tmp_path):
     assert got == want == {("t", 75_000)}
 
 
+def test_a_late_tick_withdraws_a_gap(spark, tmp_path):
+    """A gap is told at once; a tick within it takes it back, wholly or in part, and the end of the input keeps its gaps."""
+    m = 60_000
+    batches = [[("s", 0), ("s", 10 * m), ("t", 0)], [("s", 5 * m), ("t", 20 * m)], [("t", 1 * m), ("s", 40 * m)], [("t", 41 * m)]]
+    schema = "session string, elapsedMs long"
+    stream = files_of(spark, str(tmp_path / "in"), batches, schema)
+    got = {(r.session, r.elapsedMs, r.gap_ms) for r in jobs.tick_gap_alerts(stream, str(tmp_path / "out"), 6 * m, "1 hour").collect()}
+    every = spark.createDataFrame([t for part in batches for t in part], schema)
+    assert got == {(r.session, r.elapsedMs, r.gap_ms) for r in ledger.tick_gaps(every, 6 * m).collect()}
+    assert got == {("s", 40 * m, 30 * m), ("t", 20 * m, 19 * m), ("t", 41 * m, 21 * m)}
+    told = spark.read.parquet(str(tmp_path / "out/rows")).where("session = 's'").orderBy("batch", "elapsedMs").collect()
+    assert [(r.elapsedMs, r.gap_ms) for r in told] == [(10 * m, 10 * m), (10 * m, None), (40 * m, 30 * m)]
+    assert spark.read.parquet(str(tmp_path / "out/rows")).where(f"session = 't' AND elapsedMs = {20 * m}").count() == 2
+
+
+def test_open_requests_are_pending(spark, tmp_path):
+    at = lambda n: T0 + dt.timedelta(minutes=n)
+    starts = files_of(spark, str(tmp_path / "s"), [[("a", 1, at(0)), ("a", 2, at(1))], [("b", 1, at(200)), ("b", 2, at(201))]], "session string, request int, at timestamp")
+    ends = files_of(spark, str(tmp_path / "e"), [[("a", 1, at(2), "ok", 5)], [("b", 2, at(202), "ok", 7)]],
+                    "session string, request int, at timestamp, outcome string, bytes int")
+    got = {(r.session, r.request, r.outcome, r.pending) for r in jobs.requests_now(starts, ends, str(tmp_path / "out")).collect()}
+    assert got == {("a", 1, "ok", False), ("a", 2, None, True), ("b", 1, None, True), ("b", 2, "ok", False)}
+
+
 def test_visits_seen_twice_and_late(spark, tmp_path):
     at = lambda m: T0 + dt.timedelta(minutes=m)
     schema = "id string, work_id string, started_at timestamp"
