@@ -11,10 +11,12 @@ from storyloom.llm.common import id_rest, stored, table
 
 
 def op1_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Bytes of every whole text that stand in a 400-byte string found elsewhere too, and what stays."""
     return suffix_dedup.remove_repeats(table(spark, root, "documents"), ["doc_id"])
 
 
 def op2_rules(spark: SparkSession, root: str) -> DataFrame:
+    """Quality of every whole text by a rule ensemble fitted on labelled rows that are not held out."""
     counted = stored(stats.text_counts(table(spark, root, "documents"), ["doc_id"]), "counted")
     rows = counted.select("doc_id", (id_rest("doc_id", 5) == 0).alias("held_out"),
                           *[c.alias(n) for n, c in rule_ensemble.statistics().items()])
@@ -25,11 +27,13 @@ def op2_rules(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, root: str) -> DataFrame:
+    """Groups of copies and edits among pictures drawn from every page, with each picture's number of links."""
     pictures = media.pictures_of(table(spark, root, "pages"))
     return media.copies(pictures.select("media_id", "picture")).withColumn("page_id", F.floor(F.col("media_id") / 2))
 
 
 def op4_warc(spark: SparkSession, root: str) -> DataFrame:
+    """A WARC record for every page, written and read back, equal payloads as revisits of the first."""
     found = warc.read(warc.write(table(spark, root, "pages"), "page_id", "url", "html", least=0))
     return found.where("gap IS NULL").select(
         F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
@@ -37,35 +41,41 @@ def op4_warc(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, root: str) -> DataFrame:
+    """Language of every whole text, learned from rows that are not held out."""
     docs = table(spark, root, "documents").withColumn("held_out", id_rest("doc_id", 4) == 2)
     model = language.train(docs.where("not held_out").select("text", "lang"))
     return language.label(docs, model, ["doc_id", "held_out"])
 
 
 def op6_packing(spark: SparkSession, root: str) -> DataFrame:
+    """Pieces of every document's tokens, placed gapless in sequences of 2,048."""
     made = packing.pieces(table(spark, root, "documents"), "doc_id", public_tokenizers.path("byte_bpe_50k.json"),
                           public_tokenizers.PATTERN, 2048)
     return packing.pack(made, 2048)
 
 
 def op7_bpe(spark: SparkSession, root: str) -> DataFrame:
+    """Token ids of every whole text and the text decoded from them, as digests."""
     return bpe.round_trip(table(spark, root, "documents"), ["doc_id"], public_tokenizers.path("byte_bpe_50k.tiktoken"),
                           public_tokenizers.PATTERN)
 
 
 def op8_kneser_ney(spark: SparkSession, root: str) -> DataFrame:
+    """Log probability of every whole text under a model of the rows that are not held out."""
     docs = table(spark, root, "documents").withColumn("held_out", id_rest("doc_id", 10) == 0)
     model = kneser_ney.train(docs.where("not held_out"))
     return kneser_ney.score(docs, model, ["doc_id", "held_out"])
 
 
 def op9_simhash(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprint of every whole text and the smallest id reachable over links of two bits."""
     docs = table(spark, root, "documents")
     found = simhash.near_duplicates(docs, "doc_id", "text", k=3, seed=42, radius=2)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op10_outliers(spark: SparkSession, root: str) -> DataFrame:
+    """Base counts and rules of every whole text, and whether it lies within its language and source."""
     counted = stored(outliers.counted(table(spark, root, "documents"), ["doc_id"]), "counted")
     judged = outliers.judge(counted, outliers.fit(counted))
     return judged.select(
