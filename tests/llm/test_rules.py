@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from storyloom.llm import queries
+from pyspark.sql import functions as F
+
+from storyloom.llm import queries, stats
 from storyloom.llm import rule_ensemble as re_
 
 
@@ -54,3 +56,21 @@ def test_labels_that_teach_nothing(spark):
     assert re_.train(none) == re_.RuleModel(0.0)
     one = spark.createDataFrame([(1, *[1.0] * len(names)), (None, *[2.0] * len(names))], none.schema)
     assert re_.train(one).intercept > 4
+
+
+def test_odd_rows(spark):
+    """Null as empty, repeated rows alike, a very long text whole, columns of the statistics' own names, an empty table."""
+    rng = np.random.default_rng(2)
+    good = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(n))
+    texts = [good(80) for _ in range(40)] + ["# $ % ! " * 30 for _ in range(40)] + [None, "", " \n", good(300_000), good(60)]
+    rows = [(i, t, 5.0, "x") for i, t in enumerate(texts)] + [(84, texts[84], 5.0, "x"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _s_n_words double, label string")
+    counted = stats.text_counts(docs, ["doc_id"])
+    stated = counted.select("doc_id", *[c.alias(n) for n, c in re_.statistics().items()])
+    model = re_.train(stated.where("doc_id < 80").withColumn("label", (F.col("doc_id") < 40).cast("int")))
+    got = stated.select("doc_id", model.score().alias("score")).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    score = {r.doc_id: r.score for r in got}
+    assert score[80] == score[81] == score[None] and [r.score for r in got if r.doc_id == 84] == [score[84]] * 2
+    assert all(score[i] > 0.5 for i in [*range(40), 84]) and all(score[i] < 0.5 for i in range(40, 80))
+    assert stats.text_counts(docs.where("false"), ["doc_id"]).count() == 0
