@@ -45,31 +45,39 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint")
 
 
-def _code_point(digits: Column, base: int) -> Column:
-    digits = F.regexp_replace(digits, "^0+", "")
-    point = F.conv(digits, base, 10).cast("bigint")
-    return F.when(
-        (F.length(digits) <= 8) & point.between(1, 0x10FFFF),
-        F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
-
-
 def decode_entities(text: Column) -> Column:
-    """Named and numeric character references; unknown ones stay as written."""
+    """Named and numeric character references; unknown ones stay as written.
+
+    Pieces go through a chain of small steps, so that nothing is spelled twice:
+    a plan holds this expression once for every field that is read.
+    """
     table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
-    def piece(part: Column) -> Column:
-        body = F.regexp_extract(part, "^(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z]+);", 1)
-        known = (
-            F.when(F.lower(body).startswith("#x"), _code_point(F.substr(body, F.lit(3)), 16))
-            .when(body.startswith("#"), _code_point(F.substr(body, F.lit(2)), 10))
-            .otherwise(F.try_element_at(table, F.lower(body))))
-        return F.when((body != "") & known.isNotNull(),
-                      F.concat(known, F.substr(part, F.length(body) + 2))
-                      ).otherwise(F.concat(F.lit("&"), part))
+    def named(part: Column) -> Column:
+        return F.struct(part.alias("part"), F.regexp_extract(part, "^(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z]+);", 1).alias("body"))
+
+    def numbered(p: Column) -> Column:
+        digits = F.regexp_replace(p["body"], "^#[xX]?0*", "")
+        return F.struct(p["part"].alias("part"), p["body"].alias("body"), F.when(p["body"].startswith("#"), digits).alias("digits"))
+
+    def pointed(p: Column) -> Column:
+        base = F.when(p["body"].rlike("^#[xX]"), 16).otherwise(10)
+        point = F.when(F.length(p["digits"]) <= 8, F.call_function("conv", p["digits"], base, F.lit(10)).cast("bigint"))
+        return F.struct(p["part"].alias("part"), p["body"].alias("body"), point.alias("point"))
+
+    def known(p: Column) -> Column:
+        sign = F.when(p["point"].between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(p["point"]), 8, "0")), "UTF-32"))
+        return F.struct(p["part"].alias("part"), p["body"].alias("body"),
+                        F.coalesce(sign, F.try_element_at(table, F.lower(p["body"]))).alias("sign"))
+
+    def told(p: Column) -> Column:
+        return F.coalesce(F.concat(p["sign"], F.substr(p["part"], F.length(p["body"]) + 2)), F.concat(F.lit("&"), p["part"]))
 
     def join(parts: Column) -> Column:
-        return F.concat(F.element_at(parts, 1),
-                        F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
+        read = F.slice(parts, 2, F.size(parts))
+        for step in (named, numbered, pointed, known, told):
+            read = F.transform(read, step)
+        return F.concat(F.element_at(parts, 1), F.array_join(read, ""))
 
     return let(text, lambda t: F.when(t.contains("&"), let(F.split(t, "&"), join)).otherwise(t))
 
@@ -95,7 +103,7 @@ def html_to_text(html: Column) -> Column:
     def thin(text: Column) -> Column:
         return F.when(text.contains("\n"), F.regexp_replace(text, "\\n\\s*\\n\\s*\\n+", "\n\n")).otherwise(text)
 
-    bare = _until_gone(F.coalesce(html, F.lit("")), "<", "<[^>]*>", _strip_tags)
+    bare = let(F.coalesce(html, F.lit("")), lambda h: _until_gone(h, "<", "<[^>]*>", _strip_tags))
     return trim(let(let(decode_entities(bare), squeeze), thin))
 
 
