@@ -109,8 +109,13 @@ _PARTS = """filter(transform(split(text, '\\n'), (l, i) -> struct(i + 1 AS n, re
   x -> length(trim(x.l)) > 0)"""
 
 
+def _written(spark, root):
+    """Documents with a line that says something, told by a pattern as they are scanned: lines are cut once, after texts are spread."""
+    return spread(table(spark, root, "documents").where(r"text RLIKE '[^ \\n]'"))
+
+
 def work_page_table(spark, root):
-    docs = spread(table(spark, root, "documents")).selectExpr("*", f"{_PARTS} AS parts").where("size(parts) > 0")
+    docs = _written(spark, root).selectExpr("*", f"{_PARTS} AS parts")
     chapter = """transform(parts, p -> concat('<div class="chapter" id="chapter-', p.n, '"><h3 class="title">Chapter ', p.n,
       ': &ldquo;x&rdquo;</h3><div class="notes module"><p>A note.</p></div><div class="userstuff module" role="article">',
       '<h3 class="landmark heading" id="work">Chapter Text</h3><p>', p.l,
@@ -193,7 +198,7 @@ def _bind(batches):
 
 
 def book_table(spark, root):
-    docs = spread(table(spark, root, "documents")).selectExpr("doc_id", f"{_PARTS} AS parts").where("size(parts) > 0")
+    docs = _written(spark, root).selectExpr("doc_id", f"{_PARTS} AS parts")
     return docs.mapInPandas(_bind, "path string, content binary")
 
 

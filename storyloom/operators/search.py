@@ -75,7 +75,8 @@ def build(chapters: DataFrame, diacritics: bool = True) -> SearchIndex:
     split = chapters.select(
         F.col("id").alias("doc"), "work_id", "number", tokens(F.col("text"), diacritics).alias("tokens"))
     split = split.withColumn("length", F.size("tokens"))
-    places = split.select("doc", "work_id", "number", "length", F.posexplode("tokens").alias("pos", "term"))
+    # the outer form: of the inner one a filter on the tokens would be inferred, and texts cut a second time as they are scanned
+    places = split.select("doc", "work_id", "number", "length", F.posexplode_outer("tokens").alias("pos", "term")).where("pos IS NOT NULL")
     postings = places.groupBy("term", "doc").agg(
         F.any_value("work_id").alias("work_id"), F.any_value("number").alias("number"),
         F.any_value("length").alias("length"), F.count(F.lit(1)).alias("tf"),
