@@ -186,3 +186,17 @@ def test_a_cut_journal_line_is_ignored(spark, tmp_path):
     lines = spark.createDataFrame([(line,), (line[:40],)], "line string")
     pairs = ledger.request_pairs(ledger.parse_journal(lines, "line")).collect()
     assert [(p.request, p.pending) for p in pairs] == [(1, True)]
+
+
+def test_chapters_of_pages_are_read_after_texts_are_spread(spark):
+    """No filter on the chapters is inferred: it would read every page in the scan, before rows are dealt out."""
+    given = spark.createDataFrame([("<div id='x'></div>",)], "html string").repartition(3)
+    plan = pages.to_chapters(pages.work_pages(given))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Repartition"):]
+    assert "lambda" not in below and "split(" not in below
+
+
+def test_character_references_of_every_kind(spark):
+    said = "&amp;&LT; &#65;&#x42;&#X43; &#0; &#1114112; &#x000000041; &#9999999999; &nope; &amp &; a&#39;b"
+    row = spark.createDataFrame([(said,), (None,), ("",), ("&",)], "t string").select(tx.decode_entities(F.col("t")).alias("t")).collect()
+    assert [r.t for r in row] == ["&< ABC &#0; &#1114112; A &#9999999999; &nope; &amp &; a'b", None, "", "&"]
