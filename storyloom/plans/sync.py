@@ -194,13 +194,13 @@ def verify_saved(items: DataFrame, chapters: DataFrame) -> DataFrame:
 
 # --- listings into the library ------------------------------------------------
 
-def _stub(listed: DataFrame) -> DataFrame:
-    """A works row from what a listing says, without text."""
+def _stub(listed: DataFrame, *more: str) -> DataFrame:
+    """A works row from what a listing says, without text; further columns of the listing may come along."""
     return evolve(listed.select(
         "work_id", "title", F.coalesce("authors", F.array().cast("array<string>")).alias("authors"),
         "summary", "rating", "language", F.coalesce("complete", F.lit(False)).alias("complete"),
         "words", F.col("chapters").alias("chapter_count"), "chapters_planned", "kudos",
-        "bookmark_count", "hits", "updated_at", F.lit("listing").alias("source")), WORKS)
+        "bookmark_count", "hits", "updated_at", F.lit("listing").alias("source"), *more), WORKS)
 
 
 def _stub_tags(listed: DataFrame) -> DataFrame:
@@ -223,29 +223,27 @@ def apply_listings(lib: Library, bookmarks: DataFrame, history: DataFrame, flag_
     columns = ("title", "authors", "summary", "rating", "language", "complete", "words", "chapters",
                "chapters_planned", "kudos", "bookmark_count", "hits", "updated_at",
                *[f for f, _ in TAG_FIELDS])
-    said = merge_listings(bookmarks.select("work_id", *columns), history.select("work_id", *columns))
+    # a bookmark and a visit of a work are one row, so that entries listed twice meet each of the other list once
+    said = merge_listings(
+        bookmarks.select("work_id", *columns, "bookmarked_at", F.coalesce("bookmark_rec", F.lit(False)).alias("rec"), F.col("updated_at").alias("mine")),
+        history.select("work_id", *columns, "last_visited", "visits"))
     # the stub and the counts take the bookmark's row whole, epoch included
-    epochs = bookmarks.select("work_id", F.struct("updated_at").alias("mine"))
-    said = said.join(epochs, "work_id", "left").withColumn(
-        "updated_at", F.when(F.col("mine").isNotNull(), F.col("mine.updated_at")).otherwise(F.col("updated_at")))
-    marks = bookmarks.select("work_id", F.struct(
-        F.coalesce("bookmark_rec", F.lit(False)).alias("rec"), "bookmarked_at").alias("b"))
-    seen = history.select("work_id", F.struct("last_visited", "visits").alias("h"))
+    said = said.withColumn("updated_at", F.when(F.col("in_bookmarks"), F.col("mine")).otherwise(F.col("updated_at"))).withColumn("l", F.struct(
+        "in_bookmarks", "rec", "bookmarked_at", "in_history", "last_visited", "visits", "kudos", "bookmark_count", "hits"))
     fresh = said.join(lib.works.select("work_id"), "work_id", "left_anti")
-    known = lib.works.withColumn("_old", F.lit(True))
-    works = known.unionByName(_stub(fresh).withColumn("_old", F.lit(flag_new)))
-    counts_ = said.select("work_id", F.struct("kudos", "bookmark_count", "hits").alias("c"))
-    works = works.join(marks, "work_id", "left").join(seen, "work_id", "left").join(counts_, "work_id", "left")
-    marked, visited = F.col("b").isNotNull() & F.col("_old"), F.col("h").isNotNull()
+    known = lib.works.join(said.select("work_id", "l"), "work_id", "left").withColumn("_old", F.lit(True))
+    works = known.unionByName(_stub(fresh, "l").withColumn("_old", F.lit(flag_new)))
+    marked = F.coalesce("l.in_bookmarks", F.lit(False)) & F.col("_old")
+    visited = F.coalesce("l.in_history", F.lit(False))
     works = works.withColumns({
-        "in_bookmarks": marked, "rec": marked & F.coalesce("b.rec", F.lit(False)),
-        "bookmarked_at": F.when(marked, F.col("b.bookmarked_at")).otherwise(F.col("bookmarked_at")),
+        "in_bookmarks": marked, "rec": marked & F.coalesce("l.rec", F.lit(False)),
+        "bookmarked_at": F.when(marked, F.col("l.bookmarked_at")).otherwise(F.col("bookmarked_at")),
         "in_history": visited,
-        "last_visited": F.when(visited, F.col("h.last_visited")).otherwise(F.col("last_visited")),
-        "visits": F.when(visited, F.col("h.visits")).otherwise(F.col("visits")),
+        "last_visited": F.when(visited, F.col("l.last_visited")).otherwise(F.col("last_visited")),
+        "visits": F.when(visited, F.col("l.visits")).otherwise(F.col("visits")),
         "downloaded_at": F.coalesce("downloaded_at", F.col("fetched_at").cast("date")),
-        **{c: F.coalesce(f"c.{c}", c) for c in ("kudos", "bookmark_count", "hits")},
-    }).drop("_old", "b", "h", "c")
+        **{c: F.coalesce(f"l.{c}", c) for c in ("kudos", "bookmark_count", "hits")},
+    }).drop("_old", "l")
     held = lib.chapters.select("work_id").distinct().withColumn("_held", F.lit(True))
     works = works.join(held, "work_id", "left").withColumn(
         "has_text", F.coalesce("has_text", F.lit(False)) | F.coalesce("_held", F.lit(False))).drop("_held")

@@ -167,6 +167,16 @@ def test_listings_meet(spark):
     assert got == {"a": ("A", None, 100, True, False), "both": ("B", 4, 300, True, True), "b": ("C", 1, None, False, True)}
 
 
+def test_an_entry_listed_twice_is_applied_once_each(make):
+    """A listing that names a held work twice gives a row for each entry, as its SQL does, and not for each pair of them."""
+    from registry.planning import bookmarks, history
+    lib = make(works=[{"work_id": w, "title": "x", "chapter_count": 3, "updated_at": 5} for w in ("161", "1000161", "1000164")])
+    got = sync.apply_listings(lib, bookmarks(lib), history(lib)).works.select("work_id", "in_bookmarks", "rec", "in_history", "visits").collect()
+    assert sorted(map(tuple, got)) == [
+        ("1000161", True, False, False, None), ("1000161", True, True, False, None), ("1000164", True, False, True, 1000164 % 11),
+        ("161", False, False, False, None), ("2000161", False, False, False, None)]
+
+
 def test_frontier_includes_the_first_familiar_page(spark):
     pages = spark.createDataFrame([(1, 4, "n1"), (1, 4, "k1"), (2, 4, "k2"), (3, 4, "n2"), (4, 4, "n3")], "page int, total_pages int, work_id string")
     known = spark.createDataFrame([("k1",), ("k2",)], "work_id string")
