@@ -3,7 +3,7 @@
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from registry import query
@@ -172,9 +172,9 @@ def work_page_tags(spark, root):
 
 def _bind(batches):
     """Documents bound as books: a title page, a file a chapter, end notes."""
-    for batch in batches:
-        files = []
-        for doc, parts in zip(batch["doc_id"], batch["parts"]):
+    for batch in (some for whole in batches for some in books.in_steps(whole)):
+        files, docs = [], batch.column("doc_id").to_pylist()
+        for doc, parts in zip(docs, batch.column("parts").to_pylist()):
             out, names = io.BytesIO(), [f"c{i}.xhtml" for i in range(len(parts))]
             with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
                 book.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>')
@@ -194,12 +194,13 @@ def _bind(batches):
                     book.writestr(f"OEBPS/{name}", f'<html><head><title>t</title></head><body><div id="chapters"><p>{part["l"]}</p></div></body></html>')
                 book.writestr("OEBPS/after.xhtml", '<html><body><div id="afterword"><p>Thanks.</p></div></body></html>')
             files.append(out.getvalue())
-        yield pd.DataFrame({"path": [f"{d}.epub" for d in batch["doc_id"]], "content": files})
+        yield pa.RecordBatch.from_pydict({"path": [f"{d}.epub" for d in docs], "content": files}, schema=pa.schema(
+            [("path", pa.string()), ("content", pa.binary())]))
 
 
 def book_table(spark, root):
     docs = _written(spark, root).selectExpr("doc_id", f"{_PARTS} AS parts")
-    return docs.mapInPandas(_bind, "path string, content binary")
+    return docs.mapInArrow(_bind, "path string, content binary")
 
 
 @query("epub_files", sql("""

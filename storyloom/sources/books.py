@@ -8,7 +8,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +17,11 @@ from storyloom.functions.values import stats_line
 from storyloom.sources.pages import first
 
 _OPENED = "path string, opf string, docs array<struct<position: int, html: string>>, problem string"
+_OPENED_ARROW = pa.schema([
+    ("path", pa.string()), ("opf", pa.string()),
+    ("docs", pa.list_(pa.struct([("position", pa.int32()), ("html", pa.string())]))), ("problem", pa.string())])
+#: Books of one step in Python, and bytes of them: a task holds no more of them opened, however many a batch brings.
+STEP, STEP_BYTES = 64, 8 << 20
 # Groups of a book's preface, by the label before them.
 GROUPS = (
     ("ratings", "Rating"), ("warnings", "Archive Warning"), ("categories", "Category"),
@@ -58,10 +63,24 @@ def _open(content: bytes) -> tuple:
         return None, [], f"not a readable book: {error}"
 
 
-def _open_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def in_steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of few rows and bytes, none copied; a row larger than that is one by itself."""
+    begin = 0
+    while begin < batch.num_rows:
+        n = min(STEP, batch.num_rows - begin)
+        while n > 1 and batch.slice(begin, n).nbytes > STEP_BYTES:
+            n //= 2
+        yield batch.slice(begin, n)
+        begin += n
+
+
+def _open_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        opened = pd.DataFrame([_open(c) for c in batch["content"]], columns=["opf", "docs", "problem"])
-        yield pd.concat([batch[["path"]].reset_index(drop=True), opened], axis=1)
+        for some in in_steps(batch):
+            opened = [_open(content.as_py()) for content in some.column("content")]
+            yield pa.RecordBatch.from_pylist([
+                {"path": path.as_py(), "opf": opf, "docs": docs, "problem": problem}
+                for path, (opf, docs, problem) in zip(some.column("path"), opened)], schema=_OPENED_ARROW)
 
 
 def _element(opf: Column, name: str) -> Column:
@@ -84,7 +103,7 @@ def books(files: DataFrame) -> DataFrame:
     preface one; in a book with no such marker, when it is neither preface nor
     afterword.  End notes kept in documents of their own are joined apart.
     """
-    opened = files.select("path", "content").mapInPandas(_open_all, _OPENED)
+    opened = files.select("path", "content").mapInArrow(_open_all, _OPENED)
     has = lambda c, marker: c.rlike(f'(?i)\\bid="{marker}"')
     body = lambda h: F.coalesce(first(h, "(?is)<body\\b[^>]*>(.*?)</body>"), h)
     posted = "(?is)Posted originally on the(?:(?!</p>|</div>).)*?archiveofourown\\.org/works/(\\d+)"

@@ -142,6 +142,18 @@ def _book(*docs):
     return out.getvalue()
 
 
+def test_books_are_opened_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+    one = _book('<div id="preface">p</div>', "<p>only</p>")
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(300)], "content": [one] * 299 + [b"no book"]})
+    monkeypatch.setattr(books, "STEP", 64)
+    got = list(books._open_all([batch]))
+    assert max(b.num_rows for b in got) <= 64 and [p for b in got for p in b.column("path").to_pylist()] == [str(i) for i in range(300)]
+    assert [len(d) for b in got for d in b.column("docs").to_pylist()] == [2] * 299 + [0]
+    monkeypatch.setattr(books, "STEP_BYTES", 2 * len(one))
+    assert max(b.num_rows for b in books._open_all([batch])) <= 2
+
+
 def test_books(spark):
     front = '<div id="preface">Posted originally on the <a>Archive</a> at http://archiveofourown.org/works/77</div><div id="chapters"></div>'
     made = [("a.epub", _book(front, '<div id="chapters"><h2>One</h2><p>first</p></div>', '<div id="chapters"><p>last</p></div><div id="afterword">x</div>', '<div id="afterword">notes</div>')),
