@@ -264,3 +264,35 @@ def test_held_text_stays_where_it_lies(saved, spark, make):
                 assert not scans or not any("html#" in o.split("AS")[0] for o in outs[:1]), plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _shuffled(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_what_lies_by_work_is_written_as_it_lies(saved, spark, monkeypatch):
+    """Rows set aside are not dealt out again: a deletion from bucketed tables and its replacing shuffle no rows of them."""
+    from storyloom.sources import buckets
+    prefix, _ = saved
+    seen, kept = [], buckets._replace
+    monkeypatch.setattr(buckets, "_replace", lambda spark, rows, table, parts: (seen.append((table, _shuffled(rows))), kept(spark, rows, table, parts))[1])
+    gone = spark.createDataFrame([("3",)], "work_id string")
+    buckets.change(spark, prefix, gone, lambda lib: admin.delete(lib, gone, "2024-01-01"))
+    assert len(seen) > 5 and {n for _, n in seen} == {0}, seen
+    assert buckets.load(spark, prefix).chapters.count() == 58
+
+
+def test_tags_dealt_out_are_the_same_rows(spark):
+    from storyloom.sources import star
+    root = "/root/testdata/sf0.001"
+    dealt = star.tags_dealt(spark, root, 5)
+    rows = lambda df: sorted((r.work_id, r.kind, r.name) for r in df.collect())
+    assert rows(dealt) == rows(star.tags(spark, root))
+    # one shuffle, which the writing by work takes over
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    try:
+        from storyloom.sources import buckets
+        assert _shuffled(buckets._dealt(dealt, 5)) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
