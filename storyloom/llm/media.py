@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import components, frames, groups, octets, stored
@@ -33,8 +33,10 @@ BITS = 128
 TABLES, KEY_BYTES, RADIUS = 3, 3, 15
 #: Corners that must agree on one transform.
 VOTES = 3
-#: Descriptors compared together.
-BLOCK = 2048
+#: Corners of one key that are compared by one task; larger buckets are cut into parts.
+BLOCK = 32_768
+#: Pictures dealt out together, and records that a destination holds, about.
+TOGETHER, HELD = 8192, 500_000
 #: Matches handed on together.
 MATCHES = 200_000
 
@@ -161,31 +163,96 @@ def _hashed(pictures: DataFrame, key: str, picture: str) -> DataFrame:
                            F.xxhash64(whole, F.lit(5)).alias("_g"))
 
 
+#: A corner under way: its picture and itself.
+_RECORD = np.dtype([("node", "<i8"), ("corner", _CORNER)])
+
+
+def _codes(bits: np.ndarray, t: int) -> np.ndarray:
+    """A table's keys of some descriptors, as numbers."""
+    return sum(bits[:, t * KEY_BYTES + i].astype(np.int64) << 8 * i for i in range(KEY_BYTES)) + (t << 8 * KEY_BYTES)
+
+
+def _mixed(*values: np.ndarray) -> np.ndarray:
+    """A hash of numbers, a row at a time."""
+    out = np.uint64(0)
+    for v in values:
+        out = (out ^ np.asarray(v).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out = out ^ (out >> np.uint64(29))
+    return out
+
+
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """Corners of pictures in stretches; of equal pictures of a task those of one."""
+    seen: set[int] = set()
+    held: list[pd.DataFrame] = []
+    for rows in _ended(batches):
+        if rows is not None:
+            rows = rows.drop_duplicates("node")
+            rows = rows[~rows["node"].isin(seen)]
+            seen.update(rows["node"].tolist())
+            held.append(rows)
+        if held and (rows is None or sum(map(len, held)) >= TOGETHER):
+            whole, held = pd.concat(held), []
+            corner = np.frombuffer(b"".join(whole["corners"]), _CORNER)
+            out = np.empty(len(corner), _RECORD)
+            out["node"] = np.repeat(whole["node"].to_numpy(np.int64), whole["corners"].map(len).to_numpy(np.int64) // _CORNER.itemsize)
+            out["corner"] = corner
+            yield out
+
+
+def _ended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from batches
+    yield None
+
+
+def _large(found: DataFrame, rows: int, block: int) -> dict[int, int]:
+    """Keys of more corners than a block, and how many; a task names only what it has often, which no larger key escapes."""
+    least = max(2, block // (2 * (rows // TOGETHER + found.rdd.getNumPartitions() + 1)))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for records in _records(batches):
+            for t in range(TABLES):
+                code, n = np.unique(_codes(records["corner"]["bits"], t), return_counts=True)
+                yield pd.DataFrame({"code": code[n >= least], "n": n[n >= least]})
+    counted = frames(found.select("node", "corners"), work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    # one number for each block of corners at most
+    return {r.code: r.n for r in counted.where(F.col("n") > block // 2).collect()}
+
+
 def matches(found: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
     """Pairs of corners of different pictures (a < b) that meet in a table within the radius.
 
     In a bucket every two corners are compared, so matches grow with the square of a
-    group of pictures that share a corner, as their links do.  Buckets beyond a block
-    are cut into parts, and every two parts are compared: a task holds a block and
-    gives its matches piece by piece.
+    group of pictures that share a corner, as their links do.  Corners are dealt out by
+    key, packed by destination, once for each table; buckets beyond a block are cut into
+    parts, and every two parts are compared: a task holds a block or the buckets of a
+    destination, and gives its matches piece by piece.  A pair that several tables bring
+    together is given by the first.
     """
-    kind, size = found.schema["node"].dataType.simpleString(), _CORNER.itemsize
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.length("corners") / size, F.lit(1)).cast("int") - 1),
-                      lambda p: F.length("corners") >= (p + 1) * size)
-    bits = lambda p, t: F.substr(F.col("corners"), p * size + 7 + t * KEY_BYTES, F.lit(KEY_BYTES))
-    keys = F.flatten(F.transform(places, lambda p: F.array(*[F.struct(
-        p.cast("byte").alias("place"), F.hash(F.lit(t), bits(p, t)).alias("bucket")) for t in range(TABLES)])))
-    rows = found.select("node", F.inline(keys))
-    # only names of corners are shuffled; the few that meet another fetch the rest
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(2 * F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(mine, p).alias("i"), F.greatest(mine, p).alias("j")))
-    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    rows = rows.join(counts, "bucket").withColumn("part", F.explode(F.when(F.col("n") > block, cut).otherwise(whole)))
-    rows = rows.select("node", "place", F.xxhash64("bucket", "part.i", "part.j").alias("bucket"))
-    rows = rows.join(found, "node").select(
-        "node", "bucket", F.substr(F.col("corners"), F.col("place") * size + 1, F.lit(size)).alias("corner"))
+    kind, rows = found.schema["node"].dataType.simpleString(), found.count()
+    large = _large(found, rows, block)
+    hot = np.array(sorted(large), np.int64)
+    cuts = np.array([-(-2 * large[c] // block) for c in sorted(large)], np.int64)
+    places = max(128, -(-rows * CORNERS * TABLES // HELD))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for records in _records(batches):
+            for t in range(TABLES):
+                code = _codes(records["corner"]["bits"], t)
+                at = np.minimum(np.searchsorted(hot, code), max(0, len(hot) - 1))
+                parts = np.where(hot[at] == code, cuts[at], 1) if len(hot) else np.ones(len(code), np.int64)
+                row = np.repeat(np.arange(len(code)), parts)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                mine = (_mixed(records["node"][row]) % parts[row].astype(np.uint64)).astype(np.int64)
+                i, j = np.minimum(mine, other), np.maximum(mine, other)
+                place = (_mixed(code[row], i, j) % np.uint64(places)).astype(np.int64)
+                order = np.lexsort((code[row], j, i, place))
+                row, where = row[order], np.stack([place, i, j])[:, order]
+                first = np.concatenate(([0], np.flatnonzero((np.diff(where) != 0).any(axis=0)) + 1)) if len(row) else np.zeros(0, int)
+                # by bytes of equal meaning, which compress
+                blobs = [records[row[b:e]].view(np.uint8).reshape(-1, _RECORD.itemsize).T.tobytes() for b, e in zip(first, [*first[1:], len(row)])]
+                yield pd.DataFrame({"place": where[0, first], "t": np.full(len(first), t), "i": where[1, first], "j": where[2, first], "records": blobs})
+    dealt = frames(found.select("node", "corners"), deal, "place int, t int, i int, j int, records binary")
 
     def made(corner: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         out = {"a": node[a], "b": node[b]}
@@ -194,32 +261,45 @@ def matches(found: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataF
         return pd.DataFrame(out)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in groups(batches, "bucket", block):
-            rows = rows.sort_values(["bucket", "node"], kind="stable").reset_index(drop=True)
-            corner = np.frombuffer(b"".join(rows["corner"]), _CORNER)
-            words = np.ascontiguousarray(corner["bits"]).view(np.uint64)
-            bucket, node = rows["bucket"].to_numpy(), rows["node"].to_numpy()
-            first = np.concatenate(([0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1))
-            after = np.diff(np.concatenate((first, [len(rows)])))
-            end = np.repeat(first + after, after)
-            # every corner with the next in its bucket, with the next but one, and so on to the end of the longest bucket
-            at, step, held, left, right = np.arange(len(rows)), 0, 0, [], []
-            while len(at):
-                step += 1
-                at = at[at + step < end[at]]
-                pair = at[(node[at] != node[at + step]) & (np.bitwise_count(words[at] ^ words[at + step]).sum(axis=1) <= radius)]
-                left.append(pair)
-                right.append(pair + step)
-                held += len(pair)
-                if held >= MATCHES or not len(at):
-                    yield made(corner, node, np.concatenate(left), np.concatenate(right))
-                    held, left, right = 0, [], []
-    names = ", ".join(f"{c}{s} {t}" for c, t in (("x", "double"), ("y", "double"), ("level", "double"), ("turn", "double")) for s in "ab")
-    return frames(rows.repartition("bucket").sortWithinPartitions("bucket"), work, f"a {kind}, b {kind}, {names}")
+        for rows in groups(batches, "place", 1):
+            for (t, _, _), same in rows.groupby(["t", "i", "j"], sort=False):
+                yield from compared(t, np.concatenate([np.ascontiguousarray(
+                    np.frombuffer(r, np.uint8).reshape(_RECORD.itemsize, -1).T).reshape(-1).view(_RECORD) for r in same["records"]]))
+
+    def compared(t: int, records: np.ndarray) -> Iterator[pd.DataFrame]:
+        code = _codes(records["corner"]["bits"], t)
+        order = np.lexsort((records["node"], code))
+        corner, node, bucket = records["corner"][order], records["node"][order], code[order]
+        again = np.zeros(len(order), bool)  # corners of a picture that several tasks gave
+        again[1:] = (node[1:] == node[:-1]) & (corner[1:] == corner[:-1])
+        corner, node, bucket = corner[~again], node[~again], bucket[~again]
+        words = np.ascontiguousarray(corner["bits"]).view(np.uint64)
+        earlier = [_codes(corner["bits"], e) for e in range(t)]
+        first = np.concatenate(([0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1))
+        after = np.diff(np.concatenate((first, [len(bucket)])))
+        end = np.repeat(first + after, after)
+        # every corner with the next in its bucket, with the next but one, and so on to the end of the longest bucket
+        at, step, held, left, right = np.arange(len(bucket)), 0, 0, [], []
+        while len(at):
+            step += 1
+            at = at[at + step < end[at]]
+            pair = at[(node[at] != node[at + step]) & (np.bitwise_count(words[at] ^ words[at + step]).sum(axis=1) <= radius)]
+            for keys in earlier:
+                pair = pair[keys[pair] != keys[pair + step]]
+            left.append(pair)
+            right.append(pair + step)
+            held += len(pair)
+            if held >= MATCHES or not len(at):
+                yield made(corner, node, np.concatenate(left), np.concatenate(right))
+                held, left, right = 0, [], []
+    names = ", ".join(f"{c}{s} {t}" for c, t in (("x", "float"), ("y", "float"), ("level", "tinyint"), ("turn", "tinyint")) for s in "ab")
+    return frames(dealt.repartition("place").sortWithinPartitions("place"), work, f"a {kind}, b {kind}, {names}")
 
 
 def agreed(found: DataFrame, votes: int = VOTES, cell: float = 12.0) -> DataFrame:
     """Links (a, b) whose matches agree on one turn, scale and shift by at least ``votes`` corners of each picture."""
+    # by pair first: a match is moved once and not once for each of its bins, and pairs of too few matches, as most strangers are, have no bins
+    found = found.repartition("a", "b").withColumn("_n", F.count("*").over(Window.partitionBy("a", "b"))).where(F.col("_n") >= votes)
     # bins overlap by half in each quantity, so a match near the edge of one is inside another; all matches of a bin
     # are turned by its middle, as their own directions are off by a step
     turn = F.pmod((F.col("turnb") - F.col("turna")).cast("int"), F.lit(TURNS))
@@ -243,20 +323,18 @@ def copies(pictures: DataFrame, key: str = "media_id", picture: str = "picture")
     each other's class, not as links.  Nulls, unreadable and flat pictures have no
     corners and are alone, but for equal ones; a null key names no class.
     """
-    # pictures are hashed once more at the end rather than kept: what is written is a few hundred bytes for each different one
-    nodes = corners(pictures, key, picture).groupBy("_h", "_g").agg(F.min("_key").alias("least"), F.first("corners").alias("corners"))
-    nodes = stored(nodes.withColumn("node", F.xxhash64("_h", "_g")), "nodes")
-    found = nodes.select("node", "corners")
-    links = stored(agreed(matches(found)), "links")
+    # corners are written where they are found and move once, with their keys; the few equal pictures of other tasks meet there
+    rows = stored(corners(pictures, key, picture).withColumn("node", F.xxhash64("_h", "_g")), "corners")
+    links = stored(agreed(matches(rows.select("node", "corners"))), "links")
+    nodes = rows.groupBy("_h", "_g", "node").agg(F.min("_key").alias("least"), F.max(F.length("corners")).alias("size"))
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = nodes.select("_h", "_g", "node", "least", "corners").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("class_id"))
     named = named.join(least, "root").join(degree, "node", "left")
-    named = named.select("_h", "_g", "class_id", "n_links", (F.length("corners") / _CORNER.itemsize).alias("n_corners"))
+    named = named.select("_h", "_g", "class_id", "n_links", (F.col("size") / _CORNER.itemsize).alias("n_corners"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    rows = _hashed(pictures, key, picture).select(F.col("_k").alias(key), "_h", "_g")
-    return rows.join(named, ["_h", "_g"]).select(key, zero("n_corners"), zero("n_links"), "class_id")
+    return rows.select(F.col("_key").alias(key), "_h", "_g").join(named, ["_h", "_g"]).select(key, zero("n_corners"), zero("n_links"), "class_id")
 
 
 # ---------------------------------------------------------------------------------- pictures out of pages

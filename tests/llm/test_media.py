@@ -68,3 +68,12 @@ def test_every_two_corners_of_a_bucket(spark, monkeypatch):
     want = {(m, i, n, j) for i, (m, x) in enumerate(kinds) for j, (n, y) in enumerate(kinds) if m < n and abs(x - y) <= 8}
     assert got == want
     assert {(r.a, r.b) for r in media.agreed(media.matches(rows, radius=8), votes=2).collect()} >= {(0, 1)}
+
+
+def test_matches_are_moved_once(spark):
+    """By pair, before they are laid into bins; and a pair that every table brings together is given once."""
+    corner = np.array([(4, 8, 0, 0, np.arange(16, dtype=np.uint8))], media._CORNER).tobytes()
+    found = media.matches(spark.createDataFrame([(n, bytearray(corner)) for n in (1, 2)] * 3, "node long, corners binary").repartition(3))
+    assert [(r.a, r.xa, r.b, r.yb) for r in found.distinct().collect()] == [(1, 1.0, 2, 2.0)] and found.count() == 1
+    plan = media.agreed(found, votes=1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(a") == 1 and plan.index("Generate") < plan.index("Window") < plan.index("Exchange hashpartitioning(a")
