@@ -212,3 +212,14 @@ def test_character_references_of_every_kind(spark):
     said = "&amp;&LT; &#65;&#x42;&#X43; &#0; &#1114112; &#x000000041; &#9999999999; &nope; &amp &; a&#39;b"
     row = spark.createDataFrame([(said,), (None,), ("",), ("&",)], "t string").select(tx.decode_entities(F.col("t")).alias("t")).collect()
     assert [r.t for r in row] == ["&< ABC &#0; &#1114112; A &#9999999999; &nope; &amp &; a'b", None, "", "&"]
+
+
+def test_heading_and_tags_of_an_entry_are_looked_for_once(spark, tmp_path):
+    """Not once for every field within; plain fragments, with or without blanks at their ends, are only trimmed."""
+    from storyloom.functions import text as tx
+    spark.createDataFrame([("x",)], "html string").write.parquet(str(tmp_path / "p"))
+    plan = pages.listings(spark.read.parquet(str(tmp_path / "p")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count('<ul class="tags commas">') == 1 and plan.count('<h4 class="heading">') == 1
+    rows = spark.createDataFrame([(t,) for t in (" plain ", "", None, "a  b", "a\tb", "a &amp; b", "<b>x</b>", "a  b", "\n\nz")], "t string").repartition(2)
+    got = {r.t: r.out for r in rows.select("t", tx.html_to_text(F.col("t")).alias("out")).collect()}
+    assert got == {" plain ": "plain", "": "", None: "", "a  b": "a b", "a\tb": "a b", "a &amp; b": "a & b", "<b>x</b>": "x", "a  b": "a b", "\n\nz": "z"}
